@@ -161,7 +161,7 @@ def bit_filter(hashes: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     bits). Its size is fixed, whatever the table; it only ever lets too much through."""
     bit = F.shiftrightunsigned(F.col(column), 64 - log2_bits)
     rows = (
-        hashes.select(F.shiftright(bit, 6).cast("int").alias("at"), F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+        hashes.select(F.shiftright(bit, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
         .groupBy("at")
         .agg(F.bit_or("bits").alias("bits"))
     )

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pii, simhash
+from . import chat, decontaminate, mixing, pii, simhash, substrings
 
 QUERIES = {
     "op2_find_pii": pii.op2_find_pii,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_format_chat": chat.op4_format_chat,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_remove_repeats": substrings.op10_remove_repeats,
 }
 ORACLE_SQL = {
+    "op3_decontaminate": decontaminate.SQL,
     "op4_format_chat": chat.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op10_remove_repeats": substrings.SQL,
 }
