@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, simhash, substrings
+from . import chat, decontaminate, mixing, pii, quality_rules, simhash, substrings
 
 QUERIES = {
     "op2_find_pii": pii.op2_find_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_format_chat": chat.op4_format_chat,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_remove_repeats": substrings.op10_remove_repeats,
 }
 ORACLE_SQL = {
