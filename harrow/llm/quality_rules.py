@@ -13,12 +13,10 @@ come from fixed-width histograms, so no group's rows ever meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checked_broadcast, materialize, read
+from .common import SPACE, checked_broadcast, let, materialize, read
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -40,11 +38,6 @@ FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 BROADCAST_GROUPS = 20_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeat_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
     """Words inside windows of `window` words that occur twice or more in the array."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, quality_rules, simhash, substrings
+from . import chat, decontaminate, licenses, mixing, pii, quality_rules, simhash, substrings
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_find_pii": pii.op2_find_pii,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_format_chat": chat.op4_format_chat,
