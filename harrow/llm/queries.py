@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, pii, quality_rules, simhash, substrings
+from . import chat, decontaminate, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_format_chat": chat.op4_format_chat,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_remove_repeats": substrings.op10_remove_repeats,
 }
