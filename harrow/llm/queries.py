@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings
+from . import chat, decontaminate, language_model, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_format_chat": chat.op4_format_chat,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_lm_scoring": language_model.op6_lm_scoring,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
