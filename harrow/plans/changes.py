@@ -103,12 +103,12 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG = """log AS (SELECT user_id AS key, CAST(ts AS VARCHAR) AS release,
   CASE WHEN event_type = 'signup' THEN 'added' WHEN event_type = 'error' THEN 'removed' ELSE 'changed' END AS kind,
   CAST(event_id % 3 AS VARCHAR) AS before, CAST((event_id + 1) % 3 AS VARCHAR) AS after,
-  ts || '#' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS at FROM events)"""
+  ts || '#' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS placed FROM events)"""
 
 
 @query(
     "n01_fold_changes",
-    f"""WITH {LOG}, g AS (SELECT key, arg_min(kind, at) AS fk, arg_max(kind, at) AS lk, arg_min(before, at) AS before, arg_max(after, at) AS after FROM log GROUP BY key),
+    f"""WITH {LOG}, g AS (SELECT key, arg_min(kind, placed) AS fk, arg_max(kind, placed) AS lk, arg_min(before, placed) AS before, arg_max(after, placed) AS after FROM log GROUP BY key),
         k AS (SELECT *, CASE WHEN fk = 'added' AND lk = 'removed' THEN NULL WHEN fk = 'added' THEN 'added' WHEN lk = 'removed' THEN 'removed' WHEN before <> after THEN 'changed' END AS kind FROM g)
         SELECT key, kind, before, after FROM k WHERE kind IS NOT NULL""",
 )
@@ -175,7 +175,7 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f26_weighted_estimate",
     """WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('s1:' || o_orderkey::VARCHAR), o_orderkey) AS draw FROM orders), d AS (SELECT * FROM s WHERE draw <= 40),
-       w AS (SELECT o_orderpriority, (SELECT count(*) FROM orders o WHERE o.o_orderpriority = d.o_orderpriority)::DOUBLE / count(*) AS w FROM d GROUP BY ALL)
+       w AS (SELECT a.o_orderpriority, pop::DOUBLE / drawn AS w FROM (SELECT o_orderpriority, count(*) AS pop FROM orders GROUP BY 1) a JOIN (SELECT o_orderpriority, count(*) AS drawn FROM d GROUP BY 1) b USING (o_orderpriority))
        SELECT o_orderstatus, round(sum(CASE WHEN o_totalprice > 100000 THEN w ELSE 0 END) / sum(w), 6) AS estimate, count(*) AS n FROM d JOIN w USING (o_orderpriority) GROUP BY o_orderstatus""",
 )
 def weighted_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,5 +108,5 @@ def first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a09_synonym_index", "WITH s AS (SELECT regexp_replace(lower(unnest([p_name, p_type])), '[^a-z0-9]', '', 'g') AS name, p_brand FROM part) SELECT name, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS parents FROM s GROUP BY name")
 def synonym_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "part").select(text.key_of(F.explode(F.array("p_name", "p_type"))).alias("name"), "p_brand")
+    s = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", "p_type")).alias("name"), "p_brand").withColumn("name", text.key_of(F.col("name")))
     return s.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("parents"))
