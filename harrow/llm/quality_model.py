@@ -144,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
         sample += rows.select("id", "label", pieces.alias("pieces")).collect()
+    if len({r["label"] for r in sample}) < 2:  # labelled ids that no document has
+        return float(sample[0]["label"]) if sample else 0.5
     # a short text's pieces run past its end: those with bytes stay, or one empty piece
     sample.sort(key=lambda r: (str(r["id"]), r["label"], r["pieces"]))
     texts = [[bytes(x)[:CHUNK] for x in r["pieces"] if x] or [b""] for r in sample]
