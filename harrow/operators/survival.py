@@ -75,3 +75,28 @@ def false_discovery(family: DataFrame, p: str = "p") -> DataFrame:
     r = r.withColumn("q_by", F.least(F.lit(1.0), F.min(raw * F.col("_c")).over(down))).drop("_r", "_m", "_c")
     none = family.where(F.col(p).isNull()).withColumns({"q_bh": F.lit(None).cast("double"), "q_by": F.lit(None).cast("double")})
     return r.unionByName(none)
+
+
+def bootstrap_at(obs: DataFrame, keys: Sequence[str], identifier: str, horizon: float, draws: int = 200, months: str = "months", event: str = "event", seed: str = "b1") -> DataFrame:
+    """Percentile interval (2.5 to 97.5 %) of the incidence at a horizon.
+
+    Every observation is first reduced to its time and code, with a Poisson(1) weight for each
+    replicate drawn from a hash of seed, replicate and id. Replicates are then weighted risk tables,
+    so what is shuffled is one row per segment, distinct time and replicate."""
+    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(identifier)), F.lit(1 << 30)) / float(1 << 30)
+    weight = sum((F.when(uniform >= c, 1).otherwise(0) for c in _poisson_steps()), F.lit(0))
+    rows = obs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    counts = [F.sum(F.when(F.col(event) == c, F.col("w")).otherwise(0)).alias(n) for c, n in ((EVENT, "d1"), (COMPETING, "d2"), (CENSORED, "d0"))]
+    own = [*keys, "draw"]
+    risk = rows.groupBy(*own, F.round(months, 4).alias("t")).agg(*counts).where("d0 + d1 + d2 > 0")
+    left = Window.partitionBy(*own).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    risk = risk.withColumn("at_risk", F.sum(F.col("d0") + F.col("d1") + F.col("d2")).over(left))
+    points = at_horizons(aalen_johansen(risk, own), own, [horizon])
+    return points.groupBy(*keys).agg(F.percentile("cif", F.lit(0.025)).alias("low"), F.percentile("cif", F.lit(0.975)).alias("high"))
+
+
+def _poisson_steps(longest: int = 8) -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count."""
+    from math import exp, factorial
+
+    return [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(longest)]
