@@ -147,3 +147,13 @@ def keyword_hit(text: Column, keyword: str, whole_word: bool = False, not_after:
 
     head = r"\b" if whole_word else "".join(f"(?<!{escape(p)})" for p in not_after)
     return text.rlike(head + escape(keyword) + (r"\b" if whole_word else ""))
+
+
+def singular_ones(c: Column, nouns: list[str]) -> Column:
+    """"1 items" becomes "1 item", for the given nouns."""
+    return F.regexp_replace(c, rf"(?<![0-9.,])1 ({'|'.join(nouns)})s\b", "1 $1")
+
+
+def after_last(c: Column, marker: str) -> Column:
+    """What follows the last marker; null without one."""
+    return F.when(F.contains(c, F.lit(marker)), F.substring_index(c, marker, -1))
