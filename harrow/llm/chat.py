@@ -5,21 +5,23 @@ Grammar of a formatted conversation (roles and bodies hold no bare control strin
     conversation := turn*
     turn         := "<s>[INST]" role "[/INST]" body "</s>"
 
-A turn is first rendered as it is. A deterministic parser reads the whole rendering back;
-turns that it does not give back identically are escaped, and the conversation is rendered and
-parsed again until what is read equals the source. Escaping puts one more backslash into each
+A turn is first rendered as it is. A deterministic parser reads the rendering back; a turn that it
+does not give back identically is escaped, rendered and parsed again until what is read equals the
+source. Turns that read back by themselves also do so one after another, so a conversation is
+never gathered: it streams through a task in order, piece by piece. Escaping puts one more backslash into each
 control string, after its first character and any backslashes there; reading takes one out, so
 it can be undone for any text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import read
 
@@ -63,57 +65,94 @@ def render(turns: list[tuple[str, str]]) -> str:
         escaped = [e or w for e, w in zip(escaped, wrong, strict=True)] if any(wrong) else [True] * len(turns)
 
 
-_FORMATTED = T.StructType([T.StructField("formatted", T.StringType()), T.StructField("loss_spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv, turn, role, text) -> conv, turn, piece, loss_start, loss_end, in the given order."""
+    for b in batches:
+        pieces, starts, ends = [], [], []
+        for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
+            pieces.append(render([(role, text)]))
+            ((_, _, start, end),) = parse(pieces[-1])
+            starts.append(start if role == LEARNED else None)
+            ends.append(end if role == LEARNED else None)
+        yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("turn"), pa.array(pieces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["conv", "turn", "piece", "loss_start", "loss_end"])
 
 
-@F.pandas_udf(_FORMATTED)
-def _format(turns: pd.Series) -> pd.DataFrame:
-    out = []
-    for conv in turns:
-        text = render([(t["role"] or "", t["text"] or "") for t in conv])
-        out.append((text, [[s, e] for role, _, s, e in parse(text) if role == LEARNED]))
-    return pd.DataFrame(out, columns=["formatted", "loss_spans"])
+class _Reader:
+    """Digests of one conversation, fed piece by piece: what is held does not grow with it."""
 
+    def __init__(self, conv):
+        self.conv, self.n_turns, self.loss_chars, self.chars = conv, 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-_READ = T.StructType([T.StructField("n_turns", T.LongType()), T.StructField("turns", T.StringType()), T.StructField("loss", T.StringType())])
+    def feed(self, piece: str, start: int | None, end: int | None) -> None:
+        for role, text, _, _ in parse(piece):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+        if start is not None:
+            learned = unescape(piece[start:end])
+            self.loss.update(learned.encode())
+            self.loss_chars += len(learned)
+        self.chars += len(piece)
 
+    def row(self) -> tuple:
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
-@F.pandas_udf(_READ)
-def _read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, loss in zip(formatted, spans, strict=True):
-        turns = parse(text)
-        out.append((len(turns), "".join(f"{r}\n{t}\n" for r, t, _, _ in turns), "".join(unescape(text[s:e]) for s, e in loss)))
-    return pd.DataFrame(out, columns=["n_turns", "turns", "loss"])
 
+_DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv, formatted, loss_spans (start and end in code points of each learned body).
 
-    Rows of a conversation stand by turn, then role, then text (nulls first); repeated rows
-    are repeated turns. A null role or text is empty; rows without a conversation id form one
-    conversation with a null id. A conversation is one output row, so its turns meet in one
-    task; conversations are the unit of the format. Other columns are ignored.
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in order -> a row of digests for each conversation."""
+    reader, kind = None, None
+    names = ["conv", *(f.split()[0] for f in _DIGESTS.split(", "))]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+    for b in batches:
+        kind, done = b.schema.field("conv").type, []
+        for conv, piece, start, end in zip(*(b.column(c).to_pylist() for c in ("conv", "piece", "loss_start", "loss_end")), strict=True):
+            if reader is None or reader.conv != conv:
+                done += [reader.row()] if reader else []
+                reader = _Reader(conv)
+            reader.feed(piece, start, end)
+        if done:
+            yield rows(done)
+    if reader:
+        yield rows([reader.row()])
+
+
+def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv, turn, piece, loss_start, loss_end: one row per turn.
+
+    A formatted conversation is its pieces in order; each piece is a turn of the grammar, so any run
+    of pieces parses. The loss span (code points in the piece) is that of a learned body, else null.
+    Partitions hold whole conversations in order: by turn, then role, then text (nulls first), and
+    nothing is gathered, so a conversation may have any number of turns. Repeated rows are repeated
+    turns. A null role or text is empty; rows without a conversation id form one conversation
+    with a null id. An empty table gives an empty result; other columns are ignored.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    convs = rows.groupBy(F.col(conv_col).alias(conv_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return convs.select(conv_col, _format("turns").alias("f")).select(conv_col, "f.formatted", "f.loss_spans")
+    filled = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))]
+    turns = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), *filled)
+    turns = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    types = {c: turns.schema[c].dataType.simpleString() for c in ("conv", "turn")}
+    return turns.mapInArrow(_format, f"conv {types['conv']}, turn {types['turn']}, piece string, loss_start int, loss_end int").withColumnsRenamed({"conv": conv_col, "turn": turn_col})
+
+
+def read_back(pieces: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """conv and digests of what a formatted table says, read from its pieces in the order in
+    which format_conversations gives them."""
+    own = pieces.select(F.col(conv_col).alias("conv"), "piece", "loss_start", "loss_end")
+    kind = own.schema["conv"].dataType.simpleString()
+    return own.mapInArrow(_read_back, f"conv {kind}, {_DIGESTS}").withColumnRenamed("conv", conv_col)
 
 
 def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    f = format_conversations(rows.unionByName(extra))
-    f = f.withColumn("back", _read_back("formatted", "loss_spans"))
-    return f.select(
-        "conv_id",
-        F.col("back.n_turns").alias("n_turns"),
-        F.sha2("back.turns", 256).alias("turns_sha256"),
-        F.length("back.loss").cast("long").alias("loss_chars"),
-        F.sha2("back.loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    return read_back(format_conversations(rows.unionByName(extra)))
 
 
 SQL = r"""

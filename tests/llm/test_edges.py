@@ -120,9 +120,16 @@ CHAT = [
 
 def test_chat(spark):
     rows = spark.createDataFrame([(*r, 1, "x") for r in CHAT], "conv_id long, turn long, role string, text string, formatted int, turns string")
-    got = {r["conv_id"]: r for r in chat.format_conversations(rows).collect()}
-    assert [t[:2] for t in chat.parse(got[1]["formatted"])] == [("user", ""), ("assistant", CHAT[0][3]), ("", "x")]
-    assert [t[:2] for t in chat.parse(got[4]["formatted"])] == [CHAT[7][2:]]
-    assert [t[:2] for t in chat.parse(got[3]["formatted"])] == [("assistant", "tie")] * 2
-    assert [t[:2] for t in chat.parse(got[None]["formatted"])] == [("assistant", "lost")]
-    assert chat.format_conversations(rows.limit(0)).count() == 0
+    found = chat.format_conversations(rows)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    text = {k: "".join(r["piece"] for r in v) for k, v in got.items()}
+    assert [t[:2] for t in chat.parse(text[1])] == [("user", ""), ("assistant", CHAT[0][3]), ("", "x")]
+    assert [t[:2] for t in chat.parse(text[4])] == [CHAT[7][2:]]
+    assert [t[:2] for t in chat.parse(text[3])] == [("assistant", "tie")] * 2
+    assert [t[:2] for t in chat.parse(text[None])] == [("assistant", "lost")]
+    assert [chat.unescape(r["piece"][r["loss_start"] : r["loss_end"]]) for r in got[1] if r["loss_start"] is not None] == [CHAT[0][3]]
+    read = {r["conv_id"]: r for r in chat.read_back(found).collect()}
+    assert {k: (r["n_turns"], r["loss_chars"], r["formatted_chars"]) for k, r in read.items()} == {k: (len(v), sum(len(c[3]) for c in CHAT if c[0] == k and c[2] == "assistant"), len(text[k])) for k, v in got.items()}
+    assert chat.read_back(chat.format_conversations(rows.limit(0))).count() == 0
