@@ -36,3 +36,10 @@ def unmatched(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     a, b = df.select(key).distinct(), reference.select(key).distinct()
     left = a.join(b, key, "left_anti").agg(F.count("*").alias("only_left"))
     return left.crossJoin(b.join(a, key, "left_anti").agg(F.count("*").alias("only_right")))  # one row each
+
+
+def gates(df: DataFrame, limits: dict[str, tuple[Column, float]]) -> DataFrame:
+    """gate, passed: aggregates against their least values, from one pass (a null value fails)."""
+    one = df.agg(*[F.coalesce(c.cast("double") >= least, F.lit(False)).alias(f"g{i}") for i, (c, least) in enumerate(limits.values())])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("gate"), F.col(f"g{i}").alias("passed")) for i, name in enumerate(limits)]))
+    return one.select(rows.alias("r")).select("r.*")
