@@ -192,7 +192,7 @@ def test_language_model_base_score_and_split(spark, docs):
     total, distinct = sum(counts.values()), len(counts)
     rows = llm.QUERIES["op6_lm_scoring"](spark, SF).collect()
     assert len(rows) == len(docs)
-    gain = 0.0
+    gain, known = 0.0, language_model.WordIds()
     for r in rows:
         tokens = [*WORD.findall(lower(docs[r["doc_id"]])), "\n"]
         base = sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in tokens)
@@ -200,16 +200,38 @@ def test_language_model_base_score_and_split(spark, docs):
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
         assert r["score"] < 0
-        ids = len(language_model.ids_of(language_model.encoder(), language_model.words_of(docs[r["doc_id"]].encode()))) + 1
+        ids = len(known.of(language_model.words_of(docs[r["doc_id"]].encode()))) + 1
         gain += r["held_out"] * (r["score"] + ids * math.log10(language_model.VOCAB + 1))
     assert gain > 0  # better on held-out texts than equal odds for every id
 
 
 def test_windows_score_each_id_once():
-    for n in (0, 1, 31, 32, 33, 56, 57, 500):
-        x, y, used = language_model.windows_of(list(range(n)))
-        assert y[used].tolist() == [*range(n), language_model.END]
-        assert x[used].tolist() == [language_model.END, *range(n)]
+    texts = [list(range(n)) for n in (0, 1, 31, 32, 33, 56, 57, 500)]
+    x, y, used, owner = language_model.windows_of(texts)
+    for i, t in enumerate(texts):
+        own = owner == i
+        assert y[own][used[own]].tolist() == [*t, language_model.END]
+        assert x[own][used[own]].tolist() == [language_model.END, *t]
+
+
+def test_ids_by_word_equal_ids_of_the_text(docs):
+    known, whole = language_model.WordIds(), language_model.encoder()
+    for t in [*docs.values(), "naïve 😀 \u00a0x  y"]:
+        words = language_model.words_of(t.encode())
+        assert known.of(words) == (whole.encode_ordinary(" " + b" ".join(words).decode()) if words else [])
+
+
+def test_scorer_equals_the_network_and_sums_to_one():
+    import numpy as np
+
+    p = language_model.new_params(3)
+    rng = np.random.default_rng(2)
+    x, y, used, _ = language_model.windows_of([rng.integers(0, language_model.VOCAB, n).tolist() for n in (90, 5)])
+    top, _ = language_model._forward(p, x)
+    network = language_model.Scorer(p)
+    assert np.allclose(network.hidden(x, used), top[used], atol=1e-4)
+    every = np.repeat(top[used][:1], language_model.VOCAB + 1, axis=0)
+    assert np.exp(language_model.log_probs(network.heads, every, np.arange(language_model.VOCAB + 1))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_attention_is_causal():
@@ -234,7 +256,7 @@ def test_gradients_equal_differences():
 
     def loss(q):
         top, _ = language_model._forward(q, x)
-        return -language_model.log_probs(q, top[used], y[used]).mean()
+        return -language_model.log_probs(language_model._heads(q), top[used], y[used]).mean()
 
     g = language_model._gradients(p, x, y, used)
     for k in ("q", "v", "near", "mix", "back", "group", "embed"):
