@@ -38,18 +38,28 @@ def _gap(width: int) -> str:
     return f"[^{CLAUSE_END}]{{0,{width}}}"
 
 
+def _after(words: Sequence[str], width: int, term: str) -> str:
+    """What stands up to `width` characters before a term that has just been read."""
+    return rf"\b(?:{_any(words)})\b{_gap(width)}{escape(term)}"
+
+
+def _counted(text: Column, term: str, pattern: str) -> Column:
+    return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
 def occurrences(text: Column, term: str, negations: Sequence[str] = NEGATIONS, window: int = 50) -> Column:
     """How often a term stands in the text without a negation up to `window` characters before it in
-    its clause. A negation that is part of the term does not count."""
-    return F.regexp_count(text, F.lit(rf"(?<!\b(?:{_any(negations)})\b{_gap(window)}){escape(term)}"))
+    its clause. A negation that is part of the term does not count. The pattern reads the term first,
+    so that it looks back only where there is one."""
+    return _counted(text, term, rf"{escape(term)}(?<!{_after(negations, window, term)})")
 
 
 def near_cause(text: Column, term: str, causes: Sequence[str] = CAUSES, negations: Sequence[str] = NEGATIONS, window: int = 90) -> Column:
     """Occurrences with an un-negated cause up to `window` characters before or behind."""
     free = rf"(?<!\b(?:{_any(negations)})\b{_gap(25)})(?:{_any(causes)})"
-    before = rf"(?<!\b(?:{_any(negations)})\b{_gap(50)})(?<=(?:{_any(causes)}){_gap(window)}){escape(term)}"
-    behind = rf"(?<!\b(?:{_any(negations)})\b{_gap(50)})(?<!(?:{_any(causes)}){_gap(window)}){escape(term)}(?={_gap(window)}{free})"
-    return F.regexp_count(text, F.lit(before)) + F.regexp_count(text, F.lit(behind))
+    own = rf"{escape(term)}(?<!{_after(negations, 50, term)})"
+    cause = rf"(?:{_any(causes)}){_gap(window)}{escape(term)}"
+    return _counted(text, term, rf"{own}(?:(?<={cause})|(?<!{cause})(?={_gap(window)}{free}))")
 
 
 def denies(text: Column, words: Sequence[str], negations: Sequence[str] = NEGATIONS) -> Column:
@@ -83,31 +93,41 @@ def decide(rules: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
 
 
 def classify_reason(reason: Column) -> Column:
-    """struct(label, reason, confidence, evidence) of a stated reason, by the built-in rule set."""
-    t = tx.normalized(reason)
-    no_safety, no_efficacy = denies(t, SAFETY_WORDS), denies(t, EFFICACY_WORDS)
-    operational = hits(t, OPERATIONAL)
-    busy = F.size(operational) > 0
-    safety = score(t, SAFETY, no_safety) - busy.cast("int")
-    efficacy = score(t, EFFICACY, no_efficacy) - busy.cast("int")
-    regulatory = score(t, REGULATORY, F.lit(False))
-    best, top = F.greatest(safety, efficacy), F.when(safety >= efficacy, "SAFETY").otherwise("EFFICACY/FUTILITY")
+    """struct(label, reason, confidence, evidence) of a stated reason, by the built-in rule set. What
+    several rules look at is computed once, so the expression stays small."""
+    return tx.let(tx.normalized(reason), lambda t: tx.let(_findings(t), lambda f: tx.let(_scores(t, f), lambda s: _label(t, f, s))))
+
+
+def _findings(t: Column) -> Column:
+    return F.struct(denies(t, SAFETY_WORDS).alias("no_safety"), denies(t, EFFICACY_WORDS).alias("no_efficacy"), hits(t, OPERATIONAL).alias("operational"))
+
+
+def _scores(t: Column, f: Column) -> Column:
+    less = (F.size(f["operational"]) > 0).cast("int")
+    return F.struct((score(t, SAFETY, f["no_safety"]) - less).alias("safety"), (score(t, EFFICACY, f["no_efficacy"]) - less).alias("efficacy"), score(t, REGULATORY, F.lit(False)).alias("regulatory"))
+
+
+def _label(t: Column, f: Column, s: Column) -> Column:
+    busy = F.size(f["operational"]) > 0
+    best = F.greatest(s["safety"], s["efficacy"])
+    top = F.when(s["safety"] >= s["efficacy"], "SAFETY").otherwise("EFFICACY/FUTILITY")
 
     def out(label: str, why, confidence: str, evidence: Column) -> Column:
         return F.struct(F.lit(label).alias("label"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))
 
-    scores = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in (("safety", safety), ("efficacy", efficacy), ("regulatory", regulatory))])
-    terms = F.array_join(operational, "|")
+    scores = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), s[n].cast("string")) for n in ("safety", "efficacy", "regulatory")])
+    terms = F.array_join(f["operational"], "|")
+    operational = out("NON_BIOLOGICAL", "OPERATIONAL", "HIGH", terms)
     return decide(
         [
             (t == "", out("UNCLEAR", "OTHER/UNKNOWN", "LOW", F.lit(""))),
-            (busy & t.rlike(r"\bnon-?(?:safety|efficacy)\b"), out("NON_BIOLOGICAL", "OPERATIONAL", "HIGH", terms)),
-            (busy & t.rlike(r"(?:safety|risk)[^.;:]{0,60}unchanged"), out("NON_BIOLOGICAL", "OPERATIONAL", "HIGH", terms)),
-            (busy & no_safety & no_efficacy, out("NON_BIOLOGICAL", "OPERATIONAL", "HIGH", terms)),
+            (busy & t.rlike(r"\bnon-?(?:safety|efficacy)\b"), operational),
+            (busy & t.rlike(r"(?:safety|risk)[^.;:]{0,60}unchanged"), operational),
+            (busy & f["no_safety"] & f["no_efficacy"], operational),
             (best >= 6, out("BIOLOGICAL_FAILURE", top, "HIGH", scores)),
             ((best >= 2) & ~busy, out("BIOLOGICAL_FAILURE", top, "MEDIUM", scores)),
-            (regulatory >= F.when(busy, 6).otherwise(4), out("NON_BIOLOGICAL", "REGULATORY", "MEDIUM", scores)),
-            (busy, out("NON_BIOLOGICAL", "OPERATIONAL", "HIGH", terms)),
+            (s["regulatory"] >= F.when(busy, 6).otherwise(4), out("NON_BIOLOGICAL", "REGULATORY", "MEDIUM", scores)),
+            (busy, operational),
         ],
         out("UNCLEAR", "OTHER/UNKNOWN", "LOW", scores),
     )
@@ -120,12 +140,13 @@ def is_placeholder(text: Column) -> Column:
 def with_fallback(reason: Column, *others: Column) -> Column:
     """The reason's class; where it is unclear or a placeholder, that of the first other text that
     says something, with where it came from."""
-    first = classify_reason(reason)
     tries = [F.struct(classify_reason(stop_snippet(o)).alias("c"), F.lit(i + 1).alias("source")) for i, o in enumerate(others)]
-    better = F.get(F.filter(F.array(*tries), lambda x: x["c"]["label"] != "UNCLEAR"), 0)
-    open_ = (first["label"] == "UNCLEAR") | is_placeholder(reason)
-    own = F.struct(first.alias("c"), F.lit(0).alias("source"))
-    return F.when(open_, F.coalesce(better, own)).otherwise(own)
+
+    def choose(own: Column) -> Column:
+        better = F.get(F.filter(F.array(*tries), lambda x: x["c"]["label"] != "UNCLEAR"), 0)
+        return F.when((own["c"]["label"] == "UNCLEAR") | is_placeholder(reason), F.coalesce(better, own)).otherwise(own)
+
+    return tx.let(F.struct(classify_reason(reason).alias("c"), F.lit(0).alias("source")), choose)
 
 
 def stop_snippet(text: Column, cues: Sequence[str] = ("stopped", "terminated", "discontinued", "halted", "withdrawn"), window: int = 360) -> Column:
