@@ -7,7 +7,7 @@ greatest answer in a chunk is kept, and the document is the mean and the maximum
 A small hidden layer turns these into one probability.
 
 The fit is on the driver, from a bounded sample of labelled rows (SAMPLE_ROWS per class, by
-hash of the id) and CHUNKS chunks spread evenly over each; scoring reads whole texts.
+hash of the id); fit and scoring both read all chunks of a text.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ WIDTH, FILTERS, DIMS, HIDDEN = 6, 32, 8, 16
 #: Filter places of a chunk; a chunk is WIDTH - 1 bytes longer.
 PLACES = 250
 CHUNK = PLACES + WIDTH - 1
-#: Rows per class that the fit takes at most, and chunks of each.
-SAMPLE_ROWS, CHUNKS = 1500, 6
+#: Rows per class that the fit takes at most.
+SAMPLE_ROWS = 1500
 STEPS, BATCH, RATE = 480, 50, 0.004
 #: Least score that predicts label 1.
 THRESHOLD = 0.3
@@ -35,6 +35,10 @@ THRESHOLD = 0.3
 Params = dict[str, np.ndarray]
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
 def chunks_of(text: bytes) -> np.ndarray:
     """(n, CHUNK) bytes, zero-padded; at least one chunk."""
     n = max(1, -(-(len(text) - WIDTH + 1) // PLACES))
@@ -76,8 +80,8 @@ def score_chunks(p: Params, tables: np.ndarray, chunks: np.ndarray, owner: np.nd
     return _head(p, mean, np.maximum.reduceat(pooled, first, axis=0))[2]
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Params:
-    """Adam on weighted log loss. texts: the sampled pieces of each document."""
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Params:
+    """Adam on weighted log loss over all chunks of each text."""
     rng = np.random.default_rng(seed)
     p: Params = {
         "embed": rng.normal(0, 0.5, (256, DIMS)), "taps": rng.normal(0, 0.4, (WIDTH, DIMS, FILTERS)),
@@ -85,7 +89,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, seed:
     }
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    pieces = [np.concatenate([chunks_of(t)[:1] for t in ts]) for ts in texts]
+    pieces = [chunks_of(t) for t in texts]
     step = 0
     for _ in range(-(-STEPS // -(-len(texts) // BATCH))):
         order = rng.permutation(len(texts))
@@ -137,18 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if set(totals) != {0, 1}:
         return float(next(iter(totals))) if totals else 0.5
-    step = F.greatest(F.lit(1), F.floor(F.length("text") / CHUNKS)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda i: F.encode(F.substr(F.col("text"), i * step + 1, F.lit(CHUNK)), "utf-8"))
     sample = []
     for label in (0, 1):
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-        sample += rows.select("id", "label", pieces.alias("pieces")).collect()
+        sample += rows.select("id", "label", "text").collect()
     if len({r["label"] for r in sample}) < 2:  # labelled ids that no document has
         return float(sample[0]["label"]) if sample else 0.5
-    # a short text's pieces run past its end: those with bytes stay, or one empty piece
-    sample.sort(key=lambda r: (str(r["id"]), r["label"], r["pieces"]))
-    texts = [[bytes(x)[:CHUNK] for x in r["pieces"] if x] or [b""] for r in sample]
+    sample.sort(key=lambda r: (str(r["id"]), r["label"], r["text"]))
+    texts = [_bytes(r["text"]) for r in sample]
     y = np.array([r["label"] for r in sample], float)
     weights = np.where(y == 1, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
     return fit(texts, y, weights)
@@ -167,7 +168,7 @@ def score(docs: DataFrame, model: Params | float, text_col: str = "text"):
                 continue
             out, held, size = [], [], 0
             for t in texts:
-                c = chunks_of((t or "").encode("utf-8", "replace"))
+                c = chunks_of(_bytes(t))
                 if held and size + len(c) > 8192:
                     out.append(_scores(m, tables, held))
                     held, size = [], 0
