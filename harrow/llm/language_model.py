@@ -9,7 +9,7 @@ that much context. The softmax has two levels, a group of ids and the id in its
 
 Training is data-parallel: in each of ROUNDS, every partition goes on from the shared parameters
 over segments of each of its training documents (every SEGMENT_EVERY-th run of SEGMENT_WORDS words,
-shifted from round to round, one at least), and the parameters are averaged with the number of ids
+shifted so that the rounds together read every run), and the parameters are averaged with the number of ids
 as weight. What is gathered - word counts and trained ids - grows with the corpus; the parameters
 do not.
 """
@@ -37,8 +37,11 @@ VOCAB = 1024
 END = VOCAB  # the id after each text
 GROUP = 32
 GROUPS = VOCAB // GROUP + 1
-DIMS, SPAN, STRIDE = 24, 24, 18
-ROUNDS, SEGMENT_WORDS, SEGMENT_EVERY = 2, 24, 16
+DIMS, SPAN, STRIDE = 24, 32, 24
+ROUNDS, SEGMENT_WORDS = 2, 24
+SEGMENT_EVERY = ROUNDS
+#: Segments that a task makes windows of at once.
+SEGMENTS_AT_ONCE = 4096
 #: Optimiser steps that a partition makes at least in a round; it repeats its segments for them.
 MIN_STEPS, BATCH, RATE = 150, 96, 0.03
 #: Windows that a task scores at once.
@@ -351,19 +354,20 @@ def _train_round(batches: Iterator[pa.RecordBatch], params, vocabulary: str, tur
         for doc, text in _rows(b):
             words = [] if is_held_out(doc) else words_of(text)
             runs = -(-len(words) // SEGMENT_WORDS)
-            # from a place that depends on the text, so that not only beginnings are read
-            begin = (zlib.crc32(text or b"") + turn * SEGMENT_EVERY // ROUNDS) % SEGMENT_EVERY
+            # from a place that depends on the text, so that a round reads not only beginnings
+            begin = (zlib.crc32(text or b"") + turn) % SEGMENT_EVERY
             for r in range(min(begin, max(0, runs - 1)), runs, SEGMENT_EVERY):
                 segments.append(known.of(words[r * SEGMENT_WORDS : (r + 1) * SEGMENT_WORDS]))
                 inner.append(r > 0)
                 open_.append(r + 1 < runs)
-        if segments:
-            x, y, used, owner = windows_of(segments)
+        for s in range(0, len(segments), SEGMENTS_AT_ONCE):
+            part = slice(s, s + SEGMENTS_AT_ONCE)
+            x, y, used, owner = windows_of(segments[part])
             # a segment inside its text begins and ends with no mark
-            first = np.concatenate([[True], owner[1:] != owner[:-1]]) & np.array(inner)[owner]
+            first = np.concatenate([[True], owner[1:] != owner[:-1]]) & np.array(inner[part])[owner]
             x[first, 0], used[first, 0] = y[first, 0], False
-            used &= (y != END) | ~np.array(open_)[owner][:, None]
-            found.append((x, y, used))
+            used &= (y != END) | ~np.array(open_[part])[owner][:, None]
+            found.append((x.astype(np.int16), y.astype(np.int16), used))
     if found:
         x, y, used = (np.concatenate(a) for a in zip(*found, strict=True))
         weight = float(used.sum())

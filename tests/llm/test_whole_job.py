@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from harrow.llm import quality_model
+import pyarrow as pa
+
+from harrow.llm import language_model, quality_model
 
 
 # --- quality classifier -----------------------------------------------------------------
@@ -22,3 +24,23 @@ def test_quality_model_learns_from_every_part_of_a_text(spark):
     marked = [r["score"] for r in out if r["doc_id"] % 2 == 0]
     plain = [r["score"] for r in out if r["doc_id"] % 2]
     assert marked and plain and max(marked) < 0.5 < min(plain)
+
+
+# --- language model ---------------------------------------------------------------------
+
+
+def test_language_model_rounds_read_every_run(monkeypatch):
+    read, whole = [], language_model.windows_of
+    monkeypatch.setattr(language_model, "windows_of", lambda texts: read.extend(map(tuple, texts)) or whole(texts))
+    monkeypatch.setattr(language_model, "train_local", lambda p, *_: {})
+    words, known = [f"w{i}" for i in range(2000)], language_model.WordIds()
+    ids = [i for i in range(20) if not language_model.is_held_out(i)]
+    texts = [" ".join(words[i * 100 : i * 100 + 30 * i + 1]) for i in ids]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["id", "text"])
+    for turn in range(language_model.ROUNDS):
+        list(language_model._train_round(iter([batch]), type("P", (), {"value": {}}), language_model.VOCABULARY, turn))
+    n = language_model.SEGMENT_WORDS
+    for t in texts:
+        w = language_model.words_of(t.encode())
+        assert all(tuple(known.of(w[s : s + n])) in read for s in range(0, len(w), n))
+    assert (language_model.SPAN, language_model.STRIDE) == (32, 24)
