@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton runs once over a whole text and stops only at anchors: at-signs,
+An Aho-Corasick automaton runs once over a whole text, in ASCII lower case, and stops only at anchors: at-signs,
 plus signs, digits, URL schemes and identifier cues. At each anchor a small deterministic
 parser widens the match to its left and right boundary and validates it. The four base kinds
 equal leftmost, non-overlapping matches of their patterns; further kinds only add spans.
@@ -41,7 +41,7 @@ _URL = re.compile(r"[^\s<>\"'(){}\[\]|\\^`]+")
 _SSN = re.compile(r"\W{0,4}(?:number|no\.?|is)?\W{0,4}([0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4})(?![0-9])", re.I)
 _IBAN = re.compile(r"\W{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Z0-9])")
 _ACCOUNT = re.compile(r"(?:\s+(?:number|no\.?))?\s*[:#=]?\s*([A-Z]{0,2}[0-9](?:-?[0-9]){5,16})(?![A-Za-z0-9])", re.I)
-_SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{16,}={0,2})[\"']?")
+_SECRET = re.compile(r"[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{16,}={0,2})[\"']?")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -51,16 +51,16 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("@", (1, "at"))
     a.add_word("+", (1, "plus"))
     for s in SCHEMES:
-        for v in {s, s.upper(), s.capitalize()}:
-            a.add_word(v, (len(v), "url"))
+        a.add_word(s, (len(s), "url"))
     for cue, kind in CUES.items():
-        for v in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(v, (len(v), kind))
+        a.add_word(cue, (len(cue), kind))
     a.make_automaton()
     return a
 
 
 _ANCHORS = _automaton()
+#: ASCII only, so that offsets stay.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +84,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         return []
     out: list[tuple[int, int, str]] = []
     email_end = dotted_end = digits_end = phone_end = url_end = 0
-    for end, (size, what) in _ANCHORS.iter(text):
+    for end, (size, what) in _ANCHORS.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = end - size + 1
         if what == "digit":
             if at >= digits_end:

@@ -6,7 +6,7 @@ import random
 
 import pyarrow as pa
 
-from harrow.llm import language_model, quality_model
+from harrow.llm import language_model, pii, quality_model
 
 
 # --- quality classifier -----------------------------------------------------------------
@@ -44,3 +44,16 @@ def test_language_model_rounds_read_every_run(monkeypatch):
         w = language_model.words_of(t.encode())
         assert all(tuple(known.of(w[s : s + n])) in read for s in range(0, len(w), n))
     assert (language_model.SPAN, language_model.STRIDE) == (32, 24)
+
+
+# --- personal data ----------------------------------------------------------------------
+
+
+def test_pii_cues_in_any_case_and_quoted():
+    key = "Ab3dEf6hIj9lMn2pQr5t"
+    for text, found, kind in [
+        ("Social Security Number: 123-45-6789", "123-45-6789", "ssn"), ("pAsSpOrT no. 12345678", "12345678", "account"),
+        (f"apiKey={key}", key, "secret"), (f"İß ApiKey: {key}", key, "secret"), (f"API_Key = {key}", key, "secret"),
+        (f'{{"password": "{key}"}}', key, "secret"), (f"'api_key' : '{key}'", key, "secret"),
+    ]:
+        assert [(text[s:e], k) for s, e, k in pii.find(text) if k in pii.ADDED_KINDS] == [(found, kind)], text
