@@ -6,7 +6,7 @@ import random
 
 import pyarrow as pa
 
-from harrow.llm import language_model, pii, quality_model
+from harrow.llm import language_model, licenses, pii, quality_model
 
 
 # --- quality classifier -----------------------------------------------------------------
@@ -57,3 +57,25 @@ def test_pii_cues_in_any_case_and_quoted():
         (f'{{"password": "{key}"}}', key, "secret"), (f"'api_key' : '{key}'", key, "secret"),
     ]:
         assert [(text[s:e], k) for s, e, k in pii.find(text) if k in pii.ADDED_KINDS] == [(found, kind)], text
+
+
+# --- licences ---------------------------------------------------------------------------
+
+
+def test_licenses_wrapped_over_lines(spark):
+    rows = [(i, f"The weather on day {i} was mild and the harbour town counted {i * 31} boats") for i in range(300)]
+    planted = {
+        1000: ("# under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2", ["gpl"]),
+        1001: (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:", ["bsd"]),
+        1002: ("CC0 1.0 Universal", ["cc0"]),
+        1003: ("Released under the MIT License.\nunder the terms of the GNU\nLesser General Public License as\npublished by the Free Software\nFoundation", ["lgpl", "mit"]),
+        1004: ("under the terms of the GNU General Public License as published by\n\nthe Free Software Foundation", []),
+        1005: ("Released under the MIT License.\nLicensed under the MIT License\nand more", ["mit", "mit"]),
+    }
+    rows += [(i, f"{rows[i - 1000][1]}\n{t}\n{rows[i - 990][1]}") for i, (t, _) in planted.items()]
+    table, paragraphs = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {r["row"]: r["id"] for r in table.collect()}
+    found = {i: [] for i in planted}
+    for r in paragraphs.where("confirmed").collect():
+        found[ids[r["row"]]].append(r["family"])
+    assert {i: sorted(f) for i, f in found.items()} == {i: f for i, (_, f) in planted.items()}
