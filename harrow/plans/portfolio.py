@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -253,6 +255,14 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p07_denied_evidence")
 def denied_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts whose only mentions are denied but that a rule still counts: none by construction."""
-    t = text.normalized(F.col("text"))
-    return table(spark, sf_dir, "documents").agg(F.count_if((classify.occurrences(t, "license") > 0) & ~classify.affirms(t, ["license"])).alias("n"))
+    """Texts classified as a safety failure though every clause that names safety denies it."""
+    return table(spark, sf_dir, "documents").agg(F.count_if(denied_safety(F.col("text"))).alias("n"))
+
+
+def denied_safety(reason: Column) -> Column:
+    """The test for denial is a pattern of its own, with no window: a negation stands somewhere before the
+    first safety word of each clause that has one."""
+    words = "|".join(re.escape(w) for w in (*classify.SAFETY_WORDS, *classify.SAFETY))
+    clauses = F.filter(F.split(text.normalized(reason), "[.;:]"), lambda c: c.rlike(rf"(?:{words})"))
+    denied = F.forall(clauses, lambda c: c.rlike(rf"^(?:(?!{words}).)*?\b(?:no|not|without|never|neither|nor|unrelated to|rather than)\b"))
+    return F.coalesce((classify.classify_reason(reason)["reason"] == "SAFETY") & (F.size(clauses) > 0) & denied, F.lit(False))
