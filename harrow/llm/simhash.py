@@ -171,24 +171,56 @@ def link_edges(fps: DataFrame, block: int = 4096) -> DataFrame:
     return rows.mapInArrow(_links, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, fp (long), component (least id reachable), and `keep`.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, digest of the text, fp: what decides, without the texts."""
+    digest = F.xxhash64(F.col(text_col)).alias("digest")
+    return materialize(docs.select(F.col(id_col).alias("id"), digest, _fingerprints(F.col(text_col)).alias("fp")))
 
-    Null, empty and blank texts have fingerprint zero, linked like any other. Equal
-    fingerprints are one node, so copies never meet in pairs. Rows without an id belong to a
-    component but never name it (a component of such rows alone has a null name). Repeated rows
-    stay rows of their own; an empty table gives an empty result; other columns are ignored.
-    """
-    kept = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("kept")
-    marked = materialize(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp"), kept))
+
+def _components(marked: DataFrame) -> DataFrame:
+    """fp -> root, and component: the least id of all rows under that root."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(link_edges(nodes))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = materialize(named)
     names = materialize(named.groupBy("root").agg(F.min("first_id").alias("component")).withColumnRenamed("root", "r"))
-    by_fp = materialize(named.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component"))
-    out = marked.join(by_fp, F.col("fp") == F.col("f"))
-    return out.select(F.col("id").alias(id_col), "fp", "component", *[F.col("kept")[c].alias(c) for c in keep])
+    return materialize(named.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, fp (long), component (least id reachable).
+
+    Null, empty and blank texts have fingerprint zero, linked like any other. Equal
+    fingerprints are one node, so copies never meet in pairs. Rows without an id belong to a
+    component but never name it (a component of such rows alone has a null name). Repeated rows
+    stay rows of their own; an empty table gives an empty result; other columns are ignored.
+    """
+    marked = _marked(docs, id_col, text_col)
+    out = marked.join(_components(marked), F.col("fp") == F.col("f"))
+    return out.select(F.col("id").alias(id_col), "fp", "component")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near-duplicates one row, with all its columns: the one of least id
+    (null ids last), then of least digest of the text, and one of rows that share both.
+
+    Survivors are chosen on ids, digests and fingerprints alone; texts pass one join. A null text
+    counts as empty for its fingerprint. An empty table gives an empty result. Columns may have any
+    names but `_id`, `_digest` and `_n`.
+    """
+    marked = _marked(docs, id_col, text_col)
+    # first of each fingerprint, so that a fingerprint with very many rows meets its root once
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", F.coalesce("digest", F.lit(0)).alias("digest"))
+    first = materialize(marked.groupBy("fp").agg(F.min(place).alias("p")))
+    rooted = first.join(_components(marked), F.col("fp") == F.col("f")).groupBy("root").agg(F.min("p").alias("p"))
+    chosen = materialize(rooted.select(F.col("p.id").alias("_id"), F.col("p.digest").alias("_digest")))
+    times = marked.groupBy("id", F.coalesce("digest", F.lit(0)).alias("digest")).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))
+    chosen = materialize(chosen.join(times, same, "left").select("_id", "_digest", F.coalesce("_n", F.lit(1)).alias("_n")))
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)) == F.col("_digest"))
+    once = docs.join(chosen.where("_n = 1"), mine, "left_semi")
+    many = docs.join(chosen.where("_n > 1"), mine).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    return once.unionByName(many)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
