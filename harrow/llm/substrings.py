@@ -2,56 +2,63 @@
 
 Seeds are winnowed anchors: of the 13 runs of eight words inside a window of 20 words, the one
 of least hash. The choice depends only on the window's words, so two equal windows carry the
-same anchor at the same place, and documents meet by a shuffle on anchors. Each seed is
-extended both ways to the windows that chose it; a window is repeated if an equal one - same
-anchor, same words to the left and to the right - starts earlier. Runs of repeated windows are
-the maximal repeats, and the words they cover are removed.
-
-Equality of windows is equality of two independent 64-bit hashes (anchor and whole window).
+same anchor at the same place, and documents meet by a shuffle on anchors. A seed carries the
+words that its windows span. Seeds of one anchor are compared word by word, first the anchor
+itself, then one word further to the left and to the right at a time: seeds that still agree
+stay in one class. A window that reaches d words left of its anchor is repeated if an earlier
+seed agrees over d words to the left and the rest to the right. Runs of repeated windows are the
+maximal repeats, and the words they cover are removed. Hashes only bring seeds together; what
+counts as equal is decided on the words.
 
 To keep very common passages out of single tasks, each task first settles windows among its own
 documents: only the earliest of equal windows goes on, the others are already known to be
 repeats. So a passage costs at most one row per input batch, however many documents hold it.
+An anchor that still has more than HOT_SEEDS seeds (a common line in ever different
+surroundings) is dealt out by its windows: one row per window, by the hash of the window's words.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, bit_filter, in_filter, materialize, read, slices
+from .common import SPACE_TABLE, Words, bit_filter, checked_broadcast, in_filter, materialize, read, slices
 
 WINDOW = 20
 ANCHOR = 8
 #: Fixed size of the filter of repeated anchors: 2**27 bits are 16 MB.
 FILTER_BITS = 27
-_AT_BITS = 23
-_AT = np.uint64((1 << _AT_BITS) - 1)
+#: Seeds of one anchor that are settled in one task; beyond it they are dealt out by their windows.
+HOT_SEEDS = 64
+#: Hot anchors up to which their table is broadcast.
+BROADCAST_ANCHORS = 500_000
 
 
-def _anchored(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window inside one text: start word, hash of the window, start word of its anchor."""
-    whole_hash, whole = words.grams(window, salt=window)
+def _anchored(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window inside one text: start word, and start word of its anchor."""
+    n = len(words) - window + 1
+    whole = words.text[: max(0, n)] == words.text[window - 1 :]
     if not whole.any():
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     grams, _ = words.grams(anchor, salt=anchor)
-    # hash and place in one number: least hash, and the leftmost of equal ones
-    key = (grams & ~_AT) | (np.arange(len(grams), dtype=np.uint64) & _AT)
-    span, low, width = window - anchor + 1, key, 1
+    # place of the least hash among the runs from each place on; the leftmost of equal ones
+    span, least, width = window - anchor + 1, np.arange(len(grams)), 1
+
+    def lesser(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(grams[y] < grams[x], y, x)
+
     while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
+        least = lesser(least[:-width], least[width:])
         width *= 2
-    low = np.minimum(low[: len(whole)], low[span - width :][: len(whole)])
     start = np.flatnonzero(whole)
-    base = start.astype(np.uint64)
-    # the place is known modulo 2**_AT_BITS and lies within `span` of the start
-    at = base + (((low[start] & _AT) - base) & _AT)
-    return start, whole_hash[start], at.astype(np.int64)
+    return start, lesser(least[start], least[start + span - width])
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -59,14 +66,66 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
     for b in batches:
         for _, texts in slices(b, "text"):
             w = Words(texts, SPACE_TABLE)
-            _, _, at = _anchored(w, window, anchor)
+            _, at = _anchored(w, window, anchor)
             if len(at):
                 h, n = np.unique(w.grams(anchor, salt=anchor)[0][np.unique(at)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
 
-_SEEDS = "anchor long, id long, digest long, start int, windows binary, runs binary"
-_SEED_SCHEMA = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("windows", pa.binary()), ("runs", pa.binary())])
+_SEEDS = "anchor long, id long, digest long, start int, n int, at int, span binary, runs binary"
+_SEED_SCHEMA = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("span", pa.binary()), ("runs", pa.binary())])
+
+
+def _numbers() -> defaultdict:
+    """A number for each distinct word that is asked for."""
+    return defaultdict(count().__next__)
+
+
+def _refined(classes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes of equal (class, word); words are numbers from -1 on."""
+    return np.unique(classes * np.int64(word.max() + 2) + word + 1, return_inverse=True)[1]
+
+
+def repeated_windows(group: np.ndarray, ids: np.ndarray, digests: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray, base: np.ndarray, words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seed and start word of each window that an earlier equal window repeats.
+
+    A seed has n windows from word `start` of its document on; their words stand in `words` (word
+    numbers) from `base` on, and the anchor `at` words after that. Only seeds of one group are
+    compared. Earlier is a smaller id, or the same id and a smaller start.
+    """
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    # in the order that decides what is earlier, for windows at the same distance from their anchor
+    sub = many[np.lexsort((digests[many], (start + at)[many], ids[many]))]
+    if not len(sub):
+        return sub, sub
+    n, at, base = (x[sub].astype(np.int64) for x in (n, at, base))
+    core, end = base + at, base + n + window - 1
+
+    def word(place: np.ndarray) -> np.ndarray:
+        inside = (place >= base) & (place < end)
+        return np.where(inside, words[np.where(inside, place, 0)], -1).astype(np.int64)
+
+    classes = np.unique(group[sub], return_inverse=True)[1].astype(np.int64)
+    for j in range(anchor):
+        classes = _refined(classes, word(core + j))
+    reach = window - anchor
+    left, right = [classes], [classes]
+    for d in range(reach):
+        left.append(_refined(left[-1], word(core - 1 - d)))
+        right.append(_refined(right[-1], word(core + anchor + d)))
+    seeds, starts = [], []
+    own_ids, own_core = ids[sub], (start[sub] + at).astype(np.int64)
+    for d in range(reach + 1):
+        has = np.flatnonzero((at >= d) & (at - d < n))
+        if not len(has):
+            continue
+        _, first, kind = np.unique(left[d][has] * np.int64(len(sub)) + right[reach - d][has], return_index=True, return_inverse=True)
+        lead = has[first[kind]]
+        # rows of one id and place do not precede each other
+        later = (own_ids[has] != own_ids[lead]) | (own_core[has] != own_core[lead])
+        seeds.append(sub[has[later]])
+        starts.append(own_core[has[later]] - d)
+    return np.concatenate(seeds), np.concatenate(starts)
 
 
 def _runs(start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,51 +139,48 @@ def _runs(start: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bits) -> Iterator[pa.RecordBatch]:
-    """(id, digest, text) -> the windows at repeated anchors, settled within the batch.
+    """(id, digest, text) -> the seeds at repeated anchors, settled within the batch.
 
-    Rows with an anchor carry the windows (hashes, consecutive from `start`) that may be the first
-    of their kind; rows without one carry the runs known to be repeats (pairs of start words)."""
+    Rows with an anchor carry the words of the seed's windows, some of which may be the first of
+    their kind; rows without one carry the runs known to be repeats (pairs of start words)."""
     for b in batches:
-        # within the batch in the order that decides what is earlier
-        order = np.lexsort((b.column("digest").to_numpy(), b.column("id").to_numpy()))
-        b = b.take(pa.array(order))
-        ids, digests = b.column("id").to_numpy(), b.column("digest").to_numpy()
-        found = []
+        all_ids, all_digests = b.column("id").to_numpy(), b.column("digest").to_numpy()
+        number, done = _numbers(), 0
+        found, data, words = [], [], []
         for begin, texts in slices(b, "text"):
             w = Words(texts, SPACE_TABLE)
-            start, h, at = _anchored(w, window, anchor)
-            a = w.grams(anchor, salt=anchor)[0][at] if len(at) else np.empty(0, np.uint64)
-            ok = in_filter(bits.value, a) if len(a) else np.empty(0, bool)
-            start, h, a, at = start[ok], h[ok], a[ok], at[ok]
+            start, at = _anchored(w, window, anchor)
+            if not len(at):
+                continue
+            a = w.grams(anchor, salt=anchor)[0][at]
+            ok = in_filter(bits.value, a)
+            start, a, at = start[ok], a[ok], at[ok]
+            # a seed is an anchor with the consecutive windows that chose it
+            opens = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+            n = np.diff(np.concatenate([opens, [len(at)]]))
+            start, a, at = start[opens], a[opens], at[opens]
             text = w.text[start]
-            found.append((text + begin, start - w.first[text], h, a, at - w.first[text]))
+            found.append((text + begin, start - w.first[text], n, at - start, a, start + done, np.full(len(opens), len(data)), w.starts[start], w.ends[start + n + window - 2]))
+            data.append(w.data)
+            words.append(np.fromiter(map(number.__getitem__, w.data.split()), np.int32, len(w)))
+            done += len(w)
         if not found:
             continue
-        doc, start, h, a, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(doc):
-            continue
-        by = np.argsort(h, kind="stable")
-        same = np.concatenate([[False], (h[by][1:] == h[by][:-1]) & (a[by][1:] == a[by][:-1])])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))  # the earliest of each kind
-        later = np.empty(len(by), bool)
-        x, y = by, by[lead]
-        # rows of one id and place do not precede each other
-        later[by] = same & ((ids[doc[x]] != ids[doc[y]]) | (start[x] != start[y]))
-        first = ~later
-        # one row for each seed that still has a window to settle
-        seed_new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-        opens = np.flatnonzero(seed_new)
-        wants = np.bitwise_or.reduceat(first, opens)
-        sizes = np.diff(np.concatenate([opens, [len(doc)]]))
-        hashes = h.tobytes()
-        take = np.flatnonzero(wants)
+        doc, start, n, at, a, base, part, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, digests = all_ids[doc], all_digests[doc]
+        group = np.unique(a, return_inverse=True)[1] if len(a) else np.empty(0, np.int64)
+        seed, later = repeated_windows(group, ids, digests, start, n, at, base, np.concatenate(words), window, anchor)
+        known = np.bincount(seed, minlength=len(doc))
+        take = np.flatnonzero(known < n)  # some window of theirs is the first here
         for s in range(0, len(take), 20_000):
-            o = opens[take[s : s + 20_000]]
-            n = sizes[take[s : s + 20_000]]
-            payload = [hashes[i * 8 : (i + k) * 8] for i, k in zip(o.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[o].view(np.int64)), pa.array(ids[doc[o]]), pa.array(digests[doc[o]]), pa.array(start[o].astype(np.int32)), pa.array(payload, pa.binary()), pa.nulls(len(o), pa.binary())], schema=_SEED_SCHEMA)
-        owner, lo, hi = _runs(start[later], doc[later])
-        yield _run_rows(ids[owner], digests[owner], lo, hi, owner)
+            t = take[s : s + 20_000]
+            span = [data[i][x:y] for i, x, y in zip(part[t].tolist(), lo[t].tolist(), hi[t].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[t].view(np.int64)), pa.array(ids[t]), pa.array(digests[t]), *(pa.array(x[t].astype(np.int32)) for x in (start, n, at)), pa.array(span, pa.binary()), pa.nulls(len(t), pa.binary())], schema=_SEED_SCHEMA
+            )
+        by = np.lexsort((later, doc[seed]))
+        owner, lo, hi = _runs(later[by], doc[seed][by])
+        yield _run_rows(all_ids[owner], all_digests[owner], lo, hi, owner)
 
 
 def _run_rows(ids: np.ndarray, digests: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
@@ -134,26 +190,34 @@ def _run_rows(ids: np.ndarray, digests: np.ndarray, lo: np.ndarray, hi: np.ndarr
     pairs = np.stack([lo, hi], axis=1).astype(np.int32).tobytes()
     runs = [pairs[s * 8 : e * 8] for s, e in zip(opens.tolist(), ends.tolist(), strict=True)]
     n = len(opens)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[opens]), pa.array(digests[opens]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())], schema=_SEED_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[opens]), pa.array(digests[opens]), *[pa.nulls(n, pa.int32())] * 3, pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())], schema=_SEED_SCHEMA)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Seeds of hot anchors -> a seed for each of their windows, with a salt from its words."""
+    for b in batches:
+        rows: dict[str, list] = {c: [] for c in ("anchor", "id", "digest", "start", "n", "at", "span", "salt")}
+        for r in b.select(["anchor", "id", "digest", "start", "n", "at", "span"]).to_pylist():
+            words = r["span"].split()
+            for k in range(r["n"]):
+                span = b" ".join(words[k : k + window])
+                salt = xxhash.xxh64_intdigest(span) - (1 << 63)
+                for c, v in zip(rows, (r["anchor"], r["id"], r["digest"], r["start"] + k, 1, r["at"] - k, span, salt), strict=True):
+                    rows[c].append(v)
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([*[_SEED_SCHEMA.field(c) for c in list(rows)[:-1]], ("salt", pa.int64())]))
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole anchors, sorted by anchor -> runs of windows that an earlier equal window repeats."""
+def _settle(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups, sorted by anchor and salt -> runs of windows that an earlier equal window repeats."""
 
     def settle(t: pa.Table) -> pa.RecordBatch:
-        a, ids, digests, starts = (t.column(c).to_numpy() for c in ("anchor", "id", "digest", "start"))
-        payload = t.column("windows").to_pylist()
-        n = np.array([len(p) // 8 for p in payload], np.int64)
-        seed = np.repeat(np.arange(len(a)), n)
-        h = np.frombuffer(b"".join(payload), np.uint64)
-        start = starts[seed] + np.arange(len(seed)) - np.repeat(np.cumsum(n) - n, n)
-        by = np.lexsort((digests[seed], start, ids[seed], h))
-        x = by[1:]
-        same = np.concatenate([[False], (h[x] == h[by[:-1]]) & (a[seed[x]] == a[seed[by[:-1]]])])
-        lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-        later = np.empty(len(by), bool)
-        later[by] = same & ((ids[seed[by]] != ids[seed[lead]]) | (start[by] != start[lead]))
-        owner, lo, hi = _runs(start[later], seed[later])
+        a, salt, ids, digests, start, n, at = (t.column(c).to_numpy() for c in ("anchor", "salt", "id", "digest", "start", "n", "at"))
+        group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])]))
+        sizes = n.astype(np.int64) + window - 1
+        words = np.fromiter(map(_numbers().__getitem__, b" ".join(t.column("span").to_pylist()).split()), np.int32, int(sizes.sum()))
+        seed, later = repeated_windows(group, ids, digests, start, n, at, np.cumsum(sizes) - sizes, words, window, anchor)
+        by = np.lexsort((later, seed))
+        owner, lo, hi = _runs(later[by], seed[by])
         return _run_rows(ids[owner], digests[owner], lo, hi, owner)
 
     held: list[pa.RecordBatch] = []
@@ -161,10 +225,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(b)
         if sum(x.num_rows for x in held) >= 1 << 17:
             t = pa.Table.from_batches(held).combine_chunks()
-            a = t.column("anchor").to_numpy()
-            cut = int(np.searchsorted(a, a[-1]))  # sorted by anchor: the last may go on
+            a, salt = t.column("anchor").to_numpy(), t.column("salt").to_numpy()
+            other = np.flatnonzero((a != a[-1]) | (salt != salt[-1]))  # the last group may go on
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield settle(t.slice(0, cut))
+                yield settle(t.slice(0, cut).combine_chunks())
             held = t.slice(cut).to_batches()
     if held and sum(x.num_rows for x in held):
         yield settle(pa.Table.from_batches(held).combine_chunks())
@@ -208,8 +273,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "anchor", FILTER_BITS))
     seeds = materialize(rows.mapInArrow(lambda it: _seeds(it, window, anchor, bits), _SEEDS))
-    open_seeds = seeds.where(F.col("anchor").isNotNull()).drop("runs").repartition("anchor").sortWithinPartitions("anchor")
-    settled = open_seeds.mapInArrow(_settle, _SEEDS)
+    open_seeds = seeds.where(F.col("anchor").isNotNull()).drop("runs")
+    sizes = open_seeds.groupBy("anchor").agg(F.count("*").alias("seeds")).where(F.col("seeds") > HOT_SEEDS)
+    hot = checked_broadcast(materialize(sizes.select("anchor")), BROADCAST_ANCHORS)
+    fields = "anchor long, id long, digest long, start int, n int, at int, span binary, salt long"
+    dealt = open_seeds.join(hot, "anchor", "left_semi").mapInArrow(lambda it: _dealt(it, window), fields)
+    groups = open_seeds.join(hot, "anchor", "left_anti").withColumn("salt", F.lit(0).cast("long")).unionByName(dealt)
+    groups = groups.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    settled = groups.mapInArrow(lambda it: _settle(it, window, anchor), _SEEDS)
     runs = seeds.where(F.col("anchor").isNull()).union(settled).groupBy("id", "digest").agg(F.collect_list("runs").alias("runs"))
     joined = rows.join(materialize(runs), ["id", "digest"], "left").select("id", "text", "runs")
     out = joined.mapInArrow(lambda it: _removed(it, window), "id long, n_words long, n_removed long, kept string")
