@@ -22,11 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document whose id names it (of rows that share
-    that id, one). Documents without an id stay where no document with one is in their component."""
-    found = simhash.near_duplicates(docs, keep=COLUMNS[1:])
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component")))
-    return kept.dropDuplicates(["doc_id", "component", "fp"]).select(*COLUMNS)
+    """Of each component of near-duplicates one document: the one of least id (null ids last)."""
+    return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
