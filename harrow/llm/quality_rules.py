@@ -1,14 +1,18 @@
 """Quality rules: base limits, then robust multivariate outliers (DataFrame functions only).
 
 Statistic vectors are transformed so that clean text is about normal. For each language and
-source the minimum covariance determinant gives location and scatter: from a robust start
-(medians and median deviations) concentration steps take the share `support` of rows nearest by
-Mahalanobis distance, estimate mean and covariance of these, and repeat. Rows beyond a chi-square
-limit are rejected. Groups with few rows share the estimate of their language, and languages
-with few rows that of all such rows.
-
-Every step is a grouped aggregate over a narrow table, combined before the shuffle; quantiles
-come from fixed-width histograms, so no group's rows ever meet in one task.
+source the minimum covariance determinant gives location and scatter. Concentration steps take
+the share `support` of rows nearest by Mahalanobis distance and estimate mean and covariance of
+these, until the determinant settles; they run from each of three deterministic starts (medians
+with median deviations; mean and covariance of all rows; those of the half nearest to the
+medians), and the start that ends at the least determinant stands. One reweighting step follows:
+mean and covariance of all rows within the 0.975 quantile. Rows beyond a chi-square limit are
+rejected. Groups with few rows share the estimate of their language, and languages with few rows
+that of all such rows.
+
+Statistics are rounded to 1/1000, and equal vectors of a group become one cell with a count; all
+steps work on cells. A step is one aggregate into fixed-width bins of the distance, combined
+before the shuffle; so no group's rows ever meet in one task, and reruns agree.
 """
 
 from __future__ import annotations
@@ -22,14 +26,17 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 #: Limits of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of rows that a concentration step keeps, and number of steps.
-SUPPORT, STEPS = 0.75, 4
+#: Share of rows that a concentration step keeps, and the most steps that it may take to settle.
+SUPPORT, MAX_STEPS = 0.75, 40
+#: Change of the logarithm of the determinant below which a start has settled.
+SETTLED = 1e-6
 #: Rows from which a group gets an estimate of its own.
 MIN_GROUP = 100
 #: Squared distance above which a row is rejected: the 1 - 1e-6 quantile of chi-square, 4 degrees.
 LIMIT = 33.38
-#: Consistency factor of the raw covariance at support 0.75 and 4 dimensions (normal model).
-CONSISTENCY = 1.49
+#: Consistency factors (normal model, 4 dimensions) of the covariance of the nearest 0.75 and 0.975,
+#: and the 0.975 quantile of chi-square, 4 degrees.
+CONSISTENCY, REWEIGHTED, NEAR = 1.486, 1.0644, 11.143
 #: Standard deviation that each transformed statistic has at least; it keeps columns that are
 #: constant in clean text (no symbols, no repeats) from being judged at zero width.
 FLOORS = (0.08, 0.10, 0.10, 0.10)
@@ -90,66 +97,67 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _features() -> dict[str, Column]:
     """About normal and comparable between short and long texts: rates with a prior of 20 words."""
     n = F.col("n_words") + 20.0
-    return {
+    values = {
         "f_length": F.log((F.col("word_chars") + 20 * 5.5) / n),
         "f_symbols": F.sqrt(F.col("n_symbols") / n),
         "f_lines": F.sqrt(F.col("n_dup_lines") * 10.0 / n),
         "f_repeats": F.sqrt(F.col("n_repeat_words") / n),
     }
+    return {k: F.round(v, 3) for k, v in values.items()}
 
 
-def _histogram_quantile(rows: DataFrame, value: Column, share: float, width: float) -> DataFrame:
-    """g -> q: upper edge of the histogram bin in which each group reaches the share. Bins have a
-    fixed width, so there are as many rows as bins in use, and reruns agree."""
-    bins = rows.select("g", F.floor(value / width).alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("g").orderBy("bin")
-    total = F.sum("n").over(Window.partitionBy("g"))
-    reached = bins.select("g", "bin", (F.sum("n").over(upto) >= F.ceil(total * F.lit(share))).alias("in"))
-    return reached.where("in").groupBy("g").agg(((F.min("bin") + 1) * width).alias("q"))
+_BIN = 0.01
 
 
-def _log_distance(d2: Column) -> Column:
-    """Squared distance on a scale where fixed-width bins fit small and large values."""
-    return F.log1p(d2)
+def _share_bins(bins: DataFrame, by: list[str], share: float) -> DataFrame:
+    """bins (by, bin, n, ...) -> those up to the one in which each group reaches the share of its rows."""
+    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return bins.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("total", total).where(F.col("before") < F.ceil(F.col("total") * F.lit(share)))
 
 
-def _moments(rows: DataFrame, fallback_floor: bool = True) -> DataFrame:
-    """g -> mean m_i and the lower triangle of the inverse Cholesky factor, w_ij, of the covariance."""
-    p = len(FEATURES)
-    aggs = [F.count("*").alias("n"), *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES))]
-    aggs += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*aggs)
-    for i in range(p):
-        for j in range(i + 1):
-            cov = (F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY
-            # the floor's variance is added to each diagonal entry, so the matrix is positive definite
-            out = out.withColumn(f"c_{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else cov)
-    # covariance = L L'; distances need L's inverse
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}{j}"))
-    for i in range(p):
-        for j in range(i + 1):
-            if i == j:
-                w = 1 / F.col(f"l_{i}{i}")
-            else:
-                w = F.lit(0.0)
-                for k in range(j, i):
-                    w = w - F.col(f"l_{i}{k}") * F.col(f"w_{k}{j}")
-                w = w / F.col(f"l_{i}{i}")
-            out = out.withColumn(f"w_{i}{j}", w)
-    keep = [f"m_{i}" for i in range(p)] + [f"w_{i}{j}" for i in range(p) for j in range(i + 1)]
-    return out.select("g", *keep)
+def _medians(values: DataFrame) -> DataFrame:
+    """values (g, i, v, n) -> g, i, q: upper edge of the bin with the weighted median."""
+    bins = values.groupBy("g", "i", F.floor(F.col("v") / _BIN).alias("bin")).agg(F.sum("n").alias("n"))
+    return _share_bins(bins, ["g", "i"], 0.5).groupBy("g", "i").agg(((F.max("bin") + 1) * _BIN).alias("q"))
+
+
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
+    n, x = F.col("n"), [F.col(f) for f in FEATURES]
+    return [F.sum("n").alias("n"), *(F.sum(n * x[i]).alias(f"m_{i}") for i in range(len(x))), *(F.sum(n * x[i] * x[j]).alias(f"s_{i}{j}") for i, j in _PAIRS)]
+
+
+def _estimates(sums: DataFrame, factor: float) -> DataFrame:
+    """Sums over the rows taken (g, k, n, m_i, s_ij, was) -> mean m_i, the lower triangle w_ij of the inverse
+    Cholesky factor of the covariance, log_det, and was (the log_det before the step)."""
+    p, out = len(FEATURES), sums
+    out = out.withColumns({f"m_{i}": F.col(f"m_{i}") / F.col("n") for i in range(p)})
+    for i, j in _PAIRS:
+        cov = (F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor
+        # the floor's variance is added to each diagonal entry, so the matrix is positive definite
+        out = out.withColumn(f"c_{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else cov)
+    # covariance = L L'; distances need L's inverse, and the diagonal of L has the determinant
+    for i, j in _PAIRS:
+        rest = F.col(f"c_{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}{j}"))
+    for i, j in _PAIRS:
+        w = F.lit(1.0) if i == j else F.lit(0.0)
+        for k in range(j, i):
+            w = w - F.col(f"l_{i}{k}") * F.col(f"w_{k}{j}")
+        out = out.withColumn(f"w_{i}{j}", w / F.col(f"l_{i}{i}"))
+    log_det = 2 * sum((F.log(f"l_{i}{i}") for i in range(1, p)), F.log("l_00"))
+    return out.select("g", "k", *[f"m_{i}" for i in range(p)], *[f"w_{i}{j}" for i, j in _PAIRS], log_det.alias("log_det"), "was")
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from the joined estimate."""
-    p = len(FEATURES)
     total = F.lit(0.0)
-    for i in range(p):
+    for i in range(len(FEATURES)):
         y = F.lit(0.0)
         for j in range(i + 1):
             y = y + F.col(f"w_{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m_{j}"))
@@ -157,28 +165,60 @@ def _distance() -> Column:
     return total
 
 
-def _joined(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    return rows.join(checked_broadcast(estimates, BROADCAST_GROUPS), "g")
-
-
-def robust_distances(rows: DataFrame) -> DataFrame:
+def _concentrated(cells: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """Sums over the share of each group's rows that is nearest to each of its estimates. The scale
+    of the bins fits small and large distances."""
+    near = cells.join(estimates, "g").withColumn("bin", F.floor(F.log1p(_distance()) / _BIN))
+    binned = near.groupBy("g", "k", "bin").agg(*_sums(), F.max("log_det").alias("was"))
+    parts = ["n", *(f"m_{i}" for i in range(len(FEATURES))), *(f"s_{i}{j}" for i, j in _PAIRS)]
+    taken = _share_bins(binned, ["g", "k"], share)
+    return taken.groupBy("g", "k").agg(*(F.sum(c).alias(c) for c in parts), F.max("was").alias("was"))
+
+
+def _starts(cells: DataFrame, small) -> DataFrame:
+    """The three estimates from which each group's concentration steps begin."""
+    none = F.lit(None).cast("double")
+    values = cells.select("g", F.posexplode(F.array(*FEATURES)).alias("i", "v"), "n")
+    median = materialize(_medians(values))
+    away = values.join(small(median), ["g", "i"]).select("g", "i", F.abs(F.col("v") - F.col("q")).alias("v"), "n")
+    scale = F.greatest(F.col("mad") * 1.4826, F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1))
+    both = median.join(_medians(away).withColumnRenamed("q", "mad"), ["g", "i"]).select("g", "i", "q", (1 / scale).alias("w"))
+    one = both.groupBy("g").agg(
+        *(F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"m_{i}") for i in range(len(FEATURES))),
+        *(F.max(F.when(F.col("i") == i, F.col("w"))).alias(f"w_{i}{j}") if i == j else F.lit(0.0).alias(f"w_{i}{j}") for i, j in _PAIRS),
+    )
+    first = materialize(one.withColumn("k", F.lit(0)).withColumn("log_det", none).withColumn("was", none))
+    all_rows = _estimates(cells.groupBy("g").agg(*_sums()).withColumn("k", F.lit(1)).withColumn("was", none), 1.0)
+    half = _estimates(_concentrated(cells, small(first), 0.5).withColumn("k", F.lit(2)), CONSISTENCY)
+    return first.unionByName(all_rows).unionByName(half)
+
+
+def robust_estimates(rows: DataFrame, groups: int) -> DataFrame:
+    """rows (g, features) -> for each g the reweighted estimate of least determinant."""
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+    cells = materialize(rows.groupBy("g", *FEATURES).agg(F.count("*").alias("n")))
+    estimates = materialize(_starts(cells, small))
+    for _ in range(MAX_STEPS):
+        estimates = materialize(_estimates(_concentrated(cells, small(estimates), SUPPORT), CONSISTENCY))
+        moved = estimates.agg(F.max(F.coalesce(F.abs(F.col("log_det") - F.col("was")), F.lit(1.0)))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
+    least = estimates.groupBy("g").agg(F.min(F.struct("log_det", "k")).alias("least")).select(F.col("g").alias("of"), F.col("least.k").alias("best"))
+    best = materialize(estimates.join(small(least), (F.col("g") == F.col("of")) & (F.col("k") == F.col("best"))).drop("of", "best"))
+    near = cells.join(small(best), "g").where(_distance() <= NEAR).groupBy("g", "k").agg(*_sums(), F.max("log_det").alias("was"))
+    again = materialize(_estimates(near, REWEIGHTED))
+    # a group none of whose rows is that near keeps its raw estimate
+    return again.unionByName(best.join(small(again.select("g")), "g", "left_anti"))
+
+
+def robust_distances(rows: DataFrame, groups: int) -> DataFrame:
     """rows (g, features, ...) -> with d2, the squared distance from their group's estimate."""
-    start = None
-    for i, f in enumerate(FEATURES):
-        median = materialize(_histogram_quantile(rows, F.col(f), 0.5, 0.01))
-        away = rows.join(checked_broadcast(median, BROADCAST_GROUPS), "g").select("g", F.abs(F.col(f) - F.col("q")).alias("v"))
-        mad = _histogram_quantile(away, F.col("v"), 0.5, 0.01)
-        scale = F.greatest(F.col("mad") * 1.4826, F.lit(FLOORS[i]))
-        one = median.withColumnRenamed("q", f"m_{i}").join(mad.withColumnRenamed("q", "mad"), "g").select("g", f"m_{i}", (1 / scale).alias(f"w_{i}{i}"))
-        one = one.withColumns({f"w_{i}{j}": F.lit(0.0) for j in range(i)})
-        start = one if start is None else start.join(one, "g")
-    estimates = materialize(start)
-    for _ in range(STEPS):
-        near = _joined(rows, estimates).select("g", *FEATURES, _log_distance(_distance()).alias("v"))
-        cut = materialize(_histogram_quantile(near, F.col("v"), SUPPORT, 0.01))
-        inner = near.join(checked_broadcast(cut, BROADCAST_GROUPS), "g").where(F.floor(F.col("v") / 0.01) * 0.01 + 0.01 <= F.col("q") + 1e-9)
-        estimates = materialize(_moments(inner))
-    return _joined(rows, estimates).withColumn("d2", _distance())
+    estimates = materialize(robust_estimates(rows.select("g", *FEATURES), groups)).drop("k", "log_det", "was")
+    joined = rows.join(F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates, "g")
+    return joined.withColumn("d2", _distance())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,7 +241,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     group = F.when(F.col("n") >= MIN_GROUP, F.col("b")).when(F.col("of_rest") >= MIN_GROUP, F.col("l")).otherwise(F.lit("*"))
     groups = materialize(coarse.select("b", group.alias("g")))
     rows = rows.withColumn("b", both).join(checked_broadcast(groups, BROADCAST_GROUPS), "b").drop("b")
-    judged = robust_distances(rows)
+    judged = robust_distances(rows, groups.select("g").distinct().count())
     own = [F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     ok = (~F.col("base_failed") & (F.col("d2") <= LIMIT)).alias("kept")
     return judged.select(*own, ok, *[F.col("kept")[c].alias(c) for c in keep])

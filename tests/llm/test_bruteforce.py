@@ -182,6 +182,63 @@ def test_quality_rules_reject_planted_outliers(spark):
     assert {r["doc_id"] for r in rows if not r["kept"]} == {1000 + i for i in range(6)}
 
 
+def plain_verdicts(rows):
+    """Documents that base rules and a sort-based minimum covariance determinant keep, and distances.
+    rows: id, group, statistics."""
+    import numpy as np
+
+    def features(n, chars, symbols, lines, repeats):
+        return [math.log((chars + 110) / (n + 20)), *(math.sqrt(v / (n + 20)) for v in (symbols, 10 * lines, repeats))]
+
+    def estimate(x, factor):
+        cov = np.cov(x.T, bias=True) * factor + np.diag(np.square(quality_rules.FLOORS))
+        return x.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def distances(x, mean, inverse):
+        return np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+
+    def nearest(x, d, share):
+        return x[np.argsort(d, kind="stable")[: math.ceil(share * len(x))]]
+
+    d2 = {}
+    for g in {g for _, g, _ in rows}:
+        ids = [i for i, h, _ in rows if h == g]
+        x = np.array([features(*s) for _, h, s in rows if h == g])
+        middle = np.median(x, axis=0)
+        width = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), quality_rules.FLOORS)
+        start = (middle, np.diag(width**-2.0))
+        ends = []
+        for mean, inverse, *_ in (start, estimate(x, 1.0), estimate(nearest(x, distances(x, *start), 0.5), 1.486)):
+            for _ in range(40):
+                mean, inverse, log_det = estimate(nearest(x, distances(x, mean, inverse), 0.75), 1.486)
+            ends.append((log_det, mean, inverse))
+        _, mean, inverse = min(ends, key=lambda e: e[0])
+        mean, inverse, _ = estimate(x[distances(x, mean, inverse) <= 11.143], 1.0644)
+        d2 |= dict(zip(ids, distances(x, mean, inverse).tolist(), strict=True))
+    return d2
+
+
+def test_quality_rules_equal_a_plain_estimator(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    counts = Counter((r["lang"], r["source"]) for r in rows)
+    rest = Counter()
+    for (lang, _), n in counts.items():
+        rest[lang] += n * (n < 100)
+
+    def group(r):
+        return (r["lang"], r["source"]) if counts[r["lang"], r["source"]] >= 100 else r["lang"] if rest[r["lang"]] >= 100 else "*"
+
+    stats = {r["doc_id"]: plain_statistics(r["text"] or "") for r in rows}
+    want = plain_verdicts([(r["doc_id"], group(r), stats[r["doc_id"]]) for r in rows])
+    got = {r["doc_id"]: r["kept"] for r in llm.QUERIES["op9_quality_rules"](spark, "/root/testdata/sf0.01").collect()}
+    failed = {i for i, s in stats.items() if s[0] < 20 or 100 * s[4] > 30 * s[0]}
+    # rounding and bins move a distance a little: only what lies clear of the limit must agree
+    clear = {i for i, d in want.items() if i not in failed and not 0.8 < d / quality_rules.LIMIT < 1.25}
+    assert len(clear) > 0.95 * (len(rows) - len(failed))
+    assert [i for i in clear if got[i] != (want[i] <= quality_rules.LIMIT)] == []
+    assert not any(got[i] for i in failed)
+
+
 # --- language model -------------------------------------------------------------------------
 
 
