@@ -59,8 +59,11 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _ANCHORS = _automaton()
-#: ASCII only, so that offsets stay.
-_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """A-Z in lower case and nothing else, so that offsets stay."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +87,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         return []
     out: list[tuple[int, int, str]] = []
     email_end = dotted_end = digits_end = phone_end = url_end = 0
-    for end, (size, what) in _ANCHORS.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
+    for end, (size, what) in _ANCHORS.iter(_lower(text)):
         at = end - size + 1
         if what == "digit":
             if at >= digits_end:
@@ -112,8 +115,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     out.append((at, phone_end, "phone"))
         elif what == "url":
-            m = _URL.match(text, end + 1)
-            if m and at >= url_end and (at == 0 or not text[at - 1].isalnum()):
+            # tested first: schemes inside a URL would otherwise read its rest again and again
+            if at >= url_end and (at == 0 or not text[at - 1].isalnum()) and (m := _URL.match(text, end + 1)):
                 url_end = at + len(text[at : m.end()].rstrip(".,;:!?"))
                 if url_end > end + 1:
                     out.append((at, url_end, "url"))
