@@ -130,7 +130,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
 
 
 def is_held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Params | float:
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: id, held_out, score, predicted.
 
     Labels, ids, languages and sources are no inputs of a score. Repeated rows are scored each
-    for itself; null ids are scored, with a null held_out; empty tables give an empty
+    for itself; a null id counts as the empty string for the split and is never learned from; empty tables give an empty
     result; other columns are ignored. No shuffle of texts.
     """
     model = train(docs, labels, id_col, text_col, label_col)

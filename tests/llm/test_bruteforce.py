@@ -362,3 +362,65 @@ def test_licenses_of_planted_notices(spark):
     for r in paragraphs.where("confirmed").collect():
         found[ids[r["row"]]].append(r["family"])
     assert {i: f for i, f in found.items() if f} == {i: [f] for i, (_, f) in planted.items() if f}
+
+
+#: Notices that no template is: wrapped, foreign, misspelt around the name, in other words.
+UNSEEN = [
+    ("apache", "This file is licensed to you under the Apache License,\nVersion 2.0 (the License)"), ("apache", "Released by the team\nunder the Apache License"),
+    ("gpl", "This program is free software under the terms of the GNU General Public\nLicense as published by the Free Software\nFoundation, either version 3"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation"), ("mit", "The code is released under the MIT\nlicense."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted"),
+    ("cc0", "CC0 1.0 Universal"), ("cc0", "Dedicated to the public\ndomain under CC0 1.0"), ("cc-by", "Text licensed under CC BY 4.0, see the site"),
+    ("cc-by-sa", "Texts are licensed under\nCC BY-SA 4.0"), ("cc-by-nc", "Images licensed under CC BY-NC 4.0 only"),
+    ("lgpl", "Licensed under the GNU Lesser General\nPublic License version 2.1"), ("agpl", "licensed under the GNU Affero\nGeneral Public License version 3"),
+    ("mpl", "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0."),
+    ("proprietary", "Copyright 2019 Example GmbH. All rights\nreserved."), ("proprietary", "© Beispiel. Alle Rechte vorbehalten."), ("proprietary", "Todos los derechos reservados"), ("proprietary", "Tous droits réservés, 2020"),
+]
+CLEAN = ["He studied at MIT", "mit dem Zug nach Wien", "the apache land", "her driving licence expired", "copyright law is debated", "Ihre Rechte als Mieter", "the commons voted to grant permission", "a domain of numbers"]
+
+
+def test_licenses_of_unseen_notices(spark):
+    filler = [f"The weather on day {i} was mild and the harbour town counted {i * 31} boats" for i in range(60)]
+    planted = [*UNSEEN, *(("", c) for c in CLEAN)]
+    rows = [(i, f"{filler[i]}\n\n{t}\n\n{filler[i + 20]}") for i, (_, t) in enumerate(planted)]
+    rows += [(100 + i, t) for i, t in enumerate(filler)]
+    table, paragraphs = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {r["row"]: (r["id"], r["n_cued"]) for r in table.collect()}
+    gated = {i for i, n in ids.values() if n}
+    assert sum(i in gated for i in range(len(UNSEEN))) >= 0.9 * len(UNSEEN)
+    found: dict = {}
+    for r in paragraphs.where("confirmed").collect():
+        found.setdefault(ids[r["row"]][0], set()).add(r["family"])
+    right = [i for i, (f, _) in enumerate(UNSEEN) if found.get(i) == {f}]
+    assert len(right) >= 0.9 * len(UNSEEN), [(UNSEEN[i], found.get(i)) for i in range(len(UNSEEN)) if i not in right]
+    assert not any(i in found for i in [*range(len(UNSEEN), len(planted)), *range(100, 160)])
+
+
+def plain_license_lines(text: str) -> set[str]:
+    """Families of which some line or run of up to four lines holds 0.8 of a template's bigrams."""
+
+    def bigrams(t):
+        w = re.findall(r"[^\W_]+", re.sub(r"[0-9]+(?:\.[0-9]+)*", "9", t.lower()))
+        return set(zip(w, w[1:], strict=False))
+
+    known = [(f, bigrams(t)) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    lines = [bigrams(x) and x for x in re.split(r"\n", text)]
+    out = set()
+    for size in (1, 2, 3, 4):
+        for i in range(len(lines) - size + 1):
+            if all(lines[i : i + size]):
+                own = bigrams(" ".join(lines[i : i + size]))
+                out |= {f for f, b in known if len(b & own) >= 0.8 * len(b)}
+    return out
+
+
+def test_licenses_equal_template_search(spark):
+    """Confirmed families against a search of every line for every template (which needs no model)."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {i: plain_license_lines(t) for i, t in texts.items()}
+    got = {r["doc_id"]: set(filter(None, r["families"].split(","))) for r in llm.QUERIES["op1_license_scan"](spark, sf).collect()}
+    assert all(got[i] <= want[i] for i in texts)  # nothing is confirmed without its template
+    stated = [i for i in texts if want[i]]
+    assert stated and sum(bool(got[i]) for i in stated) >= 0.95 * len(stated)

@@ -197,3 +197,15 @@ def test_simhash_deduplicate(spark, docs, empty):
     lost = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d e f"), (3, "x y z"), (3, "x y z"), (3, "p q r")], "doc_id long, text string")
     kept = sorted((str(r["doc_id"]), r["text"].lower()) for r in simhash.deduplicate(lost).collect())
     assert kept == [("3", "p q r"), ("3", "x y z"), ("None", "a b c d e f")]
+
+
+def test_pii_long_texts_are_read_once():
+    import time
+
+    began = time.time()
+    assert len(pii.find("http://" * 150_000)) == 1
+    assert [k for *_, k in pii.find("token=" * 50_000 + "a" * 20)] == ["secret"]
+    assert len(pii.find("x@" * 100_000 + "a.b")) == 1
+    assert pii.find("+1 (((" * 100_000) == []
+    assert time.time() - began < 20
+    assert [(s, e, k) for s, e, k in pii.find("naïve Social Security Number: 123-45-6789, ApiKey = 'abcdefghijklmnop1'")] == [(30, 41, "ssn"), (53, 70, "secret")]
