@@ -3,15 +3,18 @@
 Two scores for every text. The base score comes from word counts over all training documents.
 The model is a causal self-attention network in numpy over subword ids (a public byte-level BPE
 vocabulary, cut to its first VOCAB ranks, which is itself a valid vocabulary; nothing of it is
-trained). Texts are read in overlapping windows of SPAN ids that advance by STRIDE: the first
+trained). A place is embedded by its id and, through hashed tables, by its last two and last three
+ids. Texts are read in overlapping windows of SPAN ids that advance by STRIDE: the first
 SPAN - STRIDE ids of a later window are context only, so each id is scored once, with at least
 that much context. The softmax has two levels, a group of ids and the id in its group.
 
 Training is data-parallel: in each of ROUNDS, every partition goes on from the shared parameters
-over segments of each of its training documents (every SEGMENT_EVERY-th run of SEGMENT_WORDS words,
-shifted so that the rounds together read every run), and the parameters are averaged with the number of ids
-as weight. What is gathered - word counts and trained ids - grows with the corpus; the parameters
-do not.
+over every ROUNDS-th window of each of its training documents, so that the rounds together read
+every id of all training text once; then the parameters are averaged, rows of tables by how often
+each partition used them. What is gathered - word counts and trained ids - grows with the corpus;
+the parameters do not. A partition holds a bounded number of windows at a time. The parameters
+depend on how rows are dealt to partitions (each goes its own way within a round), so another layout
+gives slightly other scores; base scores do not depend on it.
 """
 
 from __future__ import annotations
@@ -31,22 +34,26 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_LOWER_TABLE, materialize, read
 
-#: A public vocabulary; another file of the same kind can be named instead.
+#: A public vocabulary; another file of the same kind can be named instead. Only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCAB = 1024
 END = VOCAB  # the id after each text
 GROUP = 32
 GROUPS = VOCAB // GROUP + 1
-DIMS, SPAN, STRIDE = 24, 32, 24
-ROUNDS, SEGMENT_WORDS = 2, 24
-SEGMENT_EVERY = ROUNDS
-#: Segments that a task makes windows of at once.
-SEGMENTS_AT_ONCE = 4096
-#: Optimiser steps that a partition makes at least in a round; it repeats its segments for them.
-MIN_STEPS, BATCH, RATE = 150, 96, 0.03
+DIMS, HIDDEN, SPAN, STRIDE = 24, 32, 32, 24
+#: Rows of the tables of the last two and the last three ids.
+PAIRS, TRIPLES = 1 << 14, 1 << 15
+ROUNDS = 2
+#: Windows that a task shuffles and trains on at once, and windows of a step.
+WINDOWS_AT_HAND, BATCH = 96 * 64, 96
+#: Optimiser steps that a partition makes at least in a round; a small one repeats its windows for them.
+MIN_STEPS = 150
+RATE, TABLE_RATE = 0.01, 0.1
+#: Numbers in a block of parameters that is averaged, and the first level of that sum.
+BLOCK, FIRST_LEVEL = 1 << 16, 64
 #: Windows that a task scores at once.
 WINDOWS_AT_ONCE = 64
-#: Words whose counts are sent to every task; the others are counted by a join.
+#: Words whose counts are sent to every task, at most; the others are counted by a join.
 HOT_WORDS = 1 << 17
 #: Distinct words that a task holds while it counts.
 COUNTER_WORDS = 300_000
@@ -56,10 +63,13 @@ KEPT_WORDS = 100_000
 Params = dict[str, np.ndarray]
 
 
-def encoder(vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
+def read_ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
     with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if int(b) < VOCAB}
-    return tiktoken.Encoding("cut", pat_str=r" ?[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if int(b) < VOCAB}
+
+
+def encoder(ranks: dict[bytes, int] | None = None) -> tiktoken.Encoding:
+    return tiktoken.Encoding("cut", pat_str=r" ?[^ ]+", mergeable_ranks=ranks or read_ranks(), special_tokens={})
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -70,9 +80,9 @@ class WordIds(dict):
     """Ids of a word behind a space; bytes that are not UTF-8 become replacement marks. The vocabulary
     never joins words, so a text's ids are those of its words. Holds KEPT_WORDS words at most."""
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, ranks: dict[bytes, int] | None = None):
         super().__init__()
-        self.encode = encoder(vocabulary).encode_ordinary
+        self.encode = encoder(ranks).encode_ordinary
 
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= KEPT_WORDS:
@@ -86,84 +96,83 @@ class WordIds(dict):
 
 # --- the network ------------------------------------------------------------------------
 
+TABLES = ("embed", "pairs", "triples")
+
 
 def new_params(seed: int = 11) -> Params:
     rng = np.random.default_rng(seed)
     n = GROUPS * GROUP
     p = {
-        "embed": rng.normal(0, 0.3, (n, DIMS)),
-        "q": rng.normal(0, DIMS**-0.5, (DIMS, DIMS)), "k": rng.normal(0, DIMS**-0.5, (DIMS, DIMS)), "v": rng.normal(0, DIMS**-0.5, (DIMS, DIMS)),
+        "embed": rng.normal(0, 0.3, (n, DIMS)), "pairs": np.zeros((PAIRS, DIMS)), "triples": np.zeros((TRIPLES, DIMS)),
+        "qkv": rng.normal(0, DIMS**-0.5, (DIMS, 3 * DIMS)),
         "near": -0.1 * np.arange(SPAN, dtype=float),  # bias by distance
-        "mix": rng.normal(0, DIMS**-0.5, (DIMS, 2 * DIMS)), "mix_b": np.zeros(2 * DIMS), "back": rng.normal(0, (2 * DIMS) ** -0.5, (2 * DIMS, DIMS)),
-        "group": rng.normal(0, 0.1, (DIMS, GROUPS)), "group_b": np.zeros(GROUPS),
-        "inner": rng.normal(0, 0.1, (GROUPS, DIMS, GROUP)), "inner_b": np.zeros((GROUPS, GROUP)),
+        "mix": rng.normal(0, DIMS**-0.5, (DIMS, HIDDEN)), "mix_b": np.zeros(HIDDEN), "back": rng.normal(0, HIDDEN**-0.5, (HIDDEN, DIMS)),
+        # weights of both softmax levels, the bias as last row
+        "group": rng.normal(0, 0.1, (DIMS + 1, GROUPS)), "inner": rng.normal(0, 0.1, (GROUPS, DIMS + 1, GROUP)),
     }
-    # ids behind the end do not exist
-    p["inner_b"][-1, 1:] = -30.0
-    return {k: v.astype(np.float32) for k, v in p.items()}
+    return {k: v.astype(np.float32) for k, v in _without_gaps(p).items()}
+
+
+def _without_gaps(p: Params) -> Params:
+    """Ids behind the end do not exist."""
+    p["inner"][-1, -1, 1:] = -30.0
+    return p
 
 
 _CAUSAL = np.tril(np.ones((SPAN, SPAN), bool))
 _BACK = np.clip(np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1)
+#: Scores are held to this range before an exponential, so no maximum has to be taken away.
+CLIP = np.float32(60)
+
+
+def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), in place, and its sum over the last axis (a product with ones is the fast sum)."""
+    np.exp(np.clip(z, -CLIP, CLIP, out=z), out=z)
+    return z, z @ np.ones(z.shape[-1], z.dtype)
 
 
 def _forward(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """x (B, SPAN) ids -> hidden states (B, SPAN, DIMS), and what the backward pass needs."""
-    e = p["embed"][x]
-    flat = e.reshape(-1, DIMS)
-    q, k, v = (np.split(flat @ np.concatenate([p["q"], p["k"], p["v"]], axis=1), 3, axis=1))
-    q, k, v = (a.reshape(e.shape) for a in (q, k, v))
+    """x (3, B, SPAN), rows of the three tables -> hidden states (B, SPAN, DIMS), and what the
+    backward pass needs."""
+    e = p["embed"][x[0]]
+    e += p["pairs"][x[1]]
+    e += p["triples"][x[2]]
+    q, k, v = (a.reshape(e.shape) for a in np.split(e.reshape(-1, DIMS) @ p["qkv"], 3, axis=1))
     s = q @ k.transpose(0, 2, 1)
     s *= s.dtype.type(DIMS**-0.5)
-    s, _ = _exp_sums(s)
+    np.exp(np.clip(s, -CLIP, CLIP, out=s), out=s)
     s *= np.where(_CAUSAL, np.exp(p["near"][_BACK]), 0)
     s /= (s @ np.ones(SPAN, s.dtype))[..., None]
     h = e + s @ v
     m = np.maximum(h.reshape(-1, DIMS) @ p["mix"] + p["mix_b"], 0)
-    return h + (m @ p["back"]).reshape(h.shape), (e, q, k, v, s, h, m.reshape(*h.shape[:2], -1))
-
-
-#: Scores are held to this range before an exponential, so no maximum has to be taken away.
-CLIP = np.float32(60)
+    return h + (m @ p["back"]).reshape(h.shape), (e, q, k, v, s, h, m)
 
 
-def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z), in place, and its sum over the last axis (a product with ones is the fast sum)."""
-    np.exp(np.clip(z, -CLIP, CLIP, out=z), out=z)
-    return z, z @ np.ones(z.shape[-1], z.dtype)
-
-
-def _by_group(h: np.ndarray, y: np.ndarray, h1: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _by_group(h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of the rows by the group of y, the rows in it with a one behind, groups, places, bounds."""
     g = (y // GROUP).astype(np.uint8)
     order = np.argsort(g, kind="stable")
-    h1 = np.empty((len(y), DIMS + 1), h.dtype) if h1 is None else h1
+    h1 = np.empty((len(y), DIMS + 1), h.dtype)
     h1[:, :-1] = h[order]
     h1[:, -1] = 1
     g = g[order]
     return order, h1, g, (y % GROUP)[order], np.searchsorted(g, np.arange(GROUPS + 1))
 
 
-def _heads(p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both softmax levels with the bias as last row."""
-    return np.concatenate([p["group"], p["group_b"][None]]), np.concatenate([p["inner"], p["inner_b"][:, None]], axis=1)
-
-
-def _inner(h1: np.ndarray, inner: np.ndarray, bounds: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
-    z = np.empty((len(h1), GROUP), h1.dtype) if z is None else z
+def _inner(h1: np.ndarray, inner: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    z = np.empty((len(h1), GROUP), h1.dtype)
     for c, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if e > s:
             np.matmul(h1[s:e], inner[c], out=z[s:e])
     return z
 
 
-def log_probs(heads: tuple[np.ndarray, np.ndarray], h: np.ndarray, y: np.ndarray, h1: np.ndarray | None = None, zg: np.ndarray | None = None, zi: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each next id y (n,) from hidden states h (n, DIMS); buffers for the
-    rows and both levels may be given."""
-    order, h1, g, i, bounds = _by_group(h, y, h1)
+def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of each next id y (n,) from hidden states h (n, DIMS)."""
+    order, h1, g, i, bounds = _by_group(h, y)
     rows = np.arange(len(y))
     total = np.zeros(len(y))
-    for z, at in ((np.matmul(h1, heads[0], out=zg), g), (_inner(h1, heads[1], bounds, zi), i)):
+    for z, at in ((h1 @ p["group"], g), (_inner(h1, p["inner"], bounds), i)):
         total += np.clip(z[rows, at], -CLIP, CLIP)
         total -= np.log(_exp_sums(z)[1])
     out = np.empty(len(y))
@@ -171,144 +180,143 @@ def log_probs(heads: tuple[np.ndarray, np.ndarray], h: np.ndarray, y: np.ndarray
     return out
 
 
-class Scorer:
-    """The network for scoring only: what depends on one id is looked up, attention is normalised after
-    its product with the values, and only places that are scored pass the last layers. Its results
-    stand in buffers for WINDOWS_AT_ONCE windows that every call uses again."""
-
-    def __init__(self, p: Params):
-        ones = np.ones((len(p["embed"]), 1), np.float32)
-        self.query, self.key = (np.ascontiguousarray(p["embed"] @ p[k]) for k in "qk")
-        self.query *= np.float32(DIMS**-0.5)
-        self.value = np.concatenate([p["embed"] @ p["v"], ones], axis=1)
-        self.near = np.where(_CAUSAL, np.exp(p["near"][_BACK]), 0).astype(np.float32)
-        self.p, self.heads = p, _heads(p)
-        b, n = WINDOWS_AT_ONCE, WINDOWS_AT_ONCE * SPAN
-        shapes = {"q": (b, SPAN, DIMS), "k": (b, SPAN, DIMS), "v": (b, SPAN, DIMS + 1), "t": (b, DIMS, SPAN), "s": (b, SPAN, SPAN), "a": (b, SPAN, DIMS + 1)}
-        shapes |= {"u": (n, DIMS + 1), "h": (n, DIMS), "m": (n, 2 * DIMS), "o": (n, DIMS), "h1": (n, DIMS + 1), "zg": (n, GROUPS), "zi": (n, GROUP)}
-        self.buffers = {k: np.empty(v, np.float32) for k, v in shapes.items()}
-
-    def hidden(self, x: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Hidden states (n, DIMS) of the places in use, in row order; valid until the next call."""
-        p, n = self.p, len(x)
-        q, k, v, t, s, a = (self.buffers[c][:n] for c in "qkvtsa")
-        for table, out in ((self.query, q), (self.key, k), (self.value, v)):
-            np.take(table, x, axis=0, out=out, mode="clip")
-        np.copyto(t, k.transpose(0, 2, 1))
-        np.matmul(q, t, out=s)
-        np.clip(s, -CLIP, CLIP, out=s)
-        np.exp(s, out=s)
-        s *= self.near
-        np.matmul(s, v, out=a)
-        at = np.flatnonzero(used)
-        u, h, m, o = (self.buffers[c][: len(at)] for c in "uhmo")
-        np.take(a.reshape(-1, DIMS + 1), at, axis=0, out=u, mode="clip")
-        np.take(p["embed"], x.ravel()[at], axis=0, out=h, mode="clip")
-        u[:, :-1] /= u[:, -1:]
-        h += u[:, :-1]
-        np.matmul(h, p["mix"], out=m)
-        m += p["mix_b"]
-        np.maximum(m, 0, out=m)
-        np.matmul(m, p["back"], out=o)
-        h += o
-        return h
-
-    def log_probs(self, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
-        y = y[used]
-        return log_probs(self.heads, self.hidden(x, used), y, *(self.buffers[c][: len(y)] for c in ("h1", "zg", "zi")))
-
-
-def _gradients(p: Params, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> Params:
-    """Mean log loss over the places `used` of windows x (B, SPAN) with next ids y."""
+def score_windows(p: Params, near: np.ndarray, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Log probabilities of the places in use, in row order. Attention is normalised after its product
+    with the values, and only places that are scored pass the last layers."""
+    e = p["embed"][x[0]]
+    e += p["pairs"][x[1]]
+    e += p["triples"][x[2]]
+    qkv = (e.reshape(-1, DIMS) @ p["qkv"]).reshape(*e.shape[:2], -1)
+    q, k, v = np.split(qkv, 3, axis=2)
+    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    s *= np.float32(DIMS**-0.5)
+    np.exp(np.clip(s, -CLIP, CLIP, out=s), out=s)
+    s *= near
+    a = s @ v
+    at = np.flatnonzero(used)
+    h = e.reshape(-1, DIMS)[at] + a.reshape(-1, DIMS)[at] / (s @ np.ones(SPAN, s.dtype)).ravel()[at, None]
+    m = h @ p["mix"]
+    m += p["mix_b"]
+    np.maximum(m, 0, out=m)
+    h += m @ p["back"]
+    return log_probs(p, h, y.ravel()[at])
+
+
+def _gradients(p: Params, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[Params, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of the mean log loss over the places `used` of windows x with next ids y: gradients of the dense
+    parameters; and for each table its rows in use, their gradients, and how often they are used."""
     top, (e, q, k, v, s, h, m) = _forward(p, x)
-    hs, ys = top[used], y[used]
+    at = np.flatnonzero(used)
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    hs, ys = flat(top)[at], y.ravel()[at]
     n = top.dtype.type(len(ys))
     order, h1, g, i, bounds = _by_group(hs, ys)
-    group, inner = _heads(p)
     rows = np.arange(len(ys))
-    grad: Params = {}
 
-    def softmax_less_hit(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def softmax_less_hit(z: np.ndarray, hit: np.ndarray) -> np.ndarray:
         z, total = _exp_sums(z)
         z /= total[:, None]
-        z[rows, at] -= 1
+        z[rows, hit] -= 1
         z /= n
         return z
 
-    z = softmax_less_hit(h1 @ group, g)
-    grad["group"], grad["group_b"] = np.split(h1.T @ z, [DIMS])
-    grad["group_b"] = grad["group_b"][0]
-    dh = z @ p["group"].T
-    z = softmax_less_hit(_inner(h1, inner, bounds), i)
-    both = np.zeros_like(inner)
-    for c in range(GROUPS):
-        a, b = bounds[c], bounds[c + 1]
+    z = softmax_less_hit(h1 @ p["group"], g)
+    grad: Params = {"group": h1.T @ z}
+    dh = z @ p["group"][:-1].T
+    z = softmax_less_hit(_inner(h1, p["inner"], bounds), i)
+    grad["inner"] = np.zeros_like(p["inner"])
+    for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if b > a:
-            both[c] = h1[a:b].T @ z[a:b]
-            dh[a:b] += z[a:b] @ p["inner"][c].T
-    grad["inner"], grad["inner_b"] = both[:, :-1], both[:, -1]
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    back = np.empty_like(dh)
-    back[order] = dh
-    dtop = np.zeros_like(top)
-    dtop[used] = back
-    grad["back"] = flat(m).T @ flat(dtop)
-    dm = (flat(dtop) @ p["back"].T) * (flat(m) > 0)
+            np.matmul(h1[a:b].T, z[a:b], out=grad["inner"][c])
+            dh[a:b] += z[a:b] @ p["inner"][c, :-1].T
+    dtop = np.zeros_like(flat(top))
+    dtop[at[order]] = dh
+    grad["back"] = m.T @ dtop
+    dm = (dtop @ p["back"].T) * (m > 0)
     grad |= {"mix": flat(h).T @ dm, "mix_b": dm.sum(axis=0)}
-    d = (flat(dtop) + dm @ p["mix"].T).reshape(top.shape)
+    d = (dtop + dm @ p["mix"].T).reshape(top.shape)
     dv = s.transpose(0, 2, 1) @ d
     ds = d @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+    ds -= (ds * s) @ np.ones((SPAN, 1), s.dtype)
+    ds *= s
     grad["near"] = np.bincount(_BACK.ravel(), (ds.sum(axis=0) * _CAUSAL).ravel(), SPAN)
     ds *= ds.dtype.type(DIMS**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    grad |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-    de = flat(d) + flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T
-    ids = x.ravel()
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-    grad["embed"] = np.zeros_like(p["embed"])
-    grad["embed"][ids[order][new]] = np.add.reduceat(de[order], new, axis=0)
-    return grad
-
-
-def train_local(p: Params, x: np.ndarray, y: np.ndarray, used: np.ndarray, seed: int) -> Params:
-    """Adam from p over the windows, in a seeded order; at least MIN_STEPS steps."""
-    p = {k: v.copy() for k, v in p.items()}
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    rng = np.random.default_rng(seed)
-    total = max(MIN_STEPS, -(-len(x) // BATCH))
-    step = 0
-    while step < total:
-        order = rng.permutation(len(x))
-        for s in range(0, min(len(order), (total - step) * BATCH), BATCH):
+    dqkv = np.concatenate([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(dv)], axis=1)
+    grad["qkv"] = flat(e).T @ dqkv
+    de = flat(d) + dqkv @ p["qkv"].T
+    tables = {}
+    column = np.arange(DIMS)
+    for name, row in zip(TABLES, x, strict=True):
+        rows, kind, times = np.unique(row.ravel(), return_inverse=True, return_counts=True)
+        summed = np.bincount((kind[:, None] * DIMS + column).ravel(), de.ravel(), len(rows) * DIMS)
+        tables[name] = rows, summed.reshape(-1, DIMS).astype(de.dtype), times
+    return grad, tables
+
+
+class Trainer:
+    """Goes on from given parameters: Adam for dense ones; rows of tables by the root of their own summed
+    squares (only rows in use are touched)."""
+
+    def __init__(self, p: Params, seed: int):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.first = {k: np.zeros_like(v) for k, v in p.items() if k not in TABLES}
+        self.second = {k: np.zeros_like(v) for k, v in self.first.items()}
+        self.squares = {k: np.full(len(p[k]), 1e-8, np.float32) for k in TABLES}
+        self.uses = {k: np.zeros(len(p[k]), np.float32) for k in TABLES}
+        self.rng, self.steps, self.weight = np.random.default_rng(seed), 0, 0.0
+
+    def step(self, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> None:
+        dense, tables = _gradients(self.p, x, y, used)
+        self.steps += 1
+        self.weight += float(used.sum())
+        rate = RATE / (1 + self.steps / 1000) ** 0.5
+        for k, g in dense.items():
+            self.first[k] += 0.1 * (g - self.first[k])
+            self.second[k] += 0.01 * (g * g - self.second[k])
+            self.p[k] -= (rate / (1 - 0.9**self.steps)) * self.first[k] / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-7)
+        for k, (rows, g, times) in tables.items():
+            self.squares[k][rows] += (g * g).mean(axis=1)
+            self.p[k][rows] -= TABLE_RATE * g / np.sqrt(self.squares[k][rows])[:, None]
+            self.uses[k][rows] += times
+
+    def windows(self, x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int | None = None) -> None:
+        """Once over the windows in a seeded order, `steps` steps at most."""
+        order = self.rng.permutation(len(y))
+        for s in range(0, len(order), BATCH)[:steps]:
             at = order[s : s + BATCH]
-            step += 1
-            rate = RATE * (1 - 0.9 * step / total)
-            for k, g in _gradients(p, x[at], y[at], used[at]).items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                p[k] -= (rate / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
-    p["inner_b"][-1, 1:] = -30.0
-    return p
+            self.step(x[:, at], y[at], used[at])
 
 
-def windows_of(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts given as ids: ids in (each text begins with END), next ids, which places to
-    score, and the text of each window."""
-    sizes = np.array([len(t) for t in texts]) + 1  # ids to score, the end included
+def windows_of(texts: list[list[int]], stride: int = STRIDE, every: int = 1, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts given as ids: rows of the three tables (3, B, SPAN; each text begins with END),
+    next ids, which places to score, and the text of each window. Of a text's windows those whose
+    number and the text's own first id, plus shift, are divisible by `every`."""
+    sizes = np.array([len(t) for t in texts], np.int64) + 1  # ids to score, the end included
     seq = np.fromiter(chain.from_iterable(chain((END,), t, (END,)) for t in texts), np.int32, int(sizes.sum()) + len(texts))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    counts = -(-np.maximum(1, sizes - (SPAN - STRIDE)) // STRIDE)
+    back = np.concatenate([[END, END], seq])
+    pair = (back[1:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + seq.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(4)
+    triple = ((pair ^ (back[:-2].astype(np.uint32) * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)) >> np.uint32(12)
+    # the ids before a text are ends, whatever text stands before it
+    for place, n in ((begins, 2), (begins + 1, 1)):
+        one = back[place + 1] if n == 1 else np.full(len(place), END)
+        now = seq[place].astype(np.uint32)
+        first = (one.astype(np.uint32) * np.uint32(0x9E3779B1) + now * np.uint32(0x85EBCA77)) >> np.uint32(4)
+        pair[place] = first
+        triple[place] = ((first ^ np.uint32((END * 0xC2B2AE3D) & 0xFFFFFFFF)) * np.uint32(0x27D4EB2F)) >> np.uint32(12)
+    counts = -(-np.maximum(1, sizes - (SPAN - stride)) // stride)
     owner = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (nth * STRIDE)[:, None] + np.arange(SPAN)
+    if every > 1:
+        take = (nth + seq[begins + 1][owner] + shift) % every == 0
+        owner, nth = owner[take], nth[take]
+    at = (nth * stride)[:, None] + np.arange(SPAN)
     inside = at < sizes[owner][:, None]
     place = np.where(inside, begins[owner][:, None] + at, 0)
     used = inside.copy()
-    used[nth > 0, : SPAN - STRIDE] = False
-    return np.where(inside, seq[place], END), np.where(inside, seq[place + 1], END), used, owner
+    used[nth > 0, : SPAN - stride] = False
+    x = np.stack([np.where(inside, seq[place], END), pair[place] % PAIRS, triple[place] % TRIPLES]).astype(np.int32)
+    return x, np.where(inside, seq[place + 1], END), used, owner
 
 
 # --- distributed passes ------------------------------------------------------------------
@@ -345,60 +353,90 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(counts, ends)
 
 
-def _train_round(batches: Iterator[pa.RecordBatch], params, vocabulary: str, turn: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> part, at, value, weight: this partition's parameters, times its weight."""
-    known = WordIds(vocabulary)
-    found = []
+_PARTS = "part string, block int, level int, value binary, weight binary"
+
+
+def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> part, block, level, value, weight: this partition's parameters times their weights."""
+    known = WordIds(ranks.value)
+    number = TaskContext.get().partitionId() if TaskContext.get() else 0
+    trainer = Trainer(params.value, number)
+    held: list[list[int]] = []
+    size, last = 0, None
+
+    def train() -> None:
+        nonlocal last
+        x, y, used, _ = windows_of(held, SPAN, ROUNDS, turn)
+        if len(y):
+            trainer.windows(x, y, used)
+            last = x, y, used
+
     for b in batches:
-        segments, inner, open_ = [], [], []
         for doc, text in _rows(b):
-            words = [] if is_held_out(doc) else words_of(text)
-            runs = -(-len(words) // SEGMENT_WORDS)
-            # from a place that depends on the text, so that a round reads not only beginnings
-            begin = (zlib.crc32(text or b"") + turn) % SEGMENT_EVERY
-            for r in range(min(begin, max(0, runs - 1)), runs, SEGMENT_EVERY):
-                segments.append(known.of(words[r * SEGMENT_WORDS : (r + 1) * SEGMENT_WORDS]))
-                inner.append(r > 0)
-                open_.append(r + 1 < runs)
-        for s in range(0, len(segments), SEGMENTS_AT_ONCE):
-            part = slice(s, s + SEGMENTS_AT_ONCE)
-            x, y, used, owner = windows_of(segments[part])
-            # a segment inside its text begins and ends with no mark
-            first = np.concatenate([[True], owner[1:] != owner[:-1]]) & np.array(inner[part])[owner]
-            x[first, 0], used[first, 0] = y[first, 0], False
-            used &= (y != END) | ~np.array(open_[part])[owner][:, None]
-            found.append((x.astype(np.int16), y.astype(np.int16), used))
-    if found:
-        x, y, used = (np.concatenate(a) for a in zip(*found, strict=True))
-        weight = float(used.sum())
-        seed = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for name, value in train_local(params.value, x, y, used, seed).items():
-            flat = value.ravel().astype(np.float64) * weight
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), weight))], ["part", "at", "value", "weight"])
-
-
-def train(docs: DataFrame, vocabulary: str = VOCABULARY) -> Params:
-    """Parameters from (id, text) rows; what comes to the driver is one set of parameters."""
+            if not is_held_out(doc):
+                held.append(known.of(words_of(text)))
+                size += len(held[-1])
+                if size >= WINDOWS_AT_HAND * SPAN * ROUNDS:
+                    train()
+                    held, size = [], 0
+    if held:
+        train()
+    while last and trainer.steps < MIN_STEPS:
+        trainer.windows(*last, steps=MIN_STEPS - trainer.steps)
+    if trainer.steps:
+        for name, value in _without_gaps(trainer.p).items():
+            weight = np.repeat(trainer.uses[name], DIMS) if name in TABLES else np.full(value.size, trainer.weight, np.float32)
+            total = value.ravel().astype(np.float64) * weight
+            for n in range(0, len(total), BLOCK):
+                part = slice(n, n + BLOCK)
+                yield pa.RecordBatch.from_pydict({"part": [name], "block": pa.array([n], pa.int32()), "level": pa.array([number % FIRST_LEVEL], pa.int32()), "value": [total[part].astype(np.float32).tobytes()], "weight": [weight[part].tobytes()]})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, block and level -> one for each, sums of value and weight."""
+    key, sums = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": [key[0]], "block": pa.array([key[1]], pa.int32()), "level": pa.array([key[2]], pa.int32()), "value": [sums[0].tobytes()], "weight": [sums[1].tobytes()]})
+
+    for b in batches:
+        for r in b.to_pylist():
+            if key != (new := (r["part"], r["block"], r["level"])):
+                if key:
+                    yield row()
+                key, sums = new, [np.zeros(len(r[c]) // 4, np.float32) for c in ("value", "weight")]
+            for total, c in zip(sums, ("value", "weight"), strict=True):
+                total += np.frombuffer(r[c], np.float32)
+    if key:
+        yield row()
+
+
+def train(docs: DataFrame, ranks) -> Params:
+    """Parameters from (id, text) rows; what comes to the driver is one set of parameters. Partitions are
+    summed in two levels, so that no task reads more than a FIRST_LEVEL-th of them."""
     sc = docs.sparkSession.sparkContext
     p = new_params()
     for turn in range(ROUNDS):
         shared = sc.broadcast(p)
-        parts = docs.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, vocabulary, t), "part string, at int, value double, weight double")
-        means = parts.groupBy("part", "at").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
+        parts = materialize(docs.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, ranks, t), _PARTS))
+        for level in (F.col("level"), F.lit(0)):
+            parts = parts.withColumn("level", level).repartition("part", "block", "level").sortWithinPartitions("part", "block", "level").mapInArrow(_summed, _PARTS)
         p = {k: v.copy() for k, v in p.items()}
-        for name, rows in means.groupby("part"):
-            p[name].ravel()[rows["at"].to_numpy()] = rows["value"].to_numpy()
+        for r in parts.collect():
+            value, weight = (np.frombuffer(r[c], np.float32) for c in ("value", "weight"))
+            own = p[r["part"]].ravel()[r["block"] : r["block"] + len(value)]
+            np.divide(value, weight, out=own, where=weight > 0)
     return p
 
 
 _SCORED = "row long, n_tokens long, n_known long, base double, score double, word binary, n long"
 
 
-def _score(batches: Iterator[pa.RecordBatch], params, hot, vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], params, hot, ranks) -> Iterator[pa.RecordBatch]:
     """(id, text) -> a line per row with sums over hot words and the model's score, and lines
     (row, word, n) of its other words. Sums count words only; the end is added later."""
-    ids = WordIds(vocabulary)
-    network, known = Scorer(params.value), hot.value
+    ids = WordIds(ranks.value)
+    network, known = params.value, hot.value
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for b in batches:
         rest: tuple[list, list, list] = ([], [], [])
@@ -439,17 +477,32 @@ def _names() -> list[str]:
     return [f.split()[0] for f in _SCORED.split(", ")]
 
 
-def _score_texts(network: Scorer, held: list[list[int]]) -> np.ndarray:
+def _score_texts(network: Params, held: list[list[int]]) -> np.ndarray:
     """log10 probability of each text, a bounded number of windows at a time."""
     x, y, used, owner = windows_of(held)
+    near = np.where(_CAUSAL, np.exp(network["near"][_BACK]), 0).astype(np.float32)
     out = np.zeros(len(held))
-    for s in range(0, len(x), WINDOWS_AT_ONCE):
+    for s in range(0, len(y), WINDOWS_AT_ONCE):
         part = slice(s, s + WINDOWS_AT_ONCE)
-        lp = network.log_probs(x[part], y[part], used[part])
+        lp = score_windows(network, near, x[:, part], y[part], used[part])
         out += np.bincount(np.repeat(owner[part], used[part].sum(axis=1)), lp, len(held))
     return out / np.log(10)
 
 
+def _frequent(counts: DataFrame, most: int) -> list:
+    """The rows of greatest n, `most` at most: those above the edge of a histogram of n, so that only
+    they come to the driver."""
+    step = F.floor(F.log2("n") * 64)
+    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect()  # 64 a doubling
+    total, edge = 0, None
+    for r in bins:
+        total += r["words"]
+        if total > most:
+            break
+        edge = r["bin"]
+    return counts.where(step >= edge).collect() if edge is not None else []
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -463,12 +516,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     counts = materialize(rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
     floor = total["n"] + 0.5 * (total["v"] + 1)
-    hot = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()
+    hot = _frequent(counts.where("word is not null"), HOT_WORDS)
     hot_words = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10((r["n"] + 0.5) / floor)) for r in hot})
     del hot
-    model = spark.sparkContext.broadcast(train(rows, vocabulary))
+    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    model = spark.sparkContext.broadcast(train(rows, ranks))
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(lambda it: _score(it, model, hot_words, vocabulary), f"{_SCORED}, id {id_type}"))
+    scored = materialize(rows.mapInArrow(lambda it: _score(it, model, hot_words, ranks), f"{_SCORED}, id {id_type}"))
     other = scored.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts, "word", "left")
     value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(floor)))
     other = other.groupBy("row").agg(F.sum(F.col("times") * value).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))

@@ -13,6 +13,7 @@ import xxhash
 
 from harrow.llm import language_model, licenses, pii, quality_model, quality_rules, simhash
 from harrow.llm import queries as llm
+from harrow.llm.common import read
 
 from .. import oracle
 
@@ -262,13 +263,35 @@ def test_language_model_base_score_and_split(spark, docs):
     assert gain > 0  # better on held-out texts than equal odds for every id
 
 
+def test_language_model_beats_word_counts_on_held_out_texts(spark):
+    """Log probability of held-out texts a token, against the base score of the same texts."""
+    rows = language_model.score(read(spark, "/root/testdata/sf0.01", "documents")).where("held_out").collect()
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens
+
+
 def test_windows_score_each_id_once():
     texts = [list(range(n)) for n in (0, 1, 31, 32, 33, 56, 57, 500)]
     x, y, used, owner = language_model.windows_of(texts)
     for i, t in enumerate(texts):
         own = owner == i
         assert y[own][used[own]].tolist() == [*t, language_model.END]
-        assert x[own][used[own]].tolist() == [language_model.END, *t]
+        assert x[0][own][used[own]].tolist() == [language_model.END, *t]
+
+
+def test_rounds_read_every_id_once():
+    texts = [[7 * n + i for i in range(n)] for n in (0, 1, 31, 32, 33, 64, 257)]
+    seen: Counter = Counter()
+    for turn in range(language_model.ROUNDS):
+        _, y, used, owner = language_model.windows_of(texts, language_model.SPAN, language_model.ROUNDS, turn)
+        seen.update((int(o), int(v)) for o, row, u in zip(owner, y, used, strict=True) for v in row[u])
+    assert seen == Counter((i, v) for i, t in enumerate(texts) for v in [*t, language_model.END])
+
+
+def test_context_rows_depend_on_the_last_ids_of_the_same_text():
+    a = language_model.windows_of([[5, 6, 7, 8], [5, 6, 7, 8], [9, 6, 7, 8]])[0]
+    assert (a[:, 0] == a[:, 1]).all()
+    assert (a[1:, 0, :5] != a[1:, 2, :5]).tolist() == [[False, True, True, False, False], [False, True, True, True, False]]
 
 
 def test_ids_by_word_equal_ids_of_the_text(docs):
@@ -278,26 +301,41 @@ def test_ids_by_word_equal_ids_of_the_text(docs):
         assert known.of(words) == (whole.encode_ordinary(" " + b" ".join(words).decode()) if words else [])
 
 
-def test_scorer_equals_the_network_and_sums_to_one():
+def filled_params(seed):
     import numpy as np
 
-    p = language_model.new_params(3)
+    p, rng = language_model.new_params(seed), np.random.default_rng(seed)
+    for k in ("pairs", "triples"):
+        p[k][:] = rng.normal(0, 0.2, p[k].shape)
+    return p
+
+
+def test_scoring_equals_the_network_and_sums_to_one():
+    import numpy as np
+
+    p = filled_params(3)
     rng = np.random.default_rng(2)
     x, y, used, _ = language_model.windows_of([rng.integers(0, language_model.VOCAB, n).tolist() for n in (90, 5)])
     top, _ = language_model._forward(p, x)
-    network = language_model.Scorer(p)
-    assert np.allclose(network.hidden(x, used), top[used], atol=1e-4)
+    near = np.where(language_model._CAUSAL, np.exp(p["near"][language_model._BACK]), 0).astype(np.float32)
+    assert np.allclose(language_model.score_windows(p, near, x, y, used), language_model.log_probs(p, top[used], y[used]), atol=1e-3)
     every = np.repeat(top[used][:1], language_model.VOCAB + 1, axis=0)
-    assert np.exp(language_model.log_probs(network.heads, every, np.arange(language_model.VOCAB + 1))).sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(language_model.log_probs(p, every, np.arange(language_model.VOCAB + 1))).sum() == pytest.approx(1, abs=1e-4)
+    texts = [rng.integers(0, language_model.VOCAB, n).tolist() for n in (0, 7000, 3, 400)]
+    x, y, used, owner = language_model.windows_of(texts)
+    assert len(y) > 3 * language_model.WINDOWS_AT_ONCE
+    lp = language_model.log_probs(p, language_model._forward(p, x)[0][used], y[used])
+    whole = np.bincount(np.repeat(owner, used.sum(axis=1)), lp, len(texts)) / math.log(10)
+    assert np.allclose(language_model._score_texts(p, texts), whole, rtol=1e-4)  # every id counts
 
 
 def test_attention_is_causal():
     import numpy as np
 
-    p = language_model.new_params()
-    a = np.arange(language_model.SPAN)[None] % language_model.VOCAB
+    p = filled_params(4)
+    a = np.stack([np.arange(language_model.SPAN)[None]] * 3)
     b = a.copy()
-    b[0, 20:] = 7
+    b[:, 0, 20:] = 7
     ha, hb = language_model._forward(p, a)[0], language_model._forward(p, b)[0]
     assert np.allclose(ha[0, :20], hb[0, :20]) and not np.allclose(ha[0, 20:], hb[0, 20:])
 
@@ -306,17 +344,20 @@ def test_gradients_equal_differences():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    p = {k: v.astype(np.float64) for k, v in language_model.new_params().items()}
-    x = rng.integers(0, language_model.VOCAB, (2, language_model.SPAN))
+    p = {k: v.astype(np.float64) for k, v in filled_params(5).items()}
+    x = np.stack([rng.integers(0, n, (2, language_model.SPAN)) for n in (language_model.VOCAB, language_model.PAIRS, language_model.TRIPLES)])
     y = rng.integers(0, language_model.VOCAB, (2, language_model.SPAN))
-    used = np.ones_like(x, bool)
+    used = rng.random(y.shape) < 0.8
 
     def loss(q):
         top, _ = language_model._forward(q, x)
-        return -language_model.log_probs(language_model._heads(q), top[used], y[used]).mean()
+        return -language_model.log_probs(q, top[used], y[used]).mean()
 
-    g = language_model._gradients(p, x, y, used)
-    for k in ("q", "v", "near", "mix", "back", "group", "embed"):
+    g, tables = language_model._gradients(p, x, y, used)
+    for k, (rows, grads, _) in tables.items():
+        g[k] = np.zeros_like(p[k])
+        g[k][rows] = grads
+    for k in p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         q = {n: v.copy() for n, v in p.items()}
         q[k][at] += 1e-4
