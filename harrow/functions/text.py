@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Words of delivery form that are no part of a drug name.
 FORM_WORDS = ("tablet", "tablets", "capsule", "capsules", "injection", "oral", "solution", "infusion", "cream", "gel")
 #: Legal suffixes of organisation names.
-LEGAL_SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "plc", "bv", "nv", "ab", "as", "spa", "srl", "kg")
+LEGAL_SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "plc", "bv", "nv", "ab", "as", "spa", "srl", "kg", "incorporated", "se", "kgaa", "oy", "kk", "pty", "lp", "llp")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,8 +82,10 @@ def visible_text(c: Column) -> Column:
 
 
 def organisation_key(c: Column) -> Column:
-    """Lower case without parentheses and punctuation; up to three legal suffixes dropped."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\([^)]*\)", " ")
+    """Lower case without marks, parentheses and punctuation; up to three legal suffixes dropped."""
+    from .names import folded
+
+    t = F.regexp_replace(F.lower(folded(F.coalesce(c, F.lit("")))), r"\([^)]*\)", " ")
     t = collapse(F.regexp_replace(F.regexp_replace(t, r"[.,']", ""), r"[^a-z0-9]+", " "))
     for _ in range(3):
         t = F.regexp_replace(t, rf" (?:{'|'.join(LEGAL_SUFFIXES)})$", "")
@@ -140,11 +142,19 @@ def elapsed_months(start: Column, end: Column) -> Column:
     return F.datediff(end, start) / F.lit(30.4375)
 
 
-def shard_of(identifier: Column, shards: int = 256) -> Column:
-    """A stable shard: the digits of the id modulo shards; other ids by their hash."""
-    digits = F.regexp_extract(identifier, r"([0-9]+)$", 1)
+def fnv1a(c: Column) -> Column:
+    """32-bit FNV-1a over the characters."""
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
+
+
+def shard_of(identifier: Column, shards: int = 256, prefix: str = "NCT") -> Column:
+    """A stable shard, a power of two of them: the digits behind the prefix modulo shards, other ids by
+    FNV-1a. Blanks around an id and its case do not matter; the last 18 digits decide the remainder."""
+    own = F.upper(F.trim(identifier))
+    digits = F.regexp_extract(own, rf"^{prefix}([0-9]+)$", 1)
     number = F.when(F.length(digits) > 0, F.right(digits, F.lit(18)).cast("long"))
-    return F.coalesce(F.pmod(number, F.lit(shards)), F.pmod(F.crc32(identifier), F.lit(shards))).cast("int")
+    return F.coalesce(F.pmod(number, F.lit(shards)), F.pmod(fnv1a(own), F.lit(shards))).cast("int")
 
 
 def keyword_hit(text: Column, keyword: str, whole_word: bool = False, not_after: tuple[str, ...] = ()) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import cloglog_interval
@@ -77,26 +78,41 @@ def false_discovery(family: DataFrame, p: str = "p") -> DataFrame:
     return r.unionByName(none)
 
 
-def bootstrap_at(obs: DataFrame, keys: Sequence[str], identifier: str, horizon: float, draws: int = 200, months: str = "months", event: str = "event", seed: str = "b1") -> DataFrame:
-    """Percentile interval (2.5 to 97.5 %) of the incidence at a horizon.
+def bootstrap_at(obs: DataFrame, keys: Sequence[str], horizon: float, draws: int = 1000, months: str = "months", event: str = "event", seed: str = "b1") -> DataFrame:
+    """Percentile interval (2.5 to 97.5 %) of the incidence at a horizon, resampled within each segment.
 
-    Every observation is first reduced to its time and code, with a Poisson(1) weight for each
-    replicate drawn from a hash of seed, replicate and id. Replicates are then weighted risk tables,
-    so what is shuffled is one row per segment, distinct time and replicate."""
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(identifier)), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(uniform >= c, 1).otherwise(0) for c in _poisson_steps()), F.lit(0))
-    rows = obs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    counts = [F.sum(F.when(F.col(event) == c, F.col("w")).otherwise(0)).alias(n) for c, n in ((EVENT, "d1"), (COMPETING, "d2"), (CENSORED, "d0"))]
+    Observations are first reduced to cells (segment, distinct time, code, count). A replicate of a cell
+    is a Poisson draw with its count as mean, from a hash of seed, replicate and cell: the sum of that many
+    Poisson(1) weights. So what is laid out per replicate is cells, not observations."""
+    cells = obs.groupBy(*keys, F.round(months, 4).alias("t"), F.col(event).alias("code")).agg(F.count("*").alias("n"))
     own = [*keys, "draw"]
-    risk = rows.groupBy(*own, F.round(months, 4).alias("t")).agg(*counts).where("d0 + d1 + d2 > 0")
+    # cells are few: their replicates are dealt out before anything is computed on them
+    rows = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(*own)
+    uniform = [(F.pmod(F.xxhash64(F.lit(f"{seed}{i}"), "draw", *keys, "t", "code"), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in range(2)]
+    rows = rows.withColumn("w", _poisson(F.col("n"), *uniform))
+    counts = [F.sum(F.when(F.col("code") == c, F.col("w")).otherwise(0)).alias(n) for c, n in ((EVENT, "d1"), (COMPETING, "d2"), (CENSORED, "d0"))]
+    risk = rows.groupBy(*own, "t").agg(*counts).where("d0 + d1 + d2 > 0")
     left = Window.partitionBy(*own).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     risk = risk.withColumn("at_risk", F.sum(F.col("d0") + F.col("d1") + F.col("d2")).over(left))
-    points = at_horizons(aalen_johansen(risk, own), own, [horizon])
-    return points.groupBy(*keys).agg(F.percentile("cif", F.lit(0.025)).alias("low"), F.percentile("cif", F.lit(0.975)).alias("high"))
-
-
-def _poisson_steps(longest: int = 8) -> list[float]:
-    """Cumulative probabilities of a Poisson(1) count."""
-    from math import exp, factorial
-
-    return [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(longest)]
+    # the incidence alone, without its variance: survival before each time, up to the horizon
+    before = Window.partitionBy(*own).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    d, n = F.col("d1") + F.col("d2"), F.col("at_risk")
+    fall = F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(-1e9))
+    terms = risk.withColumn("term", F.exp(F.coalesce(F.sum(fall).over(before), F.lit(0.0))) * F.col("d1") / n)
+    points = terms.groupBy(*own).agg(F.sum(F.when(F.col("t") <= horizon, F.col("term")).otherwise(0.0)).alias("cif"))
+    cif = F.col("cif")
+    return points.groupBy(*keys).agg(F.percentile(cif, F.lit(0.025)).alias("low"), F.percentile(cif, F.lit(0.975)).alias("high"))
+
+
+def _poisson(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson draw: from the distribution function up to a mean of 30, beyond it the rounded normal."""
+    p = F.exp(-mean)
+    start = F.struct(p.alias("p"), p.alias("upto"), F.lit(0).cast("long").alias("k"))
+
+    def step(a: Column, i: Column) -> Column:
+        p = a["p"] * mean / i
+        return F.struct(p.alias("p"), (a["upto"] + p).alias("upto"), (a["k"] + F.when(u >= a["upto"], 1).otherwise(0)).alias("k"))
+
+    small = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(30), mean).cast("int") * 2 + 10), start, step, lambda a: a["k"])
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * pi * v)
+    return F.when(mean <= 30, small).otherwise(F.greatest(F.lit(0), F.round(mean + F.sqrt(mean) * normal).cast("long")))

@@ -10,9 +10,9 @@ from ..operators import joins
 from .registry import query, table
 
 
-@query("d06_text_match_counts", "WITH a AS (SELECT substring(text, 1, 20) AS k, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), b AS (SELECT substring(text, 1, 20) AS k, count(*) AS m FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL) SELECT k, n, m FROM a JOIN b USING (k)")
+@query("d06_text_match_counts", "WITH d AS (SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '))) AS k FROM documents), a AS (SELECT k, count(*) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY k), b AS (SELECT k, count(*) AS m FROM d WHERE doc_id % 2 = 1 GROUP BY k) SELECT k, n, m FROM a JOIN b USING (k)")
 def text_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("k"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized(F.col("text"))).alias("k"))
     side = lambda r, n: d.where(F.col("doc_id") % 2 == r).groupBy("k").agg(F.count("*").alias(n))
     return side(0, "n").join(side(1, "m"), "k")
 
@@ -44,13 +44,13 @@ def first_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_term(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", terms).select("doc_id", "matched")
 
 
-LEXICON = "lex AS (SELECT DISTINCT p_brand AS class, string_split(p_name, ' ')[1] AS item FROM part WHERE p_partkey < 200)"
+LEXICON = "lex AS (SELECT DISTINCT p_brand AS class, string_split(p_name, ' ')[1] AS item FROM part)"
 
 
 @query("d16_class_overlap", f"WITH {LEXICON}, r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS item FROM part) SELECT p_partkey, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes FROM r JOIN lex USING (item) GROUP BY p_partkey")
 def class_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    lex = part.where("p_partkey < 200").select(F.col("p_brand").alias("class"), F.get(F.split("p_name", " "), 0).alias("item")).distinct()
+    lex = part.select(F.col("p_brand").alias("class"), F.get(F.split("p_name", " "), 0).alias("item")).distinct()
     return joins.class_members(part, "p_partkey", F.split("p_name", " "), lex).select("p_partkey", F.array_join("classes", ",").alias("classes"))
 
 

@@ -148,9 +148,9 @@ def disclosure_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.disclosure_gap(records(spark, sf_dir), ["segment"], F.col("last_ship"), F.col("n_lines") > 3, F.lit("2001-01-01").cast("date"))
 
 
-@query("e41_label_histograms", "WITH p AS (SELECT substring(text, 1, 4) AS g, coalesce(lang, '') AS label, count(*) AS n FROM documents GROUP BY ALL) SELECT g, sum(n)::BIGINT AS n_rows, string_agg(label || '=' || n, ';' ORDER BY label || '=' || n) AS histogram, count(*) = 1 AS agrees FROM p GROUP BY g")
+@query("e41_label_histograms", "WITH p AS (SELECT md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '))) AS g, coalesce(lang, '') AS label, count(*) AS n FROM documents GROUP BY ALL) SELECT g, sum(n)::BIGINT AS n_rows, string_agg(label || '=' || n, ';' ORDER BY label || '=' || n) AS histogram, count(*) = 1 AS agrees FROM p GROUP BY g")
 def label_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.agreement_groups(table(spark, sf_dir, "documents"), F.substring("text", 1, 4), "lang")
+    return portfolio.agreement_groups(table(spark, sf_dir, "documents"), F.md5(text.normalized(F.col("text"))), "lang")
 
 
 @query("e43_repeated_signals", f"WITH {REC} SELECT o_custkey, count(*) AS n FROM rec WHERE {BIO} GROUP BY o_custkey HAVING count(*) >= 2")

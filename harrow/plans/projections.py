@@ -102,11 +102,11 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").select("o_orderkey", flatten.count_band(F.col("n")).alias("band"))
 
 
-@query("b22_annotated_rows", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL OR quality = 1 THEN 'CORRECT' ELSE 'WRONG' END AS audit FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("b22_annotated_rows", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL OR quality = 1 THEN 'CORRECT' ELSE 'WRONG' END AS audit FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def annotated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(100)
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     marks = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "CORRECT").otherwise("WRONG").alias("audit"))
-    return first.join(marks, "doc_id", "left").select("doc_id", F.coalesce("audit", F.lit("CORRECT")).alias("audit"))
+    return docs.join(marks, "doc_id", "left").select("doc_id", F.coalesce("audit", F.lit("CORRECT")).alias("audit"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------
@@ -178,9 +178,10 @@ def after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.after_last(F.col("text"), " the ").alias("rest"))
 
 
-@query("a25_shards", "SELECT (page_id % 256)::INTEGER AS shard, count(*) AS n FROM pages GROUP BY 1")
+@query("a25_shards", "SELECT page_id, (page_id % 256)::INTEGER AS shard, (list_reduce(list_prepend(2166136261, list_transform(string_split(upper(trim(url)), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 256)::INTEGER AS named_shard FROM pages")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(text.shard_of(F.concat(F.lit("ID"), F.col("page_id").cast("string"))).alias("shard")).agg(F.count("*").alias("n"))
+    numbered = F.concat(F.lit(" nct"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
+    return table(spark, sf_dir, "pages").select("page_id", text.shard_of(numbered).alias("shard"), text.shard_of(F.col("url")).alias("named_shard"))
 
 
 # --- posted results: an order is a study, its lines are analyses ------------------------------------

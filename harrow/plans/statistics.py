@@ -152,10 +152,10 @@ def curve_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f16_bootstrap_interval")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of the incidence at two months: each replicate weighs every observation
-    by a hash-drawn Poisson count, so replicates are grouped sums and no group is held in memory."""
+    """Percentile bootstrap of the incidence at two months: each replicate draws the count of every cell
+    of time and code, so replicates are grouped sums and no group is held in memory."""
     o = observed(spark, sf_dir).where("left_out is null").select("segment", "months", "event", "o_orderkey")
-    return rounded(survival.bootstrap_at(o, ["segment"], "o_orderkey", 2.0, draws=60), "low", "high")
+    return rounded(survival.bootstrap_at(o, ["segment"], 2.0), "low", "high")
 
 
 # --- exact tails and false discoveries ------------------------------------------------------------

@@ -42,7 +42,7 @@ def test_analytic_interval_is_near_the_bootstrap(spark):
     rows = [("s", 1.0 + (i * 37 % 101) / 7, i % 3, i) for i in range(300)]
     obs = spark.createDataFrame(rows, "g string, months double, event int, i int")
     curve = survival.aalen_johansen(survival.risk_table(obs, ["g"]), ["g"]).where("t <= 8").orderBy(F.desc("t")).first()
-    boot = survival.bootstrap_at(obs, ["g"], "i", 8.0, draws=200).first()
+    boot = survival.bootstrap_at(obs, ["g"], 8.0, draws=1000).first()
     width = curve["high"] - curve["low"]
     assert abs(boot["low"] - curve["low"]) < 0.3 * width and abs(boot["high"] - curve["high"]) < 0.3 * width
 
