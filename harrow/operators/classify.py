@@ -154,7 +154,7 @@ def stop_snippet(text: Column, cues: Sequence[str] = ("stopped", "terminated", "
     t = tx.collapse(F.coalesce(text, F.lit("")))
     places = F.filter(F.array(*[F.locate(c, F.lower(t)) for c in cues]), lambda p: p > 0)
     begin = F.greatest(F.lit(1), F.array_min(places) - window // 4)
-    return F.coalesce(F.substring(t, begin, F.lit(window)), F.lit(""))
+    return F.when(F.size(places) > 0, F.substring(t, begin, F.lit(window))).otherwise("")
 
 
 def stop_sentences(text: Column, cue: str, plan: str) -> Column:
