@@ -144,7 +144,7 @@ def elapsed_months(start: Column, end: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a over the characters."""
-    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
 
 
