@@ -49,8 +49,8 @@ WINDOWS_AT_HAND, BATCH = 96 * 64, 96
 #: Optimiser steps that a partition makes at least in a round; a small one repeats its windows for them.
 MIN_STEPS = 150
 RATE, TABLE_RATE = 0.01, 0.1
-#: Numbers in a block of parameters that is averaged, and the first level of that sum.
-BLOCK, FIRST_LEVEL = 1 << 16, 64
+#: Rows in a block of a table that is averaged, and the first level of that sum.
+BLOCK, FIRST_LEVEL = 1 << 12, 64
 #: Windows that a task scores at once.
 WINDOWS_AT_ONCE = 64
 #: Words whose counts are sent to every task, at most; the others are counted by a join.
@@ -353,7 +353,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(counts, ends)
 
 
-_PARTS = "part string, block int, level int, value binary, weight binary"
+_PARTS = "part string, block int, level int, rows binary, value binary, weight binary"
+_PARTS_SCHEMA = pa.schema([("part", pa.string()), ("block", pa.int32()), ("level", pa.int32()), ("rows", pa.binary()), ("value", pa.binary()), ("weight", pa.binary())])
+
+
+def _part_row(part: str, block: int, level: int, rows: np.ndarray, value: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Rows (int32) of a block of a parameter, their weighted sums and their weights (float32)."""
+    cells = [part, block, level, rows.astype(np.int32).tobytes(), value.astype(np.float32).tobytes(), weight.astype(np.float32).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _PARTS_SCHEMA, strict=True)], schema=_PARTS_SCHEMA)
+
+
+def _as_rows(name: str, value: np.ndarray) -> np.ndarray:
+    """Tables by their rows; another parameter is one row."""
+    return value if name in TABLES else value.reshape(1, -1)
 
 
 def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) -> Iterator[pa.RecordBatch]:
@@ -385,28 +397,31 @@ def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) ->
         trainer.windows(*last, steps=MIN_STEPS - trainer.steps)
     if trainer.steps:
         for name, value in _without_gaps(trainer.p).items():
-            weight = np.repeat(trainer.uses[name], DIMS) if name in TABLES else np.full(value.size, trainer.weight, np.float32)
-            total = value.ravel().astype(np.float64) * weight
-            for n in range(0, len(total), BLOCK):
-                part = slice(n, n + BLOCK)
-                yield pa.RecordBatch.from_pydict({"part": [name], "block": pa.array([n], pa.int32()), "level": pa.array([number % FIRST_LEVEL], pa.int32()), "value": [total[part].astype(np.float32).tobytes()], "weight": [weight[part].tobytes()]})
+            value = _as_rows(name, value)
+            weight = trainer.uses[name] if name in TABLES else np.full(1, trainer.weight)
+            for n in range(0, len(value), BLOCK):
+                rows = np.flatnonzero(weight[n : n + BLOCK])  # only what this partition has used
+                if len(rows):
+                    yield _part_row(name, n, number % FIRST_LEVEL, rows, value[n + rows] * weight[n + rows, None], weight[n + rows])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part, block and level -> one for each, sums of value and weight."""
-    key, sums = None, None
+    key, sums, weights = None, None, None
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": [key[0]], "block": pa.array([key[1]], pa.int32()), "level": pa.array([key[2]], pa.int32()), "value": [sums[0].tobytes()], "weight": [sums[1].tobytes()]})
+        rows = np.flatnonzero(weights)
+        return _part_row(*key, rows, sums[rows], weights[rows])
 
     for b in batches:
         for r in b.to_pylist():
+            rows, value, weight = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["value"], np.float32), np.frombuffer(r["weight"], np.float32)
             if key != (new := (r["part"], r["block"], r["level"])):
                 if key:
                     yield row()
-                key, sums = new, [np.zeros(len(r[c]) // 4, np.float32) for c in ("value", "weight")]
-            for total, c in zip(sums, ("value", "weight"), strict=True):
-                total += np.frombuffer(r[c], np.float32)
+                key, sums, weights = new, np.zeros((BLOCK, len(value) // len(rows))) if r["part"] in TABLES else np.zeros((1, len(value))), np.zeros(BLOCK)
+            sums[rows] += value.reshape(len(rows), -1)
+            weights[rows] += weight
     if key:
         yield row()
 
@@ -418,14 +433,13 @@ def train(docs: DataFrame, ranks) -> Params:
     p = new_params()
     for turn in range(ROUNDS):
         shared = sc.broadcast(p)
-        parts = materialize(docs.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, ranks, t), _PARTS))
+        parts = docs.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, ranks, t), _PARTS)
         for level in (F.col("level"), F.lit(0)):
             parts = parts.withColumn("level", level).repartition("part", "block", "level").sortWithinPartitions("part", "block", "level").mapInArrow(_summed, _PARTS)
         p = {k: v.copy() for k, v in p.items()}
         for r in parts.collect():
-            value, weight = (np.frombuffer(r[c], np.float32) for c in ("value", "weight"))
-            own = p[r["part"]].ravel()[r["block"] : r["block"] + len(value)]
-            np.divide(value, weight, out=own, where=weight > 0)
+            rows, value, weight = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["value"], np.float32), np.frombuffer(r["weight"], np.float32)
+            _as_rows(r["part"], p[r["part"]])[r["block"] + rows] = value.reshape(len(rows), -1) / weight[:, None]
     return p
 
 

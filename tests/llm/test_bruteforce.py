@@ -465,3 +465,25 @@ def test_licenses_equal_template_search(spark):
     assert all(got[i] <= want[i] for i in texts)  # nothing is confirmed without its template
     stated = [i for i in texts if want[i]]
     assert stated and sum(bool(got[i]) for i in stated) >= 0.95 * len(stated)
+
+
+def test_parameters_are_averaged_by_use():
+    """Two partitions' sums against plain weighted means, through both levels."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    parts = []
+    for level in (0, 1, 1):
+        rows = np.sort(rng.choice(language_model.BLOCK, 50, replace=False))
+        parts.append((level, rows, rng.normal(size=(50, language_model.DIMS)).astype(np.float32), rng.integers(1, 9, 50).astype(np.float32)))
+    first = [language_model._part_row("pairs", 0, lv, r, v * w[:, None], w) for lv, r, v, w in parts]
+    again = [language_model.pa.RecordBatch.from_pydict(b.to_pydict() | {"level": [0]}, schema=language_model._PARTS_SCHEMA) for b in language_model._summed(iter(first))]
+    assert len(again) == 2
+    (out,) = language_model._summed(iter(again))
+    got_rows, value, weight = (np.frombuffer(out.column(c)[0].as_py(), t) for c, t in (("rows", np.int32), ("value", np.float32), ("weight", np.float32)))
+    total, seen = np.zeros((language_model.BLOCK, language_model.DIMS)), np.zeros(language_model.BLOCK)
+    for _, r, v, w in parts:
+        total[r] += v * w[:, None]
+        seen[r] += w
+    assert got_rows.tolist() == np.flatnonzero(seen).tolist()
+    assert np.allclose(value.reshape(-1, language_model.DIMS) / weight[:, None], total[got_rows] / seen[got_rows, None], atol=1e-4)
