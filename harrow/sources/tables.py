@@ -19,8 +19,17 @@ def read_json(spark: SparkSession, path: str | list[str], schema: StructType | s
     return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, separator: str = ",") -> DataFrame:
-    """A delimited file with a header; blanks become null."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in the file system that Spark uses for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, separator: str = ",", missing_ok: bool = False) -> DataFrame:
+    """A delimited file with a header; blanks become null. A path that is not there is an error, or with
+    missing_ok an empty table."""
+    if missing_ok and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     df = spark.read.csv(path, schema=schema, sep=separator, header=True, multiLine=separator == ",", quote='"', escape='"')
     return df.select(*[blank_to_null(F.trim(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
@@ -28,8 +37,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, separator
 def read_first_of(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
     """Parquet from the first path that exists, through the file system that Spark uses for it."""
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, p):
             return spark.read.schema(schema).parquet(p)
     raise FileNotFoundError(", ".join(paths))
 
@@ -101,3 +109,44 @@ def release_facts(df: DataFrame, date: str, label: str, top: str, n: int = 10) -
     digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
     facts = df.agg(F.count("*").alias("n_rows"), F.max(date).alias("latest"), F.count_distinct(label).alias("labels"), digest.alias("digest"))
     return facts, df.groupBy(top).agg(F.count("*").alias("n")).orderBy(F.desc("n"), top).limit(n)
+
+
+def write_slices(df: DataFrame, path: str, column: str) -> None:
+    """Parquet with a folder per value; only the values that df holds are replaced."""
+    df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def digest(columns: Sequence[str]) -> Column:
+    """An aggregate over rows that does not depend on their order or on how they are laid out."""
+    return F.concat_ws(":", F.count("*").cast("string"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string"))
+
+
+def pinned(df: DataFrame, pin: str) -> DataFrame:
+    """df, if its digest is the pinned one; otherwise an error."""
+    found = df.agg(digest(df.columns)).first()[0]
+    if found != pin:
+        raise ValueError(f"digest {found}, wanted {pin}")
+    return df
+
+
+def publishable(df: DataFrame, key: str) -> DataFrame:
+    """df, unless it is empty or a key is missing or repeated; otherwise an error."""
+    n, missing, most = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.max("n")).first()
+    if not n or missing or most > 1:
+        raise ValueError(f"{n or 0} rows, {missing or 0} without {key}, at most {most or 0} of one {key}")
+    return df
+
+
+def capped(df: DataFrame, order: Sequence[Column], limit: int = EXPORT_ROWS) -> DataFrame:
+    """The first rows, each with the whole number of rows and whether some are left out."""
+    total = df.agg(F.count("*").alias("total"))
+    rows = export_rows(df, order, limit).join(F.broadcast(total), F.lit(True))  # one row
+    return rows.withColumn("truncated", F.col("total") > limit)
+
+
+def spreadsheet_lines(df: DataFrame) -> DataFrame:
+    """One column, line: header and rows as quoted CSV that ends in a carriage return (the text writer adds the
+    line feed), the first with a byte order mark; nulls are empty."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    head = df.sparkSession.range(1).select(F.concat(F.lit("\ufeff" + ",".join(f'"{c}"' for c in df.columns)), F.lit("\r")).alias("line"))
+    return head.unionByName(df.select(F.concat(F.concat_ws(",", *[cell(F.col(c)) for c in df.columns]), F.lit("\r")).alias("line")))
