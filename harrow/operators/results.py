@@ -88,3 +88,13 @@ def first_statement(places: Sequence[Column], pattern: str) -> Column:
 
 def evidence_line(label: Column, value: Column, op: Column) -> Column:
     return F.concat(label, F.lit(": p "), op, F.lit(" "), F.format_number(value, 4))
+
+
+def implied_z(low: Column, high: Column, null_value: Column, z: float = 1.959964) -> Column:
+    """The normal deviate that a two-sided 95 % interval implies; null for one that is crossed or empty."""
+    return F.when(low < high, ((low + high) / 2 - null_value) / ((high - low) / 2 / z))
+
+
+def stated_miss(said: Column, miss: str, other: str) -> Column:
+    """The first sentence that states a miss and does not speak of another study; null without one."""
+    return F.get(F.filter(text.sentences(said), lambda s: s.rlike(miss) & ~s.rlike(other)), 0)
