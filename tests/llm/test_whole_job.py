@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 
@@ -30,19 +31,23 @@ def test_quality_model_learns_from_every_part_of_a_text(spark):
 
 
 def test_language_model_rounds_read_every_run(monkeypatch):
-    read, whole = [], language_model.windows_of
-    monkeypatch.setattr(language_model, "windows_of", lambda texts: read.extend(map(tuple, texts)) or whole(texts))
-    monkeypatch.setattr(language_model, "train_local", lambda p, *_: {})
+    """What the trainer is given over all rounds: every id of every training text once, the end included."""
+    read: list = []
+    monkeypatch.setattr(language_model.Trainer, "windows", lambda self, x, y, used, steps=None: read.extend(y[used].tolist()))
+    monkeypatch.setattr(language_model, "MIN_STEPS", 0)
+    monkeypatch.setattr(language_model, "WINDOWS_AT_HAND", 20)  # several trainings a partition
     words, known = [f"w{i}" for i in range(2000)], language_model.WordIds()
-    ids = [i for i in range(20) if not language_model.is_held_out(i)]
-    texts = [" ".join(words[i * 100 : i * 100 + 30 * i + 1]) for i in ids]
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["id", "text"])
+    everyone = list(range(20))
+    texts = [" ".join(words[i * 100 : i * 100 + 30 * i + 1]) for i in everyone]
+    batch = pa.RecordBatch.from_arrays([pa.array(everyone), pa.array(texts)], ["id", "text"])
+    shared = lambda value: type("B", (), {"value": value})
     for turn in range(language_model.ROUNDS):
-        list(language_model._train_round(iter([batch]), type("P", (), {"value": {}}), language_model.VOCABULARY, turn))
-    n = language_model.SEGMENT_WORDS
-    for t in texts:
-        w = language_model.words_of(t.encode())
-        assert all(tuple(known.of(w[s : s + n])) in read for s in range(0, len(w), n))
+        list(language_model._train_round(iter([batch]), shared(language_model.new_params()), shared(language_model.read_ranks()), turn))
+    want: Counter = Counter()
+    for i, t in zip(everyone, texts, strict=True):
+        if not language_model.is_held_out(i):
+            want.update([*known.of(language_model.words_of(t.encode())), language_model.END])
+    assert Counter(read) == want
     assert (language_model.SPAN, language_model.STRIDE) == (32, 24)
 
 
