@@ -90,3 +90,25 @@ def test_mix_stage_and_run(spark, steps):
     assert all(abs(t - n) <= 0.5 for t, n in taken.values())
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r["doc_id"], r["taken"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["taken"], r["text"]) for r in steps[5])
+
+
+def test_stages_on_hard_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and empty tables, in every stage."""
+    from .test_edges import COPY, LONG
+
+    prose = " ".join(f"word{i} and" for i in range(40))
+    rows = [(1, None, None, None), (2, "", "en", "web"), (3, LONG, "en", "web"), (4, prose, "en", "web"), (4, prose, "en", "web"), (None, COPY, "en", "web"), (None, COPY, "en", None), (5, prose + " me@mail.example", "de", "web"), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, kept boolean")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got[name] = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert out.columns[:5] == COLUMNS
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    before = [(i, t) for i, t, *_ in rows]
+    assert all(x in before and x[1] for x in got["quality rules"])
+    assert sorted((str(i), t == prose) for i, t in got["simhash near-dedup"] if i in (1, 2, 4)) == [("1", False), ("4", True)]
+    assert sum(t == COPY for _, t in got["simhash near-dedup"]) == 1
+    assert sorted(map(str, got["benchmark decontamination"])) == sorted(map(str, before))
+    assert len(got["pii"]) == len(rows) and (5, prose + " <EMAIL>") in got["pii"] and (1, None) in got["pii"]
+    assert got["mixing"] and all(t and t.split() for _, t in got["mixing"])
