@@ -17,28 +17,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null text counts as empty and is rejected; rows that share an id
+    are judged each for itself; an empty table gives an empty one; further columns are left out."""
     return quality_rules.judge(docs, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates one document: the one of least id (null ids last)."""
+    """Of each component of near-duplicates one document: the one of least id (null ids last). Null and empty texts
+    are one component; repeated rows are one document; an empty table gives an empty one."""
     return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item's window occurs."""
+    """Documents in which no benchmark item's window occurs. Null and empty texts have no words and stay; rows that
+    share an id are judged together; an empty table gives an empty one."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal spans replaced by their kind; n_chars follows the text."""
+    """All documents, with personal spans replaced by their kind; n_chars follows the text. A null text stays null,
+    with a null n_chars; repeated rows stay; an empty table gives an empty one."""
     out = docs.withColumn("text", pii.redact(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words taken (repeats counted)."""
+    """Documents that the mix takes, with the words taken (repeats counted). Texts without words are never taken; a null
+    source is a source of its own; repeated rows count each for itself; an empty table gives an empty one."""
     out = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     return out.where("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
