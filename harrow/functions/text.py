@@ -71,6 +71,19 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def strict_sentences(c: Column) -> Column:
+    """Split behind . ! ? and white space, only before a capital or a digit."""
+    return F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: s != "")
+
+
+def sentence_around(c: Column, at: Column, limit: int = 220) -> Column:
+    """The sentence that holds the character at a place (from 1), up to `limit` characters; null without a place. The
+    part before is read backwards, so the time is linear."""
+    before = F.reverse(F.regexp_extract(F.reverse(F.substring(c, F.lit(1), at - 1)), r"\A([^.!?]*)", 1))
+    behind = F.regexp_extract(F.substring(c, at, F.length(c)), r"\A([^.!?]*[.!?]?)", 1)
+    return F.when(at > 0, F.substring(F.trim(F.concat(before, behind)), 1, limit))
+
+
 def first_sentence(c: Column, limit: int = 700) -> Column:
     return F.substring(F.get(sentences(c), 0), 1, limit)
 

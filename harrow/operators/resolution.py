@@ -97,3 +97,65 @@ def unique_prefix(names: DataFrame, name: str, issuers: DataFrame, issuer: str,
     out = n.join(exact, "_n", "left").join(prefix, "_p", "left")
     how = F.when(F.col("_k") == 1, "exact").when(F.col("_k").isNull() & (F.col("_pk") == 1), "prefix")
     return out.select(name, F.when(how == "exact", F.col("_x")).when(how == "prefix", F.col("_px")).alias(identifier), how.alias("method"))
+
+
+def one_parent(terms: DataFrame, term: str, synonyms: DataFrame, parents: DataFrame, out: str = "molecule") -> DataFrame:
+    """Each term with the one parent that its exact synonyms (name, id) fold to over parents (id, parent; a null or
+    missing parent: the id itself); null where none or several do. Both dimensions are reduced before the join."""
+    of = parents.groupBy("id").agg(F.min("parent").alias("parent"))
+    own = F.coalesce("parent", "id")
+    found = synonyms.join(of, "id", "left").groupBy("name").agg(F.count_distinct(own).alias("_k"), F.min(own).alias("_p"))
+    return terms.join(found, F.col(term) == F.col("name"), "left").select(term, F.when(F.col("_k") == 1, F.col("_p")).alias(out))
+
+
+def mechanisms_with_genes(acts: DataFrame, targets: DataFrame) -> DataFrame:
+    """acts (molecule, mechanism, target), targets (target, gene) -> molecule, mechanism, genes sorted."""
+    genes = targets.groupBy("target").agg(F.collect_set("gene").alias("_g"))
+    out = acts.distinct().join(genes, "target", "left").groupBy("molecule", "mechanism")
+    return out.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_g")))).alias("genes"))
+
+
+#: Kinds of concept that are ingredients themselves.
+INGREDIENT_KINDS = ("IN", "PIN", "MIN")
+
+
+def single_ingredient(concepts: DataFrame, related: DataFrame) -> DataFrame:
+    """concepts (name, id, kind), related (id, ingredient) -> name, ingredient: the concept itself where it is an
+    ingredient, else its one related ingredient; null where a name has none or several."""
+    one = related.groupBy("id").agg(F.count_distinct("ingredient").alias("_k"), F.min("ingredient").alias("_i"))
+    own = F.when(F.col("kind").isin(*INGREDIENT_KINDS), F.col("id")).when(F.col("_k") == 1, F.col("_i"))
+    out = concepts.join(one, "id", "left").groupBy("name").agg(F.count_distinct(own).alias("_n"), F.min(own).alias("ingredient"))
+    return out.select("name", F.when(F.col("_n") == 1, F.col("ingredient")).alias("ingredient"))
+
+
+def class_names(classes: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """classes (ingredient, kind, name) -> ingredient, the sorted names of classes of those kinds."""
+    return classes.where(F.col("kind").isin(*kinds)).groupBy("ingredient").agg(F.array_sort(F.collect_set("name")).alias("classes"))
+
+
+def marketed(ingredients: DataFrame, bases: DataFrame, products: DataFrame) -> DataFrame:
+    """ingredients (id), bases (id, base), products (id) -> id, marketed: itself or its base has a product."""
+    sold = products.select("id").distinct()
+    own = ingredients.join(sold.withColumn("_own", F.lit(True)), "id", "left").join(bases.groupBy("id").agg(F.min("base").alias("base")), "id", "left")
+    out = own.join(sold.select(F.col("id").alias("base"), F.lit(True).alias("_base")), "base", "left")
+    return out.select("id", F.coalesce("_own", "_base", F.lit(False)).alias("marketed"))
+
+
+def resolve_records(designs: DataFrame, key: str, names: DataFrame, mechanisms: DataFrame, targets: DataFrame) -> DataFrame:
+    """designs (key, interventions, arms) -> key, drugs, entities, genes, status: the drugs that only experimental
+    arms have, each resolved by itself. RESOLVED: all are; PARTIAL: some; UNRESOLVED: none; NO_FOCUS: there is no
+    such drug. Equal drugs of many records are resolved once."""
+    each = designs.select(key, F.explode(arm_types(F.col("interventions"), F.col("arms"))).alias("_i")).where(role(F.col("_i")) == "EXPERIMENTAL")
+    each = each.select(key, F.col("_i.name").alias("name")).distinct()
+    known = component_status(each.select("name").distinct().withColumn("_id", F.col("name")), "_id", "name", names, mechanisms, targets)
+    done = F.col("status") == "RESOLVED"
+    found = each.join(known.drop("_id"), "name").groupBy(key).agg(
+        F.array_sort(F.collect_set("name")).alias("drugs"),
+        F.array_sort(F.collect_set("entity")).alias("entities"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("genes")))).alias("genes"),
+        F.count_if(done).alias("_done"),
+        F.count("*").alias("_all"),
+    )
+    none = F.array().cast("array<string>")
+    status = F.when(F.col("_all").isNull(), "NO_FOCUS").when(F.col("_done") == F.col("_all"), "RESOLVED").when(F.col("_done") > 0, "PARTIAL").otherwise("UNRESOLVED")
+    return designs.select(key).join(found, key, "left").select(key, *[F.coalesce(c, none).alias(c) for c in ("drugs", "entities", "genes")], status.alias("status"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import snapshots
+from ..operators import resolution, snapshots
 from ..sources import tables
 from .registry import query, table
 
@@ -193,3 +193,131 @@ def registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary by normalised name; of several the latest number."""
     s = table(spark, sf_dir, "supplier").select(text.organisation_key(F.col("s_name")).alias("name"), F.col("s_suppkey").alias("cik"))
     return snapshots.keep_one(s, "name", "cik", last=True)
+
+
+# --- downloads and publishing --------------------------------------------------------------------------
+
+
+def lines_of(spark: SparkSession, whole: str) -> DataFrame:
+    """A download's text (at most EXPORT_ROWS rows) by lines."""
+    return spark.createDataFrame(list(enumerate(whole.split("\r\n")[:-1])), "place long, line string")
+
+
+@query(
+    "a31_csv_download",
+    '''WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n, '"' || p_brand || ', ""' || p_size || '"""' AS label FROM part)
+    SELECT 0::BIGINT AS place, '# title: parts' AS line UNION ALL SELECT 1, '# scope: all' UNION ALL SELECT 2, 'p_partkey,label' UNION ALL SELECT n + 2, p_partkey || ',' || label FROM r WHERE n <= 100''',
+)
+def csv_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of metadata, a header, and quoted rows up to a download's limit."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(', "'), "p_size", F.lit('"')).alias("label"))
+    return lines_of(spark, tables.export_text(rows, [F.col("p_partkey")], {"title": "parts", "scope": "all"}))
+
+
+@query("a32_json_download", "SELECT 'parts' AS title, p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 100")
+def json_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An envelope of metadata and rows, parsed again."""
+    whole = tables.export_text(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), [F.col("p_partkey")], {"title": "parts"}, "json")
+    read = spark.createDataFrame([(whole,)], "whole string").select(F.from_json("whole", "metadata struct<title: string>, rows array<struct<p_partkey: long, p_brand: string>>").alias("w"))
+    return read.select(F.col("w.metadata.title").alias("title"), F.inline("w.rows"))
+
+
+@query(
+    "a37_download_scopes",
+    """SELECT * FROM (SELECT 'all' AS scope, p_partkey FROM part ORDER BY p_partkey LIMIT 100) UNION ALL SELECT * FROM (SELECT 'filtered', p_partkey FROM part WHERE p_size > 25 ORDER BY p_partkey LIMIT 100)
+    UNION ALL SELECT 'selected', p_partkey FROM part WHERE p_partkey IN (3, 5, 8)""",
+)
+def download_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, order = table(spark, sf_dir, "part"), [F.col("p_partkey")]
+    scopes = [tables.scope_rows(part, order, s, F.col("p_size") > 25, [3, 5, 8, -1], "p_partkey").select(F.lit(s).alias("scope"), "p_partkey") for s in ("all", "filtered", "selected")]
+    return tables.union_of(scopes)
+
+
+@query("a39_published_verdicts", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def published_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of stopped records, all from the reader's present version."""
+    o = table(spark, sf_dir, "orders")
+    verdicts = o.select("o_orderkey", "o_orderpriority", F.lit(2).alias("version"))
+    return tables.of_version(verdicts, "version", 2).join(o.where("o_orderstatus = 'F'"), "o_orderkey", "left_semi").drop("version")
+
+
+# --- landed thesauri and molecules ---------------------------------------------------------------------
+
+
+@query(
+    "a10_thesaurus",
+    "SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS synonym FROM part WHERE p_size % 5 > 0 AND (contains(p_type, 'STEEL') OR contains(p_type, 'TIN'))",
+)
+def thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    barred = lambda c: F.replace(c, F.lit(" "), F.lit("|"))
+    part = table(spark, sf_dir, "part")
+    part.select("p_partkey", barred("p_name"), F.when(F.col("p_size") % 5 == 0, "Retired"), barred("p_type")).write.csv(path, sep="\t")
+    return tables.read_thesaurus(spark, path, "id long, synonyms string, status string, kinds string", ["STEEL", "TIN"]).select("id", F.explode("synonyms").alias("synonym"))
+
+
+LANDED = """syn AS (SELECT split_part(p_name, ' ', 1) AS name, p_partkey AS id FROM part WHERE p_partkey % 40 = 0), par AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_partkey % 10 END AS parent FROM part)"""
+
+
+@query(
+    "a40_one_parent",
+    f"""WITH {LANDED}, g AS (SELECT name, count(DISTINCT coalesce(parent, id)) AS k, min(coalesce(parent, id)) AS p FROM syn LEFT JOIN par USING (id) GROUP BY name), t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part)
+    SELECT term, CASE WHEN k = 1 THEN p END AS molecule FROM t LEFT JOIN g ON term = name""",
+)
+def one_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term's molecule, by its exact synonyms folded to parents; null unless there is one."""
+    part = table(spark, sf_dir, "part")
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    synonyms = part.where("p_partkey % 40 = 0").select(word(1).alias("name"), F.col("p_partkey").alias("id"))
+    parents = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey") % 10).alias("parent"))
+    return resolution.one_parent(part.select(word(2).alias("term")).distinct(), "term", synonyms, parents, "molecule")
+
+
+@query(
+    "a41_mechanisms",
+    "SELECT p_brand AS molecule, p_type AS mechanism, array_to_string(list_sort(list(DISTINCT 'G' || (p_size % 7)) FILTER (p_size % 3 > 0)), ',') AS genes FROM part WHERE p_size % 2 = 0 GROUP BY ALL",
+)
+def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mechanisms of molecules, each with the genes of its targets (none: null)."""
+    part = table(spark, sf_dir, "part")
+    acts = part.where("p_size % 2 = 0").select(F.col("p_brand").alias("molecule"), F.col("p_type").alias("mechanism"), F.col("p_size").alias("target"))
+    genes = part.where("p_size % 3 > 0").select(F.col("p_size").alias("target"), F.concat(F.lit("G"), F.col("p_size") % 7).alias("gene"))
+    return resolution.mechanisms_with_genes(acts, genes).select("molecule", "mechanism", F.when(F.size("genes") > 0, F.array_join("genes", ",")).alias("genes"))
+
+
+RX = """con AS (SELECT p_name AS name, p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'PIN' ELSE 'BN' END AS kind FROM part),
+  rel AS (SELECT p_partkey AS id, p_partkey % 10 AS ingredient FROM part WHERE p_size % 3 > 0 UNION ALL SELECT p_partkey, 100 + p_partkey % 7 FROM part WHERE p_size % 5 = 0)"""
+
+
+@query(
+    "a11_single_ingredient",
+    f"""WITH {RX}, r AS (SELECT id, count(DISTINCT ingredient) AS k, min(ingredient) AS i FROM rel GROUP BY id), c AS (SELECT name, CASE WHEN kind <> 'BN' THEN id WHEN k = 1 THEN i END AS ingredient FROM con LEFT JOIN r USING (id))
+    SELECT name, CASE WHEN count(DISTINCT ingredient) = 1 THEN min(ingredient) END AS ingredient FROM c GROUP BY name""",
+)
+def single_ingredient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_size") % 4 == 0, "IN").when(F.col("p_size") % 4 == 1, "PIN").otherwise("BN")
+    concepts = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), kind.alias("kind"))
+    related = part.where("p_size % 3 > 0").selectExpr("p_partkey AS id", "p_partkey % 10 AS ingredient").union(part.where("p_size % 5 = 0").selectExpr("p_partkey", "100 + p_partkey % 7"))
+    return resolution.single_ingredient(concepts, related)
+
+
+@query("a12_class_names", "SELECT p_brand AS ingredient, array_to_string(list_sort(list(DISTINCT p_type)), '; ') AS classes FROM part WHERE p_size % 3 < 2 GROUP BY 1")
+def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of an ingredient, of two of the kinds of class."""
+    kind = F.element_at(F.array(F.lit("MOA"), F.lit("EPC"), F.lit("PK")), (F.col("p_size") % 3 + 1).cast("int"))
+    classes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ingredient"), kind.alias("kind"), F.col("p_type").alias("name"))
+    return resolution.class_names(classes, ["MOA", "EPC"]).select("ingredient", F.array_join("classes", "; ").alias("classes"))
+
+
+@query(
+    "a13_marketed",
+    """WITH base AS (SELECT p_partkey AS id, p_partkey % 100 AS base FROM part WHERE p_size % 2 = 0), prod AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 45)
+    SELECT p_partkey AS id, p_partkey IN (SELECT id FROM prod) OR coalesce(base IN (SELECT id FROM prod), false) AS marketed FROM part LEFT JOIN base ON p_partkey = id""",
+)
+def marketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an ingredient, or the base that it is a form of, has a product."""
+    part = table(spark, sf_dir, "part")
+    base = part.where("p_size % 2 = 0").selectExpr("p_partkey AS id", "p_partkey % 100 AS base")
+    products = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
+    return resolution.marketed(part.select(F.col("p_partkey").alias("id")), base, products)

@@ -69,3 +69,32 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l07_backbone", f"WITH {DESIGN} SELECT l_orderkey, CASE WHEN bool_or(c) AND bool_or(x AND NOT c) THEN coalesce(string_agg(name, ',' ORDER BY name) FILTER (x AND c), '') ELSE '' END AS backbone FROM d GROUP BY l_orderkey")
 def backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return designs(spark, sf_dir).select("l_orderkey", F.array_join(resolution.shared_backbone(F.col("interventions"), F.col("arms")), ",").alias("backbone"))
+
+
+@query("l05_arm_types", f"WITH {DESIGN} SELECT l_orderkey, name, concat_ws(',', CASE WHEN c THEN 'ACTIVE_COMPARATOR' END, CASE WHEN x THEN 'EXPERIMENTAL' END) AS types FROM d")
+def arm_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iv = designs(spark, sf_dir).select("l_orderkey", F.explode(resolution.arm_types(F.col("interventions"), F.col("arms"))).alias("i"))
+    return iv.select("l_orderkey", F.col("i.name").alias("name"), F.array_join("i.types", ",").alias("types"))
+
+
+RESOLVED = f"""WITH {DESIGN}, f AS (SELECT l_orderkey, string_agg(name, ',' ORDER BY name) FILTER (x AND NOT c) AS drugs, string_agg('E' || name[2:], ',' ORDER BY name) FILTER (x AND NOT c AND name < 'P2') AS entities,
+  bool_or(x AND NOT c AND name = 'P0') AS p0, count(*) FILTER (x AND NOT c) AS n FROM d GROUP BY l_orderkey)"""
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P0 resolves to a gene, P1 to an entity without one, P2 is unknown."""
+    r = table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.col("r_regionkey").alias("target"))
+    named = lambda letter: F.concat(F.lit(letter), F.col("target"))
+    names = r.select(F.lower(named("P")).alias("name"), named("E").alias("entity"))
+    mech = r.select(named("E").alias("entity"), F.lit("acts").alias("mechanism"), "target")
+    return resolution.resolve_records(designs(spark, sf_dir), "l_orderkey", names, mech, r.where("target = 0").select("target", named("G").alias("gene")))
+
+
+@query("l08_resolved_records", f"{RESOLVED} SELECT l_orderkey, CASE WHEN n = 0 THEN 'NO_FOCUS' WHEN NOT p0 THEN 'UNRESOLVED' WHEN n = 1 THEN 'RESOLVED' ELSE 'PARTIAL' END AS status, coalesce(entities, '') AS entities, CASE WHEN p0 THEN 'G0' ELSE '' END AS genes FROM f")
+def resolved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir).select("l_orderkey", "status", F.array_join("entities", ",").alias("entities"), F.array_join("genes", ",").alias("genes"))
+
+
+@query("b23_experimental_drugs", f"{RESOLVED} SELECT l_orderkey, coalesce(replace(drugs, ',', '; '), '') AS drugs FROM f")
+def experimental_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir).select("l_orderkey", F.array_join("drugs", "; ").alias("drugs"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import classify, labels
 from .registry import query, table
 
@@ -261,3 +262,17 @@ def confirmed_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored sentence is classified again; it stays only if that gives the stored label with a stated confidence."""
     rows = reasons(spark, sf_dir).where("o_orderkey % 16 in (13, 14)").withColumn("c", classify.classify_reason(F.col("reason")))
     return rows.select("o_orderkey", ((F.col("c.label") == "BIOLOGICAL_FAILURE") & F.col("c.confidence").isin("HIGH", "MEDIUM")).alias("kept"))
+
+
+@query("j21_strict_sentences", "WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s)::INTEGER AS n, coalesce(length(s[1]), 0)::INTEGER AS first_chars FROM s")
+def strict_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text.strict_sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n"), F.coalesce(F.length(F.get(s, 0)), F.lit(0)).alias("first_chars"))
+
+
+@query(
+    "j22_sentence_around",
+    "WITH p AS (SELECT doc_id, text, instr(text, ' the ') AS place FROM documents) SELECT doc_id, CASE WHEN place > 0 THEN substring(trim(regexp_extract(substring(text, 1, place - 1), '([^.!?]*)\\z', 1) || regexp_extract(substring(text, place), '\\A([^.!?]*[.!?]?)', 1)), 1, 220) END AS sentence FROM p",
+)
+def sentence_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.sentence_around(F.col("text"), F.instr("text", " the ")).alias("sentence"))

@@ -150,3 +150,31 @@ def spreadsheet_lines(df: DataFrame) -> DataFrame:
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     head = df.sparkSession.range(1).select(F.concat(F.lit("\ufeff" + ",".join(f'"{c}"' for c in df.columns)), F.lit("\r")).alias("line"))
     return head.unionByName(df.select(F.concat(F.concat_ws(",", *[cell(F.col(c)) for c in df.columns]), F.lit("\r")).alias("line")))
+
+
+def read_thesaurus(spark: SparkSession, path: str, schema: str, kinds: Sequence[str]) -> DataFrame:
+    """A tab-separated thesaurus with "|" between the values of `synonyms` and of `kinds`: retired concepts are
+    dropped, and those of other kinds; synonyms come as a list."""
+    rows = spark.read.schema(schema).csv(path, sep="\t")
+    listed = lambda c: F.split(F.col(c), r"\|")
+    wanted = F.arrays_overlap(listed("kinds"), F.array(*map(F.lit, kinds)))
+    return rows.where((F.coalesce("status", F.lit("")) != "Retired") & wanted).withColumns({"synonyms": listed("synonyms"), "kinds": listed("kinds")})
+
+
+def scope_rows(df: DataFrame, order: Sequence[Column], scope: str, keep: Column | None = None, selected: Sequence | None = None, key: str = "id", limit: int = EXPORT_ROWS) -> DataFrame:
+    """The rows of a download: "all", "filtered" (where keep holds) or "selected" (of the ids that a user marked)."""
+    if scope == "filtered":
+        df = df.where(keep)
+    elif scope == "selected":
+        df = df.where(F.col(key).isin(list(selected or ())))
+    elif scope != "all":
+        raise ValueError(f"no scope {scope}")
+    return export_rows(df, order, limit)
+
+
+def of_version(df: DataFrame, version: str, wanted: int) -> DataFrame:
+    """df, unless a row is of another version of its reader or of none; otherwise an error."""
+    other = df.where(~F.col(version).eqNullSafe(F.lit(wanted))).limit(1).count()
+    if other:
+        raise ValueError(f"rows of another version than {wanted}")
+    return df
