@@ -44,3 +44,27 @@ def test_names(spark):
 def test_three_valued_reading(spark):
     df = spark.createDataFrame([("<", 0.05), ("<", 0.06), (">", 0.05), (">", 0.01), ("=", 0.05), ("=", None)], "op string, v double")
     assert [r[0] for r in df.select(results.significant(F.col("v"), F.col("op"), F.lit(0.05))).collect()] == [True, None, False, None, True, None]
+
+
+def test_landed_molecules_with_nulls_and_ties(spark):
+    terms = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "term string")
+    synonyms = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4), (None, 5)], "name string, id int")
+    parents = spark.createDataFrame([(1, 9), (2, 9), (2, 9), (3, None)], "id int, parent int")
+    assert {r["term"]: r["molecule"] for r in resolution.one_parent(terms, "term", synonyms, parents).collect()} == {"a": 9, "b": None, "c": None, None: None}
+    concepts = spark.createDataFrame([("x", 1, "IN"), ("y", 2, "BN"), ("z", 3, "BN"), ("w", 4, None)], "name string, id int, kind string")
+    related = spark.createDataFrame([(2, 1), (2, 1), (3, 1), (3, 7)], "id int, ingredient int")
+    assert {r["name"]: r["ingredient"] for r in resolution.single_ingredient(concepts, related).collect()} == {"x": 1, "y": 1, "z": None, "w": None}
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    bases, products = spark.createDataFrame([(2, 1)], "id int, base int"), spark.createDataFrame([(1,), (1,)], "id int")
+    assert {r["id"]: r["marketed"] for r in resolution.marketed(ids, bases, products).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_resolved_records(spark):
+    arms = [("new", "EXPERIMENTAL"), ("old", "ACTIVE_COMPARATOR")]
+    rows = [(1, [("P", "DRUG", ["new"]), ("Q", "DRUG", ["new"])], arms), (2, [("Q", "DRUG", ["old"])], arms), (3, [("P", "DRUG", ["new"])], arms), (4, None, None)]
+    designs = spark.createDataFrame(rows, f"id int, interventions {IV}, arms {ARMS}")
+    names = spark.createDataFrame([("p", "E")], "name string, entity string")
+    mech = spark.createDataFrame([("E", "acts", "T")], "entity string, mechanism string, target string")
+    targets = spark.createDataFrame([("T", "G")], "target string, gene string")
+    got = {r["id"]: (r["status"], r["drugs"], r["entities"], r["genes"]) for r in resolution.resolve_records(designs, "id", names, mech, targets).collect()}
+    assert got == {1: ("PARTIAL", ["P", "Q"], ["E"], ["G"]), 2: ("NO_FOCUS", [], [], []), 3: ("RESOLVED", ["P"], ["E"], ["G"]), 4: ("NO_FOCUS", [], [], [])}

@@ -67,3 +67,16 @@ def test_stream_static_join_and_windows(spark, tmp_path):
     q = counted.writeStream.outputMode("update").format("memory").queryName("trailing").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("trailing").agg(F.max("n")).first()[0] > 0
+
+
+def test_versions_and_scopes(spark):
+    rows = spark.createDataFrame([(1, 2), (2, 2), (3, None)], "id int, version int")
+    assert tables.of_version(rows.where("id < 3"), "version", 2).count() == 2
+    for bad in (rows, rows.withColumn("version", F.lit(1))):
+        try:
+            tables.of_version(bad, "version", 2)
+        except ValueError:
+            continue
+        raise AssertionError("rows of another version were let through")
+    found = tables.scope_rows(rows, [F.col("id")], "selected", selected=[3, 9]).collect()
+    assert [r["id"] for r in found] == [3] and tables.scope_rows(rows, [F.col("id")], "selected").count() == 0
