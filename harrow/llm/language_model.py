@@ -393,8 +393,11 @@ def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) ->
                     held, size = [], 0
     if held:
         train()
+    # what is repeated counts once in the average: weights are those of the ids read
+    weight, uses = trainer.weight, {k: v.copy() for k, v in trainer.uses.items()}
     while last and trainer.steps < MIN_STEPS:
         trainer.windows(*last, steps=MIN_STEPS - trainer.steps)
+    trainer.weight, trainer.uses = weight, uses
     if trainer.steps:
         for name, value in _without_gaps(trainer.p).items():
             value = _as_rows(name, value)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ PLACES = 250
 CHUNK = PLACES + WIDTH - 1
 #: Rows per class that the fit takes at most.
 SAMPLE_ROWS = 1500
+#: Bytes of text per class at most; longer texts are not sampled.
+SAMPLE_BYTES = 32 << 20
 STEPS, BATCH, RATE = 480, 50, 0.004
 #: Least score that predicts label 1.
 THRESHOLD = 0.3
@@ -80,6 +82,37 @@ def score_chunks(p: Params, tables: np.ndarray, chunks: np.ndarray, owner: np.nd
     return _head(p, mean, np.maximum.reduceat(pooled, first, axis=0))[2]
 
 
+def gradients(p: Params, pieces: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Params:
+    """Of the log loss over all chunks of each text, weighted; weights sum to one."""
+    chunks = np.concatenate(pieces)
+    sizes = np.array([len(c) for c in pieces])
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    raw, at = _pooled(chunks, _tables(p), where=True)
+    pooled = np.tanh(raw / 4)
+    mean = np.add.reduceat(pooled, begins, axis=0) / sizes[:, None]
+    top = np.maximum.reduceat(pooled, begins, axis=0)
+    x, h, y = _head(p, mean, top)
+    d = (y - labels) * weights
+    g = {"w2": h.T @ d, "b2": np.array([d.sum()])}
+    dh = np.outer(d, p["w2"]) * (1 - h * h)
+    g |= {"w1": x.T @ dh, "b1": dh.sum(axis=0)}
+    dx = dh @ p["w1"].T
+    is_top = pooled == top[owner]
+    is_top = is_top / np.add.reduceat(is_top, begins, axis=0, dtype=float)[owner]  # equal chunks share it
+    dpool = dx[owner, :FILTERS] / sizes[owner, None] + dx[owner, FILTERS:] * is_top
+    draw = dpool * (1 - pooled * pooled) / 4
+    g |= {"embed": np.zeros_like(p["embed"]), "taps": np.zeros_like(p["taps"])}
+    rows, filters = np.indices(at.shape)
+    for j in range(WIDTH):  # only the place of the greatest answer passes the gradient on
+        byte = chunks[rows, at + j]
+        per_byte = np.zeros((256, FILTERS))
+        np.add.at(per_byte, (byte.ravel(), filters.ravel()), draw.ravel())
+        g["embed"] += per_byte @ p["taps"][j].T
+        g["taps"][j] = p["embed"].T @ per_byte
+    return g
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Params:
     """Adam on weighted log loss over all chunks of each text."""
     rng = np.random.default_rng(seed)
@@ -95,32 +128,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
         order = rng.permutation(len(texts))
         for s in range(0, len(order), BATCH):
             batch = order[s : s + BATCH]
-            chunks = np.concatenate([pieces[i] for i in batch])
-            sizes = np.array([len(pieces[i]) for i in batch])
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            begins = np.cumsum(sizes) - sizes
-            raw, at = _pooled(chunks, _tables(p), where=True)
-            pooled = np.tanh(raw / 4)
-            mean = np.add.reduceat(pooled, begins, axis=0) / sizes[:, None]
-            top = np.maximum.reduceat(pooled, begins, axis=0)
-            x, h, y = _head(p, mean, top)
-            w = weights[batch] / weights[batch].sum()
-            d = (y - labels[batch]) * w
-            g = {"w2": h.T @ d, "b2": np.array([d.sum()])}
-            dh = np.outer(d, p["w2"]) * (1 - h * h)
-            g |= {"w1": x.T @ dh, "b1": dh.sum(axis=0)}
-            dx = dh @ p["w1"].T
-            is_top = pooled == top[owner]
-            dpool = dx[owner, :FILTERS] / sizes[owner, None] + dx[owner, FILTERS:] * is_top
-            draw = dpool * (1 - pooled * pooled) / 4
-            g |= {"embed": np.zeros_like(p["embed"]), "taps": np.zeros_like(p["taps"])}
-            rows, filters = np.indices(at.shape)
-            for j in range(WIDTH):  # only the place of the greatest answer passes the gradient on
-                byte = chunks[rows, at + j]
-                per_byte = np.zeros((256, FILTERS))
-                np.add.at(per_byte, (byte.ravel(), filters.ravel()), draw.ravel())
-                g["embed"] += per_byte @ p["taps"][j].T
-                g["taps"][j] = p["embed"].T @ per_byte
+            g = gradients(p, [pieces[i] for i in batch], labels[batch], weights[batch] / weights[batch].sum())
             step += 1
             for k in p:
                 first[k] += 0.1 * (g[k] - first[k])
@@ -135,8 +143,10 @@ def is_held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Params | float:
     """Parameters from the labelled rows that are not held out; where these have one class or
-    none, a constant score (its label, or 0.5)."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
+    none, a constant score (its label, or 0.5). Labels other than 0 and 1 are none. An id with several labels has
+    the greatest, one with several rows is learned from one of them (the least digest). The sample
+    holds at most SAMPLE_ROWS ids and SAMPLE_BYTES bytes of a class, in the order of a hash of the id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if set(totals) != {0, 1}:
@@ -144,8 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = []
     for label in (0, 1):
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-        sample += rows.select("id", "label", "text").collect()
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "id")
+        one = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "label", "t.text")
+        so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id"))  # of SAMPLE_ROWS rows
+        sample += one.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("id", "label", "text").collect()
     if len({r["label"] for r in sample}) < 2:  # labelled ids that no document has
         return float(sample[0]["label"]) if sample else 0.5
     sample.sort(key=lambda r: (str(r["id"]), r["label"], r["text"]))

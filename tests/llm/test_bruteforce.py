@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -382,6 +383,66 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert auc > 0.8
 
 
+def _plain_network(p, text: bytes) -> float:
+    """The score of one text, byte by byte."""
+    n = max(1, -(-(len(text) - quality_model.WIDTH + 1) // quality_model.PLACES))
+    padded = text + bytes(n * quality_model.PLACES + quality_model.WIDTH - 1 - len(text))
+    pooled = []
+    for c in range(n):
+        best = [-math.inf] * quality_model.FILTERS
+        for at in range(c * quality_model.PLACES, (c + 1) * quality_model.PLACES):
+            for f in range(quality_model.FILTERS):
+                answer = sum(float(p["embed"][padded[at + j]] @ p["taps"][j][:, f]) for j in range(quality_model.WIDTH))
+                best[f] = max(best[f], answer)
+        pooled.append([math.tanh(b / 4) for b in best])
+    x = [sum(c) / n for c in zip(*pooled, strict=True)] + [max(c) for c in zip(*pooled, strict=True)]
+    h = [math.tanh(sum(a * w for a, w in zip(x, column, strict=True)) + b) for column, b in zip(p["w1"].T, p["b1"], strict=True)]
+    return 1 / (1 + math.exp(-(sum(a * w for a, w in zip(h, p["w2"], strict=True)) + p["b2"][0])))
+
+
+def _small_network(seed: int) -> dict:
+    draw = np.random.default_rng(seed)
+    q = quality_model
+    return {"embed": draw.normal(0, 0.5, (256, q.DIMS)), "taps": draw.normal(0, 0.4, (q.WIDTH, q.DIMS, q.FILTERS)), "w1": draw.normal(0, 0.3, (2 * q.FILTERS, q.HIDDEN)), "b1": draw.normal(0, 0.1, q.HIDDEN), "w2": draw.normal(0, 0.5, q.HIDDEN), "b2": np.array([0.1])}
+
+
+def test_quality_network_equals_plain_python():
+    p = _small_network(3)
+    texts = [b"", b"ab", bytes(range(256)) * 2, "naïve text, twice. ".encode() * 30]
+    pieces = [quality_model.chunks_of(t) for t in texts]
+    got = quality_model._scores(p, quality_model._tables(p), pieces)
+    assert got == pytest.approx([_plain_network(p, t) for t in texts], abs=1e-5)
+
+
+def test_quality_gradients_equal_differences(monkeypatch):
+    p = _small_network(5)
+    texts = [b"a short text", "eine längere Zeile; ".encode() * 20, bytes(range(200))]
+    pieces, y, w = [quality_model.chunks_of(t) for t in texts], np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.2])
+    monkeypatch.setattr(quality_model, "_tables", lambda p: np.einsum("bd,wdf->wbf", p["embed"], p["taps"]))  # in double precision
+
+    def loss(p):
+        tables, out = quality_model._tables(p), []
+        for c in pieces:
+            raw = np.stack([sum(tables[j][c[:, j : j + quality_model.PLACES]] for j in range(quality_model.WIDTH)).max(axis=1)])[0]
+            pooled = np.tanh(raw / 4)
+            out.append(quality_model._head(p, pooled.mean(axis=0)[None], pooled.max(axis=0)[None])[2][0])
+        out = np.array(out)
+        return -(w * (y * np.log(out) + (1 - y) * np.log(1 - out))).sum()
+
+    g = quality_model.gradients(p, pieces, y, w)
+    draw = np.random.default_rng(1)
+    for name, value in p.items():
+        places = [tuple(draw.integers(s) for s in value.shape) for _ in range(6)]
+        places += [(ord("e"), 0), (ord(" "), 1)] if name == "embed" else []
+        for at in places:
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name][at] += step
+                sides.append(loss(moved))
+            assert g[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=2e-5), (name, at)
+
+
 def test_chunks_cover_every_run_once():
     text = bytes(range(256)) * 3
     chunks = quality_model.chunks_of(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pytest
 
 from harrow.llm import chat, decontaminate, language_model, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings
@@ -91,6 +93,29 @@ def test_quality_classifier(docs, empty, labels):
     assert quality_model.classify(empty, labels).count() == 0
 
 
+def test_labels_that_are_none(spark, docs):
+    """Labels other than 0 and 1 are not learned from, alone or beside others."""
+    other = spark.createDataFrame([(i, 2) for i in (4, 6, 8)], "doc_id long, quality int")
+    assert {r["score"] for r in quality_model.classify(docs, other).collect()} == {0.5}
+    one = spark.createDataFrame([(4, 1), (6, 2), (8, -1)], "doc_id long, quality int")
+    assert quality_model.classify(docs, one).where("score between 0 and 1").count() == len(ROWS)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """One row of an id that many rows share, and no more bytes than the bound."""
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda texts, y, weights: seen.append(texts) or 0.25)
+    rows = [(i % 2 + 1, f"text {i} " + "x" * 1000) for i in range(400)] + [(i, f"other {i} " + "y" * 1000) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality_model.train(docs, labels) == 0.25
+    ids = [i for i in [1, 2, *range(10, 60)] if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0]) == len(ids)
+    monkeypatch.setattr(quality_model, "SAMPLE_BYTES", 5000)
+    quality_model.train(docs, labels)
+    assert 2 <= len(seen[1]) <= 8 and sum(map(len, seen[1])) <= 10_000
+
+
 def test_substrings(docs, empty):
     got = by_id(substrings.remove_repeats(docs), "n_removed")
     assert got[1] == [0] and got[5] == [0] and got[6] == [60] and got[7] == [0, 0] and sorted(got[None]) == [0, 60]
@@ -207,5 +232,8 @@ def test_pii_long_texts_are_read_once():
     assert [k for *_, k in pii.find("token=" * 50_000 + "a" * 20)] == ["secret"]
     assert len(pii.find("x@" * 100_000 + "a.b")) == 1
     assert pii.find("+1 (((" * 100_000) == []
+    for blank in (" ", "\t \n"):  # a cue before a long blank
+        assert pii.find(f"account{blank * 200_000}x password{blank * 200_000}= x iban{blank * 200_000}DE89") == []
+    assert [k for *_, k in pii.find("account  number :  12345678 acct #12345678 account 12345678")] == ["account"] * 3
     assert time.time() - began < 20
     assert [(s, e, k) for s, e, k in pii.find("naïve Social Security Number: 123-45-6789, ApiKey = 'abcdefghijklmnop1'")] == [(30, 41, "ssn"), (53, 70, "secret")]
