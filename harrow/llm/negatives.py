@@ -22,6 +22,8 @@ from .common import materialize, read
 
 #: Anchors that a task holds at a time; rows are dealt out once for each such block.
 ANCHORS = 4096
+#: Rows that a cell streams at least, where there are as many: it hands on k entries an anchor, however few it reads.
+CELL_ROWS = 2048
 #: Rows and anchors whose products are formed at a time.
 ROWS_AT_ONCE, ANCHORS_AT_ONCE = 2048, 128
 _INT = 2**31 - 1
@@ -193,11 +195,11 @@ class _Cell:
         )
 
 
-def _search(rows: DataFrame, anchors: DataFrame, rotation: np.ndarray, n_anchors: int, k: int, band: tuple[int, int] | None) -> DataFrame:
+def _search(rows: DataFrame, anchors: DataFrame, rotation: np.ndarray, n_rows: int, n_anchors: int, k: int, band: tuple[int, int] | None) -> DataFrame:
     """anchor (its row), j (place of the positive), score, id: the first k of each anchor and positive, by cells."""
     spark = rows.sparkSession
     blocks = -(-n_anchors // ANCHORS)
-    groups = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    groups = max(1, min(-(-n_rows // CELL_ROWS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
     width = len(rotation)
     steps = sorted({max(1, width // 4), max(1, width // 2), width}) if width else [0]
 
@@ -262,16 +264,16 @@ def hard_negatives(vectors: DataFrame, n_positives: int = 5, n_negatives: int =
     spark = vectors.sparkSession
     rows = vectors.where(F.col("label").isNotNull() & F.col("q").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "q", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    size = rows.agg(F.count_if("is_anchor").alias("n"), F.max(F.size("q")).alias("width")).first()
+    size = rows.agg(F.count("*").alias("rows"), F.count_if("is_anchor").alias("n"), F.max(F.size("q")).alias("width")).first()
     if not size["n"]:
         return spark.createDataFrame([], _OUT)
     moments = second_moments(rows, size["width"])
     rotation = np.linalg.eigh(moments)[1][:, ::-1].copy() if size["width"] else moments
     anchors = rows.where("is_anchor")
-    top = _first(_search(rows, anchors, rotation, size["n"], n_positives, None), n_positives)
+    top = _first(_search(rows, anchors, rotation, size["rows"], size["n"], n_positives, None), n_positives)
     ranked = F.sort_array(F.collect_list(F.struct(F.col("rank"), F.col("id"), F.col("score"))))
     positives = materialize(anchors.join(top.groupBy("anchor").agg(ranked.alias("positives")), F.col("row") == F.col("anchor")).drop("anchor"))
-    found = _search(rows, positives.withColumn("scores", F.col("positives.score")), rotation, size["n"], n_negatives, band)
+    found = _search(rows, positives.withColumn("scores", F.col("positives.score")), rotation, size["rows"], size["n"], n_negatives, band)
     found = _first(found, n_negatives).select("anchor", "j", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     own = positives.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"), "positives")
     out = found.join(own, "anchor").withColumn("p", F.element_at("positives", F.col("j") + 1))
