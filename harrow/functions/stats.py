@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .beta import beta_fraction, binomial_tail, incomplete_beta  # noqa: F401
+
 Z95, Z90 = 1.96, 1.645
 
 
@@ -81,29 +82,6 @@ def median(x: Column) -> Column:
     return F.coalesce(F.percentile(x, F.lit(0.5)), F.lit(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def binomial_tail(k: pd.Series, n: pd.Series, p0: pd.Series) -> pd.Series:
-    """P(X >= k), X binomial(n, p0): terms from log-gamma, summed from the largest."""
-    out = []
-    for a, m, p in zip(k, n, p0, strict=True):
-        if pd.isna(a) or pd.isna(m) or pd.isna(p):
-            out.append(None)
-        elif a <= 0:
-            out.append(1.0)
-        elif a > m or p <= 0:
-            out.append(0.0)
-        elif p >= 1:
-            out.append(1.0)
-        else:
-            x = np.arange(int(a), int(m) + 1)
-            first = math.lgamma(m + 1) - math.lgamma(a + 1) - math.lgamma(m - a + 1) + a * math.log(p) + (m - a) * math.log1p(-p)
-            # each further term is the one before times (m - x) / (x + 1) * p / (1 - p)
-            steps = np.log((m - x[:-1]) / (x[:-1] + 1)) + math.log(p) - math.log1p(-p)
-            logs = first + np.concatenate([[0.0], np.cumsum(steps)])
-            out.append(min(1.0, float(np.exp(logs[np.argsort(logs)]).sum())))
-    return pd.Series(out, dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def inverse_normal(p: pd.Series) -> pd.Series:
     """The standard normal quantile."""

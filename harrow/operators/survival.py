@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import cloglog_interval
+from ..sources.scratch import written
+from .ordered import PER_RANGE, joined, running_sums, with_ranges
 
 #: Event codes: 0 censored, 1 event, 2 competing.
 CENSORED, EVENT, COMPETING = 0, 1, 2
@@ -34,11 +36,11 @@ def aalen_johansen(risk: DataFrame, keys: Sequence[str]) -> DataFrame:
     product = lambda frame: F.when(F.coalesce(ended.over(frame), F.lit(0)) == 1, 0.0).otherwise(F.exp(F.coalesce(logs.over(frame), F.lit(0.0))))
     out = risk.withColumns({"s_before": product(before), "survival": product(upto)})
     out = out.withColumn("cif", F.sum(F.col("s_before") * d1 / n).over(upto))
-    # var F(t) = sum (F(t)-F_i)^2 a_i + sum S^2 b_i - 2 sum (F(t)-F_i) S c_i, expanded in F(t)
+    # var F(t) = sum (F(t)-F_i)^2 a_i + sum b_i - 2 sum (F(t)-F_i) c_i, expanded in F(t)
     safe = F.when(n > d, n * (n - d))
     a = F.coalesce(d / safe, F.lit(0.0))
     b = F.when(n > 1, F.col("s_before") ** 2 * d1 * (n - d1) / n**3).otherwise(0.0)
-    c = F.coalesce(F.col("s_before") * d1 * (n - d1) / (n * safe), F.lit(0.0))
+    c = F.col("s_before") * d1 / n**2
     f = F.col("cif")
     total = lambda x: F.sum(x).over(upto)
     out = out.withColumn("variance", F.greatest(F.lit(0.0), f * f * total(a) - 2 * f * total(f * a) + total(f * f * a) + total(b) - 2 * (f * total(c) - total(f * c))))
@@ -61,21 +63,76 @@ def median_follow_up(obs: DataFrame, keys: Sequence[str], months: str = "months"
     return s.groupBy(*keys).agg(F.min(F.when(F.col("s") <= 0.5, F.col("t"))).alias("median_months"))
 
 
-def false_discovery(family: DataFrame, p: str = "p") -> DataFrame:
-    """A family of tests -> with q_bh and q_by. For segment tables: the step-down runs over the
-    whole family (one row per test) in one window; null p-values are no tests and get null."""
-    tests = family.where(F.col(p).isNotNull())
-    whole = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(p))
-    m = F.count("*").over(whole)
-    r = tests.withColumn("_r", rank).withColumn("_m", m)
-    down = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.col(p) * F.col("_m") / F.col("_r")
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i)
-    r = r.withColumn("q_bh", F.least(F.lit(1.0), F.min(raw).over(down))).withColumn("_c", harmonic)
-    r = r.withColumn("q_by", F.least(F.lit(1.0), F.min(raw * F.col("_c")).over(down))).drop("_r", "_m", "_c")
-    none = family.where(F.col(p).isNull()).withColumns({"q_bh": F.lit(None).cast("double"), "q_by": F.lit(None).cast("double")})
-    return r.unionByName(none)
+def variance_by_ranges(obs: DataFrame, keys: Sequence[str], months: str = "months", event: str = "event", per_range: int = PER_RANGE) -> DataFrame:
+    """keys, t, d0, d1, d2, at_risk, survival, cif, variance, low, high: as aalen_johansen of risk_table, for segments
+    with any number of distinct times.
+
+    Times are cut into ranges. Within a range, survival and incidence are those at its start, S and F, times and plus
+    local ones (survival S l, incidence F + S g), so the six sums of the variance are polynomials in S and F whose
+    coefficients are local running sums: one pass over rows gives these, one over range totals gives S, F
+    and the six sums before each range.
+    """
+    keys = list(keys)
+    own = [*keys, "_range"]
+    counted = obs.groupBy(*keys, F.round(months, 4).alias("t")).agg(*[F.count_if(F.col(event) == c).alias(n) for c, n in ((EVENT, "d1"), (COMPETING, "d2"), (CENSORED, "d0"))])
+    risk = running_sums(with_ranges(written(counted), "t", per_range), keys, "t", {"at_risk": F.col("d0") + F.col("d1") + F.col("d2")}, descending=True)
+
+    w = Window.partitionBy(*own).orderBy("t")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    n, d1 = F.col("at_risk"), F.col("d1")
+    d = d1 + F.col("d2")
+    risk = risk.withColumns({"_end": F.when(d >= n, 1).otherwise(0), "_log": F.when(d < n, F.log1p(-d / n)).otherwise(0.0), "_a": F.when(n > d, d / (n * (n - d))).otherwise(0.0)})
+    product = lambda frame: F.when(F.coalesce(F.max("_end").over(frame), F.lit(0)) == 1, 0.0).otherwise(F.exp(F.coalesce(F.sum("_log").over(frame), F.lit(0.0))))
+    local = risk.withColumns({"_l": product(earlier), "_s": product(upto)})
+    local = local.withColumn("_g", F.sum(F.col("_l") * d1 / n).over(upto))
+    g, b, c = F.col("_g"), F.col("_l") ** 2 * ((n - d1) / n) * (d1 / n**2), F.col("_l") * d1 / n**2
+    terms = {"a": F.col("_a"), "ga": g * F.col("_a"), "gga": g * g * F.col("_a"), "b": b, "c": c, "gc": g * c}
+    local = local.withColumns({f"_{k}": v for k, v in terms.items() if k != "a"})
+    local = written(local.withColumns({f"_sum_{k}": F.sum(f"_{k}").over(upto) for k in terms}))
+
+    last = lambda name: F.max_by(name, "t").alias(name)
+    totals = local.groupBy(*own).agg(last("_s"), last("_g"), *[last(f"_sum_{k}") for k in terms])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    some = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0.0))
+    ended = F.coalesce(F.max(F.when(F.col("_s") <= 0, 1).otherwise(0)).over(before), F.lit(0)) == 1
+    totals = totals.withColumn("_surv0", F.when(ended, 0.0).otherwise(F.exp(some(F.log(F.greatest("_s", F.lit(1e-300)))))))
+    totals = totals.withColumn("_cif0", some(F.col("_surv0") * F.col("_g")))
+    S, I, k = F.col("_surv0"), F.col("_cif0"), {name: F.col(f"_sum_{name}") for name in terms}  # noqa: E741
+    six = {"a": k["a"], "fa": I * k["a"] + S * k["ga"], "ffa": I * I * k["a"] + 2 * I * S * k["ga"] + S * S * k["gga"], "b": S * S * k["b"], "c": S * k["c"], "fc": I * S * k["c"] + S * S * k["gc"]}
+    offsets = totals.select(*own, "_surv0", "_cif0", *[some(x).alias(f"_off_{name}") for name, x in six.items()])
+
+    at = joined(local, offsets, own)
+    at = at.withColumns({"survival": S * F.col("_s"), "cif": I + S * F.col("_g"), **{f"_six_{name}": F.col(f"_off_{name}") + x for name, x in six.items()}})
+    f, v = F.col("cif"), {name: F.col(f"_six_{name}") for name in six}
+    at = at.withColumn("variance", F.greatest(F.lit(0.0), f * f * v["a"] - 2 * f * v["fa"] + v["ffa"] + v["b"] - 2 * f * v["c"] + 2 * v["fc"]))
+    low, high = cloglog_interval(f, F.col("variance"))
+    return at.select(*keys, "t", "d0", "d1", "d2", "at_risk", "survival", "cif", "variance", low.alias("low"), high.alias("high"))
+
+
+def step_down(tests: DataFrame, p: str, per_range: int = PER_RANGE) -> DataFrame:
+    """p (distinct, not null), q: the least of p m / rank over the ranks from its own on, at most 1; m tests in all.
+
+    Equal p-values are one row with a count, and rank is the number of tests up to them. Ranks run
+    from the lowest range, minima from the highest, each over range totals first."""
+    counted = written(tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n")))
+    m = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranked = running_sums(with_ranges(counted, "p", per_range), [], "p", {"rank": F.col("n")}).withColumn("raw", F.col("p") * F.lit(float(m)) / F.col("rank"))
+    least = ranked.groupBy("_range").agg(F.min("raw").alias("least"))
+    above = least.select("_range", F.min("least").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    own = F.min("raw").over(Window.partitionBy("_range").orderBy(F.desc("p")))
+    return joined(ranked.withColumn("own", own), above, ["_range"]).select("p", F.least(F.lit(1.0), "own", F.coalesce("above", F.lit(1.0))).alias("q"), F.least("own", F.coalesce("above", F.col("own"))).alias("raw"), F.lit(m).alias("m"))
+
+
+def false_discovery(family: DataFrame, p: str = "p", per_range: int = PER_RANGE) -> DataFrame:
+    """A family of tests -> with q_bh and q_by, the latter by the harmonic number of the family's size. Null
+    p-values are no tests and get null."""
+    q = step_down(family, p, per_range)
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.least("m", F.lit(1000)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i)
+    # beyond a thousand terms by the series of the logarithm, exact to the last digits
+    m = F.col("m").cast("double")
+    harmonic = F.when(F.col("m") <= 1000, harmonic).otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
+    q = q.select(F.col("p").alias("_p"), F.col("q").alias("q_bh"), F.least(F.lit(1.0), F.col("raw") * harmonic).alias("q_by"))
+    return family.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def bootstrap_at(obs: DataFrame, keys: Sequence[str], horizon: float, draws: int = 1000, months: str = "months", event: str = "event", seed: str = "b1") -> DataFrame:

@@ -3,32 +3,18 @@ that what a query returns has passed the sink and the source it is named after."
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import resolution, snapshots
 from ..sources import tables
+from ..sources.scratch import folder
 from .registry import query, table
 
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or, where that is unset on a single
-    machine, below its temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='harrow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/landing/{uuid.uuid4().hex}"
-
-
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 

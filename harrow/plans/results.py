@@ -125,12 +125,6 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statistics without a query of their own -------------------------------------------------------------
 
 
-@query("f03_wilson_undefined", f"{SEGMENTS} SELECT nation, 'nan'::DOUBLE AS low, 'nan'::DOUBLE AS high FROM seg")
-def wilson_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = stats.wilson(F.col("k") * 0, F.col("n") * 0, empty=float("nan"))
-    return segments(spark, sf_dir).select("nation", low.alias("low"), high.alias("high"))
-
-
 @query("f11_cloglog_bounds", "WITH v AS (SELECT l_orderkey, l_linenumber, l_discount AS f, 1.96 * sqrt(l_tax / 1000) AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN f > 0 AND w > 0 THEN 1 - exp(-exp(ln(-ln(1 - f)) - w / abs((1 - f) * ln(1 - f)))) ELSE greatest(0.0, f - w) END, 5) AS low, round(CASE WHEN f > 0 AND w > 0 THEN 1 - exp(-exp(ln(-ln(1 - f)) + w / abs((1 - f) * ln(1 - f)))) ELSE least(1.0, f + w) END, 5) AS high FROM v")
 def cloglog_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = stats.cloglog_interval(F.col("l_discount"), F.col("l_tax") / 1000)

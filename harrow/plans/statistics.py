@@ -35,10 +35,34 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments(spark, sf_dir).select("nation", low.alias("low"), high.alias("high")), "low", "high")
 
 
-@query("f02_wilson_empty_filled", f"{SEGMENTS} SELECT nation, 0.0::DOUBLE AS low, 0.0::DOUBLE AS high FROM seg")
+#: Customers, many of them without a closed order.
+UNITS = f"WITH {REC}, u AS (SELECT c_custkey, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS n, count(*) FILTER (o_orderstatus IN ('F', 'O') AND returned) AS k FROM customer LEFT JOIN rec ON o_custkey = c_custkey GROUP BY 1)"
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = records(spark, sf_dir).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(closed()).alias("n"), F.count_if(closed() & event()).alias("k"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(by, "c_custkey", "left").fillna(0, ["n", "k"])
+
+
+def wilson_sql(empty: str) -> str:
+    return f"""{UNITS}, p AS (SELECT c_custkey, n, k, k::DOUBLE / nullif(n, 0) AS p FROM u)
+    SELECT c_custkey, CASE WHEN n = 0 THEN {empty} ELSE round(greatest(0.0, (p + 1.9208 / n - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) END AS low,
+      CASE WHEN n = 0 THEN {empty} ELSE round(least(1.0, (p + 1.9208 / n + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) END AS high FROM p"""
+
+
+def unit_wilson(spark: SparkSession, sf_dir: str, empty: float) -> DataFrame:
+    low, high = stats.wilson(F.col("k"), F.col("n"), empty=empty)
+    return rounded(units(spark, sf_dir).select("c_custkey", low.alias("low"), high.alias("high")), "low", "high")
+
+
+@query("f02_wilson_empty_filled", wilson_sql("0.0::DOUBLE"))
 def wilson_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = stats.wilson(F.col("k") * 0, F.col("n") * 0, empty=0.0)
-    return segments(spark, sf_dir).select("nation", low.alias("low"), high.alias("high"))
+    return unit_wilson(spark, sf_dir, 0.0)
+
+
+@query("f03_wilson_undefined", wilson_sql("'nan'::DOUBLE"))
+def wilson_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_wilson(spark, sf_dir, float("nan"))
 
 
 BETA = f"""{SEGMENTS}, pool AS (SELECT sum(k)::DOUBLE / sum(n) AS p0 FROM seg), b AS (SELECT nation, p0 * 20 + k AS al, (1 - p0) * 20 + n - k AS be, p0 FROM seg, pool),
