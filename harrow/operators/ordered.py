@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Rows that a range has on average.
 PER_RANGE = 250_000
 
@@ -59,3 +61,15 @@ def joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     right = small.withColumnsRenamed({c: f"_k_{c}" for c in on})
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]
     return rows.join(right, same).drop(*[f"_k_{c}" for c in on])
+
+
+def medians(rows: DataFrame, keys: Sequence[str], value: str, per_range: int = PER_RANGE) -> DataFrame:
+    """keys, median (exact, the mean of the middle two) of the values that are not null, for groups of any size: distinct
+    values are counted first, and the middle is found among their running counts. A group without values has no row."""
+    counted = written(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    upto = running_sums(with_ranges(counted, "v", per_range), keys, "v", {"upto": F.col("n")})
+    total = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    both = joined(upto, total, list(keys))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = both.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= low, F.col("v"))).alias("low"), F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("high"))
+    return middle.select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))

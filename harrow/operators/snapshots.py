@@ -65,6 +65,33 @@ def fold_changes(log: DataFrame, key: str, release: str, kind: str, before: str,
     return g.withColumn("kind", net).where(F.col("kind").isNotNull()).select(key, "kind", "before", "after", "release")
 
 
+def partial_fold(log: DataFrame, key: str, release: str, kind: str, before: str, after: str, at: str | None = None) -> DataFrame:
+    """key, first (release, at, kind, value), last (the same): what a fold needs of some releases. Partial folds of disjoint
+    releases merge in any order. `at` orders entries of a key within a release; ties go by kind and value."""
+    entry = lambda value: F.struct(F.col(release).alias("release"), (F.col(at) if at else F.lit(None).cast("int")).alias("at"), F.col(kind).alias("kind"), F.col(value).alias("value"))
+    return log.groupBy(F.col(key).alias("key")).agg(F.min(entry(before)).alias("first"), F.max(entry(after)).alias("last"))
+
+
+def merged_folds(parts: DataFrame) -> DataFrame:
+    """Partial folds of any releases -> one per key."""
+    return parts.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def settled_fold(state: DataFrame) -> DataFrame:
+    """key, kind, before, after, release: the net effect. What is added and removed, or changed and changed back, is gone."""
+    born, gone = F.col("first.kind") == "added", F.col("last.kind") == "removed"
+    net = F.when(born & gone, None).when(born, "added").when(gone, "removed").when(~F.col("first.value").eqNullSafe(F.col("last.value")), "changed")
+    out = state.withColumn("kind", net).where(F.col("kind").isNotNull())
+    return out.select("key", "kind", F.col("first.value").alias("before"), F.col("last.value").alias("after"), F.col("last.release").alias("release"))
+
+
+def unfolded(log: DataFrame, release: str, ledger: DataFrame, since: Column | None = None) -> DataFrame:
+    """Rows of releases that were not folded before: not in the ledger, and after the mark up to which all has been
+    told. A release arrives as a whole; one that comes again, or too late, is dropped as a whole. A null release is dropped."""
+    rows = log.where(F.col(release).isNotNull() if since is None else F.col(release) > since)
+    return rows.join(ledger.select(F.col("release").alias("_folded")), F.col(release) == F.col("_folded"), "left_anti")
+
+
 def drops(previous: DataFrame, current: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     """metric, before, after for one-row metric tables: metrics that fell by more than their limit,
     ("points", x) absolute or ("share", x) relative."""

@@ -5,10 +5,13 @@ end in 7, has ids of its own beyond the others, and differs in two fields for so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, sampling, snapshots
+from ..sources.scratch import written
 from .registry import query, table
 
 RELEASES = """cur AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority, CAST(o_totalprice AS VARCHAR) AS version FROM orders WHERE o_orderkey % 11 <> 5),
@@ -120,6 +123,34 @@ def fold_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.fold_changes(log, "key", "release", "kind", "before", "after").drop("release")
 
 
+def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of users: a release is a day."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "removed").otherwise("changed")
+    return e.select(F.col("user_id").alias("key"), F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("at"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("before"), ((F.col("event_id") + 1) % 3).cast("string").alias("after"))
+
+
+@query(
+    "n02_fold_once",
+    f"""WITH {LOG}, l AS (SELECT log.*, CAST(CAST(release AS TIMESTAMP) AS DATE) AS day FROM log), w AS (SELECT * FROM l WHERE day > DATE '2024-01-03'),
+        g AS (SELECT key, arg_min(kind, placed) AS fk, arg_max(kind, placed) AS lk, arg_min(before, placed) AS before, arg_max(after, placed) AS after, max(day) AS release FROM w GROUP BY key),
+        k AS (SELECT *, CASE WHEN fk = 'added' AND lk = 'removed' THEN NULL WHEN fk = 'added' THEN 'added' WHEN lk = 'removed' THEN 'removed' WHEN before <> after THEN 'changed' END AS kind FROM g)
+        SELECT key, kind, before, after, release FROM k WHERE kind IS NOT NULL""",
+)
+def fold_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days arrive in three rounds, out of order, and each round brings days that came before, and days up to the mark
+    that was told; each day after the mark is folded once."""
+    log, mark = user_log(spark, sf_dir), F.lit("2024-01-03").cast("date")
+    day = F.dayofmonth("day")
+    rounds = [day % 3 == 1, (day % 3 == 0) | (day % 2 == 0), day % 5 > 0, F.lit(True)]
+    ledger, folds = spark.createDataFrame([], "release date"), []
+    for arrives in rounds:
+        new = written(snapshots.unfolded(log.where(arrives), "day", ledger, mark))
+        folds.append(snapshots.partial_fold(new, "key", "day", "kind", "before", "after", "at"))
+        ledger = written(ledger.union(new.select("day").distinct()))
+    return snapshots.settled_fold(snapshots.merged_folds(reduce(DataFrame.union, folds)))
+
+
 @query("n09_metric_drops", "WITH a AS (SELECT avg((value > 50)::INT) AS share_high, count(*)::DOUBLE AS n FROM events WHERE event_id % 2 = 0), b AS (SELECT avg((value > 60)::INT) AS share_high, count(*)::DOUBLE AS n FROM events WHERE event_id % 2 = 1) SELECT 'share_high' AS metric, round(a.share_high, 6) AS before, round(b.share_high, 6) AS after FROM a, b WHERE a.share_high - b.share_high > 0.05 UNION ALL SELECT 'n', a.n, b.n FROM a, b WHERE (a.n - b.n) / a.n > 0.05")
 def metric_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import survival
+from ..operators import ordered, survival
 from .records import SQL as REC
 from .records import closed, event, records
 from .registry import query, table
@@ -218,7 +218,10 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f25_median", "SELECT event_type, round(coalesce(median(value), 0.0), 6) AS m FROM events GROUP BY event_type")
 def median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(stats.median(F.col("value")).alias("m")), "m")
+    """Every event type with its exact median, 0 where no value is known."""
+    e = table(spark, sf_dir, "events")
+    found = ordered.medians(e, ["event_type"], "value").withColumnRenamed("event_type", "t")
+    return e.select("event_type").distinct().join(found, F.col("event_type").eqNullSafe(F.col("t")), "left").select("event_type", F.round(F.coalesce("median", F.lit(0.0)), 6).alias("m"))
 
 
 @query("f28_compatible_labels", "SELECT l_orderkey, l_linenumber, l_returnflag = l_linestatus OR (l_returnflag = 'A' AND l_linestatus = 'F') AS compatible FROM lineitem")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.snapshots import fold_changes
+from ..operators.snapshots import fold_changes, merged_folds, partial_fold, settled_fold, unfolded
+from ..sources.tables import exists
 
 
 def net_changes(log: DataFrame, key: str, release: str, kind: str, before: str, after: str) -> DataFrame:
@@ -46,6 +47,39 @@ def folded(spark: SparkSession, out: str, key: str) -> DataFrame:
     return settle(newest, key)
 
 
+def run_fold_once(log: DataFrame, out: str, checkpoint: str, key: str, release: str, kind: str, before: str, after: str, at: str | None = None, since: Column | None = None) -> StreamingQuery:
+    """Fold each release once, in whatever order releases arrive and however often, and stop when all has been read.
+
+    Each batch writes a partial fold of its new releases and then a ledger that names them; what a batch
+    may fold is judged by the ledgers of the batches before it. A batch that is run again after a failure
+    overwrites its own two folders with the same rows; one without a ledger is not read. State on disk is one row for each
+    key and batch; nothing is held in memory between batches.
+    """
+    spark = log.sparkSession
+    ledger_schema = f"release {log.schema[release].dataType.simpleString()}, batch long"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        known = _ledger(spark, out, ledger_schema).where(F.col("batch") < number)
+        new = unfolded(batch, release, known, since).persist()
+        try:
+            partial_fold(new, key, release, kind, before, after, at).write.mode("overwrite").parquet(f"{out}/folds/batch={number}")
+            new.select(F.col(release).alias("release")).distinct().write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
+        finally:
+            new.unpersist()
+
+    return log.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _ledger(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{out}/ledger") if exists(spark, f"{out}/ledger") else spark.createDataFrame([], schema)
+
+
+def folded_once(spark: SparkSession, out: str) -> DataFrame:
+    """The net effect of all releases that the ledgers name."""
+    batches = spark.read.parquet(f"{out}/ledger").select("batch").distinct()
+    return settled_fold(merged_folds(spark.read.parquet(f"{out}/folds").join(F.broadcast(batches), "batch", "left_semi")))  # one row a batch
+
+
 def matches(events: DataFrame, subscriptions: DataFrame, column: str, term: str) -> DataFrame:
     """Stream-static join: events with the subscriptions on their value."""
     return events.join(subscriptions, events[column] == subscriptions[term])
@@ -56,4 +90,4 @@ def trailing_counts(events: DataFrame, ts: str, keys: list[str], length: str = "
     return events.withWatermark(ts, late).groupBy(F.window(ts, length, slide), *keys).agg(F.count("*").alias("n"))
 
 
-__all__ = ["fold_changes", "folded", "matches", "net_changes", "run_fold", "settle", "trailing_counts"]
+__all__ = ["fold_changes", "folded", "folded_once", "matches", "net_changes", "run_fold", "run_fold_once", "settle", "trailing_counts"]

@@ -71,6 +71,13 @@ def test_running_sums_by_ranges(spark):
         assert got == {(k, t, sum(n for j, u, n in rows if j == k and after(u, t))) for k, t, _ in rows}
 
 
+def test_medians_by_ranges(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "a", "b", None, "c"]), draw.choice([None, float(draw.randint(0, 50)), draw.random() * 50])) for _ in range(2000)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r["k"]: r["median"] for r in ordered.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", per_range=50).collect()}
+    assert got == {k: pytest.approx(float(np.median([v for j, v in rows if j == k and v is not None]))) for k in ("a", "b", "c", None, "one", "two")}
+
+
 def test_variance_by_ranges_equals_the_window_form(spark):
     draw = random.Random(2)
     rows = [(draw.choice("aaab"), round(draw.expovariate(0.2) + 0.03, 3), draw.choice([0, 0, 1, 2])) for _ in range(2000)] + [("c", 5.0, 1), ("c", 5.0, 2), ("d", 1.0, 0)]

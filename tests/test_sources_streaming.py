@@ -55,6 +55,30 @@ def test_streaming_fold_equals_batch_fold(spark, tmp_path):
     assert sorted(got.drop("release").collect()) == sorted(want.drop("release").collect())
 
 
+def test_releases_are_folded_once_in_any_order(spark, tmp_path):
+    """Releases that come shuffled, again, or after they were told change nothing: the stream gives the batch fold."""
+    import random
+
+    events = spark.read.parquet(f"{oracle.DATA}/events.parquet")
+    log = log_of(events).withColumn("day", F.to_date("release.ts")).withColumnRenamed("release", "at")
+    days = [r["day"] for r in log.select("day").distinct().orderBy("day").collect()]
+    order = days + random.Random(1).sample(days, 12)
+    random.Random(2).shuffle(order)
+    for i, at in enumerate(range(0, len(order), 7)):  # a batch of whole releases
+        log.where(F.col("day").isin(order[at : at + 7])).coalesce(1).write.parquet(str(tmp_path / f"in/{i:02}"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    since = F.lit(days[2])
+    run = lambda: changes.run_fold_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "key", "day", "kind", "before", "after", "at", since).awaitTermination(300)
+    run()
+    want = fold_changes(log.where(F.col("day") > since), "key", "at", "kind", "before", "after").drop("release")
+    got = changes.folded_once(spark, str(tmp_path / "out"))
+    assert sorted(got.drop("release").collect()) == sorted(want.collect())
+    # the same releases once more, in new files
+    log.where(F.col("day").isin(days[3:9])).coalesce(1).write.parquet(str(tmp_path / "in/late"))
+    run()
+    assert sorted(changes.folded_once(spark, str(tmp_path / "out")).collect()) == sorted(got.collect())
+
+
 def test_stream_static_join_and_windows(spark, tmp_path):
     events = spark.read.parquet(f"{oracle.DATA}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
