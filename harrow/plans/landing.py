@@ -45,13 +45,23 @@ def resumable_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a16_json_arrays", ALL)
 def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON array per file: records are packed by shard, each file one array, and read as such."""
+    """Files of one JSON array each, written and read as such."""
     path = folder(spark)
-    packed = customers(spark, sf_dir).groupBy(F.pmod(F.xxhash64("c_custkey"), F.lit(16)).alias("shard")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-    packed.select("value").repartition(16).write.text(path)
+    tables.write_json_arrays(customers(spark, sf_dir), path, rows_per_file=1000)
     return tables.read_json(spark, path, CUSTOMER, lines=False)
 
 
+@query("a24_pretty_arrays", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 2 END::INTEGER AS n_tags FROM orders")
+def pretty_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table as indented JSON arrays of bounded size, with nulls and lists, read back."""
+    path = folder(spark)
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(k % 3 > 0, F.col("o_totalprice")).alias("price"), F.when(k % 3 > 0, F.array("o_orderstatus", F.lit('say "x"\n'))).alias("tags"))
+    tables.write_json_arrays(rows, path, pretty=True)
+    back = tables.read_json(spark, path, "o_orderkey long, o_orderpriority string, price double, tags array<string>", lines=False)
+    return back.select("o_orderkey", "o_orderpriority", "price", F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n_tags"))
+
+
 @query("a17_json_lines", ALL)
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)

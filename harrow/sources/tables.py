@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,35 @@ def read_json(spark: SparkSession, path: str | list[str], schema: StructType | s
     return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+#: Rows of one file that holds an array.
+ARRAY_ROWS = 100_000
+
+
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = ARRAY_ROWS, pretty: bool = False) -> None:
+    """A folder of files, each one JSON array of some `rows_per_file` rows (optionally indented). Rows stream through a
+    task that adds the brackets and commas, and Spark's text writer commits the files as a whole, in any file system;
+    nothing is gathered. Nulls inside rows are written. An empty table is one empty array."""
+    files = max(1, -(-df.count() // rows_per_file))
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value"))
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True  # a row is written once it is known whether another follows
+        for b in batches:
+            out = []
+            for line in b.column(0).to_pylist():
+                if held is not None:
+                    out.append(("[" if first else "") + held + ",")
+                    first = False
+                held = line
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if held is not None or files == 1:
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first else "") + (held or "") + "]"], pa.string())], ["value"])
+
+    dealt = lines.coalesce(1) if files == 1 else lines.repartition(files)
+    dealt.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in the file system that Spark uses for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
