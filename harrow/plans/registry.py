@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import changes, classification, cohorts, inference, landing, lookups, names, portfolio, projections, reading, reports, requests, resolution, results, rules, statistics  # noqa: E402, F401
+from . import changes, classification, cohorts, inference, landing, lookups, names, portfolio, projections, reading, reports, requests, resolution, results, rules, statistics, studies  # noqa: E402, F401
