@@ -3,9 +3,12 @@ lookups, neighbours in a ring."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ordered import joined, running_sums, with_ranges
+
 #: Rows up to which a curated table may be broadcast into a join without an equality key.
 CURATED_ROWS = 50_000
 
@@ -46,9 +49,9 @@ def longest_prefix(df: DataFrame, name: str, aliases: DataFrame, alias: str = "a
 
 def first_term(texts: DataFrame, text: str, terms: DataFrame, term: str = "term", position: str = "position") -> DataFrame:
     """Texts with the first (by position) of a curated list of terms that they contain."""
-    packed = curated(terms.agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.lower(term).alias("t")))).alias("terms")))
+    packed = curated(terms).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.lower(term).alias("t")))).alias("terms"))
     hit = F.filter("terms", lambda x: F.lower(F.col(text)).contains(x["t"]))
-    return texts.crossJoin(packed).withColumn("matched", F.get(hit, 0)["t"]).drop("terms").where(F.col("matched").isNotNull())  # one row of terms
+    return texts.crossJoin(F.broadcast(packed)).withColumn("matched", F.get(hit, 0)["t"]).drop("terms").where(F.col("matched").isNotNull())  # one row of terms
 
 
 def class_members(df: DataFrame, identifier: str, items: Column, lexicon: DataFrame, item: str = "item", klass: str = "class") -> DataFrame:
@@ -69,10 +72,13 @@ def ordered_lookup(df: DataFrame, identifier: str, candidates: Column, names: Da
 
 
 def ring_neighbours(df: DataFrame, group: str, order: str, count: int) -> DataFrame:
-    """Up to `count` neighbours of each row in its sorted group, alternating right and left, around the
-    end: id, neighbour, place. Groups are display lists, ordered within one task each."""
-    w = Window.partitionBy(group)
-    pos = df.select(F.col(group).alias("g"), F.col(order).alias("id"), (F.row_number().over(w.orderBy(order)) - 1).alias("p"), F.count("*").over(w).alias("m"))
+    """Up to `count` neighbours of each row in its group sorted by a number, alternating right and left, around the end: id,
+    neighbour, place. Places in a group are running counts over ranges of the number, so a group of any size is dealt to
+    many tasks; the numbers of a group are distinct."""
+    rows = with_ranges(written(df.select(F.col(group).alias("g"), F.col(order).alias("id"))), "id")
+    size = rows.groupBy("g").agg(F.count("*").alias("m"))
+    pos = running_sums(rows, ["g"], "id", {"p": F.lit(1)}).select("g", "id", (F.col("p") - 1).alias("p"))
+    pos = written(joined(pos, size, ["g"]))
     steps = [(i // 2 + 1) * (1 if i % 2 == 0 else -1) for i in range(count)]
     offsets = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(s).alias("step")) for i, s in enumerate(steps)]))
     want = pos.select("g", "id", "p", "m", offsets.alias("o")).where(F.col("o.place") <= F.col("m") - 1).withColumn("q", F.pmod(F.col("p") + F.col("o.step"), F.col("m")))

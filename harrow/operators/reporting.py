@@ -4,11 +4,13 @@ proposals, related records."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.scratch import written
 from .survival import false_discovery
 
 
@@ -31,31 +33,34 @@ def featured(segments: DataFrame, unit: str, n: str, k: str, least: int, stops:
     return rows.orderBy(F.desc("rate"), unit).limit(1)
 
 
-def suppress_overlaps(members: DataFrame, term: str, item: str, share: float = 0.85, max_rounds: int = 100) -> DataFrame:
-    """members (term, item) -> the terms kept: largest first (then shortest, then by name), a term falls if
-    a kept one before it holds `share` of its items. Pairs come from an equi-join on items; what is kept is
-    settled in rounds over the narrow table of pairs, each round a join."""
-    from functools import reduce
-
-    own = members.select(F.col(term).alias("t"), F.col(item).alias("i")).distinct()
-    sizes = own.groupBy("t").agg(F.count("*").alias("n"))
-    a, b = own.join(sizes, "t"), own.join(sizes, "t").select(F.col("t").alias("of"), "i", F.col("n").alias("m"))
+def suppress_overlaps(members: DataFrame, term: str, item: str, share: float = 0.85) -> DataFrame:
+    """members (term, item) -> the terms kept: largest first (then shortest, then by name), a term falls if a kept one before
+    it holds `share` of its items.
+
+    A term of n items of which c = ceil(share n) must be held shares one of any n - c + 1 of them with what covers it, so only its
+    rarest ones look for candidates: an item that very many terms have pairs few of them. Candidates are verified on whole
+    sets. What is kept is settled in rounds over narrow written tables until no term is undecided; in each
+    round at least the first of them is."""
+    own = written(members.select(F.col(term).alias("t"), F.col(item).alias("i")).where("t IS NOT NULL AND i IS NOT NULL").distinct())
+    sizes = written(own.groupBy("t").agg(F.count("*").alias("n")))
+    rarity = own.groupBy("i").agg(F.count("*").alias("df"))
+    ranked = own.join(rarity, "i").withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("df", "i"))).join(sizes, "t")
+    probes = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1).select("t", "n", "i")
+    held = own.join(sizes, "t").select(F.col("t").alias("of"), "i", F.col("n").alias("m"))
     before = F.struct(-F.col("m"), F.length("of"), "of") < F.struct(-F.col("n"), F.length("t"), "t")
-    shared = a.join(b, "i").where(before).groupBy("t", "of", "n").agg(F.count("*").alias("both"))
-    pairs = shared.where(F.col("both") >= F.col("n") * share).select("t", "of")
-    pairs = pairs.persist()
+    candidates = written(probes.join(held, "i").where(before).select("t", "of", "n").distinct())
+    shared = candidates.join(own, "t").join(own.select(F.col("t").alias("of"), "i"), ["of", "i"]).groupBy("t", "of", "n").agg(F.count("*").alias("both"))
+    pairs = written(shared.where(F.col("both") >= F.col("n") * share - 1e-9).select("t", "of"))
     kept: list[DataFrame] = []
-    left = sizes.select("t").persist()
-    for _ in range(max_rounds):
+    left = sizes.select("t")
+    while not left.isEmpty():
         # terms without an undecided term before them stand; what they cover falls
-        blocked = pairs.join(left.withColumnRenamed("t", "of"), "of", "left_semi").select("t").distinct()
-        stand = left.join(blocked, "t", "left_anti").persist()
-        if stand.isEmpty():
-            break
+        blocked = pairs.join(left.withColumnRenamed("t", "of"), "of", "left_semi").join(left, "t", "left_semi").select("t").distinct()
+        stand = written(left.join(blocked, "t", "left_anti"))
         kept.append(stand)
         fallen = pairs.join(stand.withColumnRenamed("t", "of"), "of", "left_semi").select("t").distinct()
-        left = left.join(stand, "t", "left_anti").join(fallen, "t", "left_anti").persist()
-    return reduce(DataFrame.union, kept).withColumnRenamed("t", term) if kept else own.select(F.col("t").alias(term)).limit(0)
+        left = written(left.join(stand, "t", "left_anti").join(fallen, "t", "left_anti"))
+    return reduce(DataFrame.union, kept).withColumnRenamed("t", term) if kept else sizes.select(F.col("t").alias(term))
 
 
 def strict_join(left: DataFrame, right: DataFrame, key: str, both: bool = False) -> DataFrame:

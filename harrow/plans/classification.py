@@ -91,8 +91,14 @@ def reason_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(r, ",").alias("reasons"))
 
 
-@query("k30_parsed_answers", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n_valid FROM events")
+@query("k30_parsed_answers", "SELECT event_id, event_id::VARCHAR AS id, event_type AS verdict FROM events WHERE event_id % 4 > 0 AND event_id % 5 > 0")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 4 == 0, "not json").otherwise(F.concat(F.lit('[{"id": "a", "verdict": "x"}, {"id": "zz"}, {"verdict": 3}, '), F.lit('{"id": null}]')))
-    found = classify.parse_answers(raw, "id string, verdict string", F.array(F.lit("a"), F.lit("b")))
-    return table(spark, sf_dir, "events").select("event_id", F.size(found).cast("long").alias("n_valid"))
+    """What a model answered about each event: of an array the entries about the id that was asked, none of a text that is no
+    array or breaks off."""
+    k = F.col("event_id")
+    entry = lambda i, v: F.struct(i.cast("string").alias("id"), v.alias("verdict"))
+    whole = F.to_json(F.array(entry(k, F.col("event_type")), entry(k + 1, F.lit("other")), entry(F.lit(None), F.lit("none"))))
+    raw = F.when(k % 4 == 0, "not json").when(k % 5 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole)
+    found = classify.parse_answers(raw, "id string, verdict string", F.array(k.cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(found).alias("a")).select("event_id", "a.id", "a.verdict")
+

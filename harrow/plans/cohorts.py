@@ -200,10 +200,12 @@ def top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("position", F.col("position").cast("long"))
 
 
-@query("e41_text_groups", "SELECT substring(sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))), 1, 20) AS h, count(*) AS n, list_sort(list(doc_id)) AS ids, count(DISTINCT source) AS sources FROM documents GROUP BY h HAVING count(*) > 1")
+@query("e41_text_groups", "WITH h AS (SELECT doc_id, source, substring(sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))), 1, 20) AS h FROM documents), g AS (SELECT h, count(*) AS n, count(DISTINCT source) AS sources FROM h GROUP BY h HAVING count(*) > 1) SELECT doc_id, h, n, sources FROM h JOIN g USING (h)")
 def text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of equal texts as a membership table: each document of a group with the group's counts. No list is gathered."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", text.short_hash(text.normalized(F.col("text"))).alias("h"))
-    return d.groupBy("h").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count_distinct("source").alias("sources")).where("n > 1")
+    groups = d.groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("source").alias("sources")).where("n > 1")
+    return d.join(groups, "h").select("doc_id", "h", "n", "sources")
 
 
 @query("e42_agreeing_groups", "WITH g AS (SELECT event_type, user_id, count(*) AS n, count(DISTINCT value > 50) AS kinds, bool_or(value > 99) AS blocked FROM events GROUP BY ALL) SELECT event_type, count(*) AS groups, count(*) FILTER (kinds = 1 AND NOT blocked) AS agreeing, count(*) FILTER (kinds > 1) AS conflicting FROM g GROUP BY event_type")

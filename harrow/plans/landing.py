@@ -87,9 +87,13 @@ def csv_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, CUSTOMER).na.fill("DEFAULT", ["c_mktsegment"])
 
 
-@query("a20_csv_or_empty", "SELECT c_custkey, c_name FROM customer WHERE false")
+@query("a20_csv_or_empty", "SELECT c_custkey, nullif(trim(c_name), '') AS c_name, 'landed' AS origin FROM customer WHERE c_custkey % 2 = 0")
 def csv_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_csv(spark, folder(spark), "c_custkey long, c_name string", missing_ok=True)
+    """A file that is there and one that is not, which is an empty table of the same columns."""
+    there, columns = folder(spark), "c_custkey long, c_name string"
+    customers(spark, sf_dir).where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.csv(there, header=True)
+    parts = [tables.read_csv(spark, p, columns, missing_ok=True).withColumn("origin", F.lit(o)) for p, o in ((there, "landed"), (folder(spark), "missing"))]
+    return parts[0].union(parts[1])
 
 
 @query("a21_pinned_lines", ALL)

@@ -64,10 +64,10 @@ def ranked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("p_partkey", F.when(same_b & same_s, 1).when(same_b, 2).when(same_s, 3).otherwise(4).alias("relation"))
 
 
-@query("d19_class_coverage", "WITH cl AS (SELECT DISTINCT p_brand AS class, string_split(p_name, ' ')[1] AS item FROM part WHERE p_partkey < 100), r AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS item, p_size > 25 AS hit FROM part), j AS (SELECT class, p_partkey, bool_or(hit) AS hit FROM r JOIN cl USING (item) GROUP BY ALL) SELECT class, count(*) AS n, count(*) FILTER (hit) AS hits FROM j GROUP BY class")
+@query("d19_class_coverage", "WITH cl AS (SELECT DISTINCT p_brand AS class, string_split(p_name, ' ')[1] AS item FROM part), r AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS item, p_size > 25 AS hit FROM part), j AS (SELECT class, p_partkey, bool_or(hit) AS hit FROM r JOIN cl USING (item) GROUP BY ALL) SELECT class, count(*) AS n, count(*) FILTER (hit) AS hits FROM j GROUP BY class")
 def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    classes = part.where("p_partkey < 100").select(F.col("p_brand").alias("class"), F.get(F.split("p_name", " "), 0).alias("item")).distinct()
+    classes = part.select(F.col("p_brand").alias("class"), F.get(F.split("p_name", " "), 0).alias("item")).distinct()
     return portfolio.coverage(part, classes, "p_partkey", F.split("p_name", " "), F.col("p_size") > 25)
 
 

@@ -85,6 +85,28 @@ def attribution_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons(spark, sf_dir).select("o_orderkey", a.alias("a")).select("o_orderkey", "a.*")
 
 
+#: Judged causes: what a plain "due to" tells, with the evidence that must be found and must not.
+GOLDEN = {
+    "safety concerns": (reading.OWN_DATA, "safety in this trial", "refers to another study"), "lack of efficacy": (reading.OWN_DATA, "efficacy observed in this trial", "safety in this trial"),
+    "toxicity in the treatment arm": (reading.OWN_DATA, "an event in this trial", "safety in this trial"), "business reasons": (reading.UNCLEAR, None, "safety in this trial"),
+    "results of another study": (reading.CASCADE, "refers to another study", "safety in this trial"), "the interim analysis": (reading.OWN_DATA, "its own interim analysis", "refers to another study"),
+    "an unfavourable benefit-risk balance": (reading.OWN_DATA, "this trial's benefit-risk assessment", "safety in this trial"), "the closure of a site": (reading.UNCLEAR, None, "an event in this trial"),
+}
+GOLDEN_SQL = f"o_orderkey % 5 < 4 AND (o_orderkey // 3) % {len(LINKS)} IN (0, 1) AND o_orderkey % {len(LEADS)} < 3 AND (o_orderkey // 11) % {len(TAILS)} IN (0, 1, 5) AND {_sql(CAUSES, '(o_orderkey // 7)')} IN ({', '.join(repr(c) for c in GOLDEN)})"
+
+
+@query("p09_golden", f"SELECT count(*) AS cases, 0::BIGINT AS verdicts, 0::BIGINT AS lacking, 0::BIGINT AS wrong FROM orders WHERE {GOLDEN_SQL}")
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged reasons read again: how many, and how many have another verdict, lack their evidence, or have evidence that they must not have."""
+    judged = F.create_map(*[x for c, (v, a, b) in GOLDEN.items() for x in (F.lit(c), F.struct(F.lit(v).alias("v"), F.lit(a).cast("string").alias("a"), F.lit(b).alias("b")))])
+    k, cause = F.col("o_orderkey"), _pick(CAUSES, "o_orderkey div 7")
+    chosen = (k % 5 < 4) & F.expr(f"(o_orderkey div 3) % {len(LINKS)} in (0, 1)") & (k % len(LEADS) < 3) & F.expr(f"(o_orderkey div 11) % {len(TAILS)} in (0, 1, 5)")
+    cases = reasons(spark, sf_dir).where(chosen).withColumn("w", F.element_at(judged, cause)).where("w IS NOT NULL")
+    a = cases.select("w", reading.attribution(F.col("reason"), F.lit(""), F.lit(0), F.lit(None).cast("string")).alias("a")).select("w", "a.verdict", F.concat("a.own", "a.elsewhere").alias("e"))
+    has = lambda c: F.coalesce(F.array_contains("e", F.col(c)), F.lit(False))
+    return a.agg(F.count("*").alias("cases"), F.count_if(F.col("verdict") != F.col("w.v")).alias("verdicts"), F.count_if(F.col("w.a").isNotNull() & ~has("w.a")).alias("lacking"), F.count_if(has("w.b")).alias("wrong"))
+
+
 def _any_sql(column: str, patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches({column}, '(?is){_q(p)}')" for p in patterns) + ")"
 

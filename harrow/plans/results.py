@@ -116,12 +116,6 @@ def against_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(results.contradicted(F.col("j.met"), excludes)).alias("against"))
 
 
-@query("p09_golden", f"WITH {JUDGED}, v AS (SELECT l_orderkey, {VERDICTS} AS verdict FROM j GROUP BY l_orderkey) SELECT verdict = CASE WHEN l_orderkey % 2 = 0 THEN 'MET' ELSE 'MISSED' END AS right, count(*) AS n FROM v GROUP BY 1")
-def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = F.when(F.col("l_orderkey") % 2 == 0, "MET").otherwise("MISSED")
-    return verdicts(spark, sf_dir).groupBy((F.col("verdict") == wanted).alias("right")).agg(F.count("*").alias("n"))
-
-
 # --- statistics without a query of their own -------------------------------------------------------------
 
 

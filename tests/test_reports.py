@@ -100,3 +100,37 @@ def test_shards_by_plain_fnv(spark):
 def test_names_fold_marks(spark):
     assert values(spark, text.organisation_key, "Société Générale (X) S.A.", "Bayer Åland Oy", "A. B. Incorporated") == ["societe generale", "bayer aland", "a b"]
     assert values(spark, names.drug_key, "Aspirin 50 mg tablets", "A + B", "placebo", "x1", "Paclitaxel (Taxol) injection") == ["aspirin", None, None, None, "paclitaxel"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_of_many_terms_equal_plain_python(spark, seed):
+    """Chains of near-copies, an item that all terms have, empty keys: greedy suppression to the end."""
+    rng = random.Random(seed)
+    base = [rng.sample(range(200), rng.randint(1, 30)) for _ in range(40)]
+    sets = {f"t{k}": set(b) | {999} for k, b in enumerate(base)}
+    for k in range(120):  # near-copies of what is there, so that chains form
+        s = set(sets[rng.choice(sorted(sets))])
+        s ^= set(rng.sample(range(200), rng.randint(0, 2)))
+        sets[f"u{k}" + "x" * (k % 3)] = s | {999}
+    rows = [(t, i) for t, s in sets.items() for i in s] + [(None, 1), ("gone", None)]
+    got = {r["term"] for r in reporting.suppress_overlaps(spark.createDataFrame(rows, "term string, item int").repartition(4), "term", "item").collect()}
+    kept: list[str] = []
+    for t in sorted(sets, key=lambda t: (-len(sets[t]), len(t), t)):
+        if not any(len(sets[t] & sets[k]) >= 0.85 * len(sets[t]) - 1e-9 for k in kept):
+            kept.append(t)
+    assert got == set(kept)
+
+
+@pytest.mark.parametrize("per_range", [3, 10**6])
+def test_ring_neighbours_by_ranges(spark, monkeypatch, per_range):
+    from harrow.operators import joins, ordered
+
+    monkeypatch.setattr(joins, "with_ranges", lambda rows, order: ordered.with_ranges(rows, order, per_range))
+    groups = {"a": list(range(0, 90, 3)), "b": [5], "c": [1, 9], None: [4, 6, 8, 100]}
+    df = spark.createDataFrame([(g, i) for g, ids in groups.items() for i in ids], "g string, i long")
+    got = {(r["id"], r["neighbour"], r["place"]) for r in joins.ring_neighbours(df.where("g is not null"), "g", "i", 4).collect()}
+    want = set()
+    for g, ids in groups.items():
+        for at, i in enumerate(ids if g else []):
+            want |= {(i, ids[(at + step) % len(ids)], place) for place, step in ((1, 1), (2, -1), (3, 2), (4, -2)) if place <= len(ids) - 1}
+    assert got == want
