@@ -85,6 +85,24 @@ def attribution_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons(spark, sf_dir).select("o_orderkey", a.alias("a")).select("o_orderkey", "a.*")
 
 
+@query("k05_reason_scores")
+def reason_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, causes and scores of each dimension in the generated reasons (look-around: tests hold them against plain Python)."""
+    t = F.col("t")
+    counted = {f"n_{w.replace(' ', '_')}": classify.occurrences(t, w) for w in ("toxicity", "adverse event", "death")} | {f"near_{w}": classify.near_cause(t, w) for w in ("toxicity", "death")}
+    denied = {"no_safety": classify.denies(t, classify.SAFETY_WORDS), "no_efficacy": classify.denies(t, classify.EFFICACY_WORDS)}
+    scores = {"safety": classify.score(t, classify.SAFETY, F.col("no_safety")), "efficacy": classify.score(t, classify.EFFICACY, F.col("no_efficacy"))}
+    return reasons(spark, sf_dir).withColumns(counted | denied).withColumns(scores).drop("k", "reason")
+
+
+@query("k28_confirmed_reasons")
+def confirmed_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored reasons classified again: a stored label is kept if the rules give it with high confidence."""
+    stored = F.when(F.col("k") % 3 == 0, "BIOLOGICAL_FAILURE").when(F.col("k") % 3 == 1, "NON_BIOLOGICAL").otherwise("UNCLEAR")
+    c = reasons(spark, sf_dir).select("o_orderkey", stored.alias("stored"), classify.classify_reason(F.col("reason")).alias("c"))
+    return c.select("o_orderkey", "stored", "c.label", "c.reason", "c.confidence", ((F.col("c.label") == F.col("stored")) & (F.col("c.confidence") == "HIGH")).alias("kept"))
+
+
 #: Judged causes: what a plain "due to" tells, with the evidence that must be found and must not.
 GOLDEN = {
     "safety concerns": (reading.OWN_DATA, "safety in this trial", "refers to another study"), "lack of efficacy": (reading.OWN_DATA, "efficacy observed in this trial", "safety in this trial"),
