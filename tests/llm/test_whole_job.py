@@ -74,7 +74,8 @@ def test_licenses_wrapped_over_lines(spark):
         1001: (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:", ["bsd"]),
         1002: ("CC0 1.0 Universal", ["cc0"]),
         1003: ("Released under the MIT License.\nunder the terms of the GNU\nLesser General Public License as\npublished by the Free Software\nFoundation", ["lgpl", "mit"]),
-        1004: ("under the terms of the GNU General Public License as published by\n\nthe Free Software Foundation", []),
+        1004: ("under the terms of the GNU General Public License as published by\n\nthe Free Software Foundation", ["gpl"]),  # its first line names it
+        1006: ("Permission to use, copy, modify, and/or distribute this\n\nsoftware for any purpose with or without fee is hereby granted", []),  # no line does, and a blank line parts them
         1005: ("Released under the MIT License.\nLicensed under the MIT License\nand more", ["mit", "mit"]),
     }
     rows += [(i, f"{rows[i - 1000][1]}\n{t}\n{rows[i - 990][1]}") for i, (t, _) in planted.items()]
