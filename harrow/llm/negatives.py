@@ -135,20 +135,9 @@ class _Cell:
             self.low[~held], self.high[~held] = 1, 0  # no score is within
         else:
             self.m = 1
-        self.best = _Best(n * self.m, k)
-
-    def _wanted(self, tile: slice | np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Whether a score within [least, most] can still enter a list of its anchor."""
-        kth = self.best.least.reshape(-1, self.m)
-        out = None
-        for j in range(self.m):
-            floor = kth[tile, j] if self.band is None else np.maximum(kth[tile, j], self.low[tile, j])
-            ok = most >= (floor[:, None] if most.ndim == 2 else floor)
-            if self.band:
-                high = self.high[tile, j]
-                ok &= least <= (high[:, None] if most.ndim == 2 else high)
-            out = ok if out is None else out | ok
-        return out
+        # lists of their own for each tile, so that adding to them sorts a tile's entries only
+        self.tiles = [(slice(i, i + ANCHORS_AT_ONCE), _Best(len(self.row[i : i + ANCHORS_AT_ONCE]) * self.m, k)) for i in range(0, n, ANCHORS_AT_ONCE)]
+        self.k = k
 
     def stream(self, rows: pa.RecordBatch) -> None:
         for at in range(0, rows.num_rows, ROWS_AT_ONCE):
@@ -156,43 +145,52 @@ class _Cell:
             v = _Vectors(_matrix(part.column("q"), len(self.rotation)), self.rotation, self.steps)
             row, label = part.column("row").to_numpy(), np.asarray(part.column("label"))
             ids, missing = part.column("id").fill_null(0).to_numpy(), np.asarray(part.column("id").is_null())
-            for first in range(0, len(self.row), ANCHORS_AT_ONCE):
-                self._tile(slice(first, first + ANCHORS_AT_ONCE), v, row, label, ids, missing)
+            for tile, best in self.tiles:
+                self._tile(tile, best, v, row, label, ids, missing)
 
-    def _tile(self, tile: slice, v: _Vectors, row: np.ndarray, label: np.ndarray, ids: np.ndarray, missing: np.ndarray) -> None:
-        a = self.v
+    def _tile(self, tile: slice, best: _Best, v: _Vectors, row: np.ndarray, label: np.ndarray, ids: np.ndarray, missing: np.ndarray) -> None:
+        a, m = self.v, self.m
         same = self.label[tile, None] == label[None, :]
         fit = ~same if self.band else same & (self.row[tile, None] != row[None, :])
         part = a.turned[tile, : self.steps[0]] @ v.turned[:, : self.steps[0]].T
         slack = 1e-9 * a.norm[tile, None] * v.norm[None, :] + 1e-6
         room = a.rest[tile, 0][:, None] * v.rest[None, :, 0] + slack
-        if not self.band and fit.shape[1] > self.best.k:
+        upper = part + room
+        floors = best.least.reshape(-1, m)  # the least score that can still enter each list
+        if self.band:
+            floors, high = np.maximum(floors, self.low[tile]), self.high[tile]
+            fit &= part - room <= high.max(axis=1)[:, None]
+        elif fit.shape[1] > self.k:
             # the k-th highest lower bound of these rows is a floor as well
             sure = np.where(fit, part - room, -np.inf)
-            kth = np.partition(sure, fit.shape[1] - self.best.k, axis=1)[:, fit.shape[1] - self.best.k]
-            fit &= part + room >= kth[:, None]
-        x, y = np.nonzero(fit & self._wanted(tile, part - room, part + room))
-        part, slack = part[x, y], slack[x, y]
-        x += tile.start
-        for k in range(1, len(self.steps)):
-            low, high = self.steps[k - 1], self.steps[k]
-            part = part + np.einsum("ij,ij->i", a.turned[x, low:high], v.turned[y, low:high])
-            room = a.rest[x, k] * v.rest[y, k] + slack
-            live = self._wanted(x, part - room, part + room)
-            x, y, part, slack = x[live], y[live], part[live], slack[live]
-        score = _products(a.whole[x], v.whole[y])
-        for j in range(self.m):
-            slot = x * self.m + j
-            ok = score >= self.best.least[slot]
+            fit &= upper >= np.partition(sure, fit.shape[1] - self.k, axis=1)[:, fit.shape[1] - self.k, None]
+        # all lists of an anchor at once first, each by itself for the pairs that are left
+        fit &= upper >= floors.min(axis=1)[:, None]
+        x, y = np.nonzero(fit)
+        part, room, slack = part[x, y], room[x, y], slack[x, y]
+        for k in range(len(self.steps)):
+            if k:
+                start, stop = self.steps[k - 1], self.steps[k]
+                part = part + np.einsum("ij,ij->i", a.turned[tile, start:stop][x], v.turned[y, start:stop])
+                room = a.rest[tile, k][x] * v.rest[y, k] + slack
+            live = np.zeros(len(x), bool)
+            for j in range(m):
+                ok = part + room >= floors[x, j]
+                live |= ok & (part - room <= high[x, j]) if self.band else ok
+            x, y, part, room, slack = x[live], y[live], part[live], room[live], slack[live]
+        score = _products(a.whole[tile][x], v.whole[y])
+        found = []
+        for j in range(m):
+            ok = score >= floors[x, j]
             if self.band:
-                ok &= (score >= self.low[x, j]) & (score <= self.high[x, j])
-            self.best.add(slot[ok], score[ok], ids[y[ok]], missing[y[ok]])
+                ok &= score <= high[x, j]
+            found.append((x[ok] * m + j, score[ok], ids[y[ok]], missing[y[ok]]))
+        best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
     def rows(self) -> pa.RecordBatch:
-        b = self.best
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.row[b.slot // self.m]), pa.array((b.slot % self.m).astype(np.int32)), pa.array(b.score), pa.array(b.id, mask=b.missing)], ["anchor", "j", "score", "id"]
-        )
+        parts = [(self.row[tile][b.slot // self.m], b.slot % self.m, b.score, b.id, b.missing) for tile, b in self.tiles]
+        anchor, j, score, ids, missing = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(j.astype(np.int32)), pa.array(score), pa.array(ids, mask=missing)], ["anchor", "j", "score", "id"])
 
 
 def _search(rows: DataFrame, anchors: DataFrame, rotation: np.ndarray, n_rows: int, n_anchors: int, k: int, band: tuple[int, int] | None) -> DataFrame:
