@@ -19,7 +19,9 @@ def text_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d10_interval_self_join", "SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND (epoch(a.ts)::BIGINT < epoch(b.ts)::BIGINT OR (epoch(a.ts)::BIGINT = epoch(b.ts)::BIGINT AND a.event_id < b.event_id)) AND epoch(b.ts)::BIGINT - epoch(a.ts)::BIGINT <= 7200")
 def interval_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    """Times count in whole seconds, rounded (halves to even), as the SQL's cast does."""
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.timestamp_seconds(seconds))
     return joins.within_interval(e, "user_id", "ts", "event_id", 7200)
 
 
