@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread, written
+
+#: Item sets that one task compares with classes.
+SET_ROWS = 10_000
+
 
 def membership_counts(df: DataFrame, members: Column, hits: dict[str, Column], order: Sequence[str] = (), missing: str = "UNKNOWN") -> DataFrame:
     """member, total and one column per hit; a row counts once for each of its members, and as
@@ -68,11 +73,19 @@ def disclosure_gap(df: DataFrame, keys: Sequence[str], completed: Column, has_re
 
 
 def coverage(df: DataFrame, classes: DataFrame, key: str, items: Column, order_hit: Column) -> DataFrame:
-    """classes (class, item) x rows: per class the rows that share an item, and their hits. An equi-join
-    on items; a row counts once per class."""
-    rows = df.select(key, F.explode(F.array_distinct(items)).alias("item"), order_hit.alias("hit")).join(classes, "item")
-    rows = rows.groupBy("class", key).agg(F.bool_or("hit").alias("hit"))
-    return rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    """classes (class, item) x rows: per class the rows that share an item, and their hits. A row counts once per class.
+
+    Rows with the same items are counted first, and only the distinct item sets meet the classes, in an equi-join on items;
+    both are dealt out by number, so a task holds as much at any size. A key on several rows has the items of all of
+    them, and hits by the items of those that do."""
+    rows = spread(df.select(key, F.array_distinct(items).alias("items"), order_hit.alias("hit")), key)
+    rows = rows.select(key, F.explode("items").alias("item"), "hit").where(F.col("item").isNotNull())
+    per = rows.groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("item")))).alias("hits"))
+    sets = written(per.groupBy("items", "hits").agg(F.count("*").alias("m")).withColumn("id", F.monotonically_increasing_id()))
+    told = F.transform("items", lambda i: F.struct(i.alias("item"), F.array_contains("hits", i).alias("hit")))
+    met = spread(sets, "id", SET_ROWS).select("id", "m", F.explode(told).alias("i")).select("id", "m", "i.*").join(classes, "item")
+    met = met.groupBy("id", "m", "class").agg(F.bool_or("hit").alias("hit"))
+    return met.groupBy("class").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("hit"), F.col("m")).otherwise(0)).alias("hits"))
 
 
 def agreement_groups(df: DataFrame, group: Column, label: str) -> DataFrame:

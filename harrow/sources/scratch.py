@@ -25,3 +25,13 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one task of a spread table.
+SPREAD_ROWS = 50_000
+
+
+def spread(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
+    """df dealt out by its key in as many parts as its rows ask for, however few files hold it. A stated number of parts is
+    not merged again, so what follows by key needs no further shuffle and holds as much in a task at any size."""
+    return df.repartition(max(1, -(-df.count() // (rows_per_task or SPREAD_ROWS))), key)
