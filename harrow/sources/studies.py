@@ -31,10 +31,11 @@ def read_studies(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def land_studies(spark: SparkSession, path: str | list[str], out: str) -> DataFrame:
-    """Studies as a nested table, of which later reads take the named leaves only, and beside it the lines that did not
-    parse (`out`/rejected). Gives the number of each. Lines are parsed once: both tables come from one write."""
+    """Studies as a nested table, of which later reads take the named leaves only, and in it the lines that did not
+    parse, marked as rejected. Gives the number of each. Lines are parsed once and written as they come: folders by mark
+    would have each task sort its rows, and packed lines make large tasks."""
     rows = read_studies(spark, path).withColumn("rejected", F.col(CORRUPT).isNotNull())
-    rows.write.mode("overwrite").partitionBy("rejected").parquet(out)
+    rows.write.mode("overwrite").parquet(out)
     return spark.read.schema("rejected boolean").parquet(out).groupBy("rejected").agg(F.count("*").alias("n"))
 
 
