@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of delivery form that are no part of a drug name.
@@ -119,15 +119,16 @@ def name_variants(name: Column) -> Column:
     return F.array_distinct(F.filter(out, lambda x: F.length(x) >= 3))
 
 
-def p_value(c: Column) -> Column:
-    """struct(value, op) from forms like "<0.001", "P = .03", "0,04"; "NS" reads as p > 0.05."""
-    t = F.regexp_replace(F.lower(F.trim(c)), ",", ".")
-    op = F.regexp_extract(t, r"([<>≤≥=])", 1)
-    op = F.when(op.isin("<", "≤"), "<").when(op.isin(">", "≥"), ">").otherwise("=")
-    value = F.regexp_extract(t, r"([0-9]*\.?[0-9]+(?:e-?[0-9]+)?)", 1).try_cast("double")
-    ns = t.rlike(r"^(?:n\.?s\.?|not significant)$")
-    value = F.when(ns, F.lit(0.05)).when((value >= 0) & (value <= 1), value)
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), F.when(ns, ">").otherwise(op)).alias("op"))
+def with_p_value(df: DataFrame, c: Column, name: str = "p") -> DataFrame:
+    """df with a column struct(value, op) from forms like "<0.001", "P = .03", "0,04"; "NS" reads as p > 0.05. Named steps:
+    what several parts need is computed once a row."""
+    out = df.withColumn("_t", F.replace(F.lower(F.trim(c)), F.lit(","), F.lit(".")))
+    t = F.col("_t")
+    out = out.withColumns({"_sign": F.regexp_extract(t, r"([<>≤≥=])", 1), "_n": F.regexp_extract(t, r"([0-9]*\.?[0-9]+(?:e-?[0-9]+)?)", 1).try_cast("double"), "_ns": t.rlike(r"^(?:n\.?s\.?|not significant)$")})
+    n, sign = F.col("_n"), F.col("_sign")
+    out = out.withColumn("_value", F.when(F.col("_ns"), F.lit(0.05)).when((n >= 0) & (n <= 1), n))
+    op = F.when(F.col("_ns"), ">").when(sign.isin("<", "≤"), "<").when(sign.isin(">", "≥"), ">").otherwise("=")
+    return out.withColumn(name, F.struct(F.col("_value").alias("value"), F.when(F.col("_value").isNotNull(), op).alias("op"))).drop("_t", "_sign", "_n", "_ns", "_value")
 
 
 def fraction(c: Column) -> Column:

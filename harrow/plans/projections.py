@@ -137,8 +137,8 @@ def raw_p(k: Column, v: Column) -> Column:
 
 @query("j17_p_values", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 2 THEN 0.05 ELSE round(l_discount, 2) END::DOUBLE AS value, CASE l_linenumber % 4 WHEN 0 THEN '=' WHEN 1 THEN '<' ELSE '>' END AS op FROM lineitem")
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = text.p_value(raw_p(F.col("l_linenumber"), F.col("l_discount")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p["value"], 4).alias("value"), p["op"].alias("op"))
+    rows = text.with_p_value(table(spark, sf_dir, "lineitem"), raw_p(F.col("l_linenumber"), F.col("l_discount")))
+    return rows.select("l_orderkey", "l_linenumber", F.round("p.value", 4).alias("value"), F.col("p.op").alias("op"))
 
 
 @query("j18_fractions", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 100 BETWEEN 0.0005 AND 0.3 THEN round(l_quantity / 100, 4) END AS f FROM lineitem")
@@ -213,8 +213,8 @@ def read_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m01_significant", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN round(l_discount, 2) <= 0.05 WHEN 1 THEN CASE WHEN round(l_discount, 2) <= 0.05 THEN true END ELSE CASE WHEN l_linenumber % 4 = 2 OR round(l_discount, 2) >= 0.05 THEN false END END AS significant FROM lineitem")
 def significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = text.p_value(raw_p(F.col("l_linenumber"), F.col("l_discount")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", results.significant(p["value"], p["op"], F.lit(0.05)).alias("significant"))
+    rows = text.with_p_value(table(spark, sf_dir, "lineitem"), raw_p(F.col("l_linenumber"), F.col("l_discount")))
+    return rows.select("l_orderkey", "l_linenumber", results.significant(F.col("p.value"), F.col("p.op"), F.lit(0.05)).alias("significant"))
 
 
 @query("m09_first_statement", "SELECT conv_id, turn, CASE WHEN contains(text, '?') THEN 0 ELSE NULL END::INTEGER AS place FROM conversations")
