@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import spread, written
 from .ordered import joined, running_sums, with_ranges
 
 #: Rows up to which a curated table may be broadcast into a join without an equality key.
@@ -55,16 +55,19 @@ def first_term(texts: DataFrame, text: str, terms: DataFrame, term: str = "term"
 
 
 def class_members(df: DataFrame, identifier: str, items: Column, lexicon: DataFrame, item: str = "item", klass: str = "class") -> DataFrame:
-    """identifier, classes (sorted): classes of a lexicon (class, item) that share an item."""
-    rows = df.select(F.col(identifier), F.explode(F.array_distinct(items)).alias(item))
+    """identifier, classes (sorted): classes of a lexicon (class, item) that share an item. df is dealt out by its id first."""
+    df = spread(df.select(identifier, items.alias("_items")), identifier)
+    rows = df.select(identifier, F.explode(F.array_distinct("_items")).alias(item))
     return rows.join(lexicon.select(item, F.col(klass).alias("c")), item).groupBy(identifier).agg(F.sort_array(F.collect_set("c")).alias("classes"))
 
 
 def ordered_lookup(df: DataFrame, identifier: str, candidates: Column, names: DataFrame, name: str = "name", target: str = "target") -> DataFrame:
     """The first candidate (by place) that names exactly one target; status matched, ambiguous (a
-    candidate names several, none before it names one) or none."""
+    candidate names several, none before it names one) or none. df is dealt out by its id first, so that a task holds as
+    much at any size, though few files hold the table."""
+    df = spread(df.select(identifier, candidates.alias("_cands")), identifier)
     unique = names.groupBy(F.col(name).alias("cand")).agg(F.count_distinct(target).alias("n"), F.min(target).alias("t"))
-    rows = df.select(identifier, F.posexplode(candidates).alias("pos", "cand")).join(unique, "cand")
+    rows = df.select(identifier, F.posexplode("_cands").alias("pos", "cand")).join(unique, "cand")
     best = rows.groupBy(identifier).agg(F.min_by(F.struct("t", "n", "cand"), F.struct("pos")).alias("m"))
     out = df.select(identifier).join(best, identifier, "left")
     status = F.when(F.col("m").isNull(), "none").when(F.col("m.n") > 1, "ambiguous").otherwise("matched")
