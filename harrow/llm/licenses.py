@@ -6,8 +6,9 @@ lines that no blank line parts: up to JOINED_LINES of them, and the whole run. A
 varied surroundings and, for the unknown class, on fixed sentences and on lines of the corpus that
 hold a cue word but resemble no template. Probabilities are calibrated by a temperature: a first fit
 leaves out whole templates, sentences and lines, the temperature is what makes these unseen rows
-likeliest, and the final fit is on all rows. A prediction is confirmed if, of its templates and of those
-of other families that could be mistaken for them, the one that matches most of the paragraph is of the predicted family.
+likeliest, and the final fit is on all rows. A prediction is confirmed if, of the templates of all families, the one
+that matches most of the paragraph is of the predicted family. An index by rare bigrams names all templates that can reach
+their least share; it leaves none out.
 
 Only n-grams with a cue word (licence, copyright, the names of families, ...) are features. A
 paragraph without one has no features, so its answer is the intercept's - unknown - and it is
@@ -111,8 +112,6 @@ VOCABULARY = 1 << 18
 LIKE_TEMPLATE = 0.5
 #: Least calibrated probability of a family, and least share of a template's bigrams.
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.8
-#: Families that may have a bigram which makes their templates rivals.
-RIVAL_FAMILIES = 8
 #: A template of fewer bigrams confirms only in a paragraph of at most so many words, or one that has a word of licensing.
 SHORT_BIGRAMS, SHORT_WORDS = 3, 14
 LICENSING = ("copyright", "c", "spdx", "licensed", "released", "distributed", "governed", "covered", "published", "subject", "terms", "available", "under")
@@ -152,26 +151,31 @@ def _templates_with_bigrams(spark: SparkSession) -> DataFrame:
     return t.select("family", F.array_distinct(_ngrams(F.col("words"), 2)).alias("bigrams")).where(F.size("bigrams") > 0).distinct()
 
 
-def _with_rivals(templates: DataFrame) -> DataFrame:
-    """of (a family), known: its own templates and their rivals, those of other families that share a bigram with it which
-    at most RIVAL_FAMILIES families have. Others can't be a longer form of the same notice: a second licence in a paragraph is
-    no reason against the first."""
-    t = templates.withColumn("id", F.xxhash64("family", "bigrams"))
-    held = t.select("id", "family", F.explode("bigrams").alias("b"))
-    shared = held.select("family", "b").distinct().groupBy("b").agg(F.count("*").alias("n")).where(F.col("n").between(2, RIVAL_FAMILIES))
-    near = held.join(shared, "b")
-    rivals = near.select(F.col("family").alias("of"), "b").distinct().join(near, "b").where(F.col("of") != F.col("family")).select("of", "id").distinct()
-    pairs = rivals.union(t.select(F.col("family").alias("of"), "id"))
-    return pairs.join(t, "id").groupBy("of").agg(F.collect_list(F.struct("family", "bigrams")).alias("known")).coalesce(1)
+def _indexed(templates: DataFrame) -> DataFrame:
+    """One row: templates (all, array of family and bigrams) and keys (array of bigram and the places of templates). A template
+    of which MIN_TEMPLATE stands in a text lacks at most the rest of its bigrams, so it has one of any that are one more than
+    these: its rarest are its keys."""
+    every = templates.agg(F.sort_array(F.collect_list(F.struct("family", "bigrams"))).alias("templates"))
+    held = every.select(F.posexplode("templates").alias("id", "t")).select("id", F.size("t.bigrams").alias("size"), F.explode("t.bigrams").alias("b"))
+    rare = F.row_number().over(Window.partitionBy("id").orderBy("n", "b"))
+    held = held.join(held.groupBy("b").agg(F.count("*").alias("n")), "b").withColumn("r", rare)
+    lacking = F.col("size") - F.ceil(F.col("size") * MIN_TEMPLATE - 1e-9)
+    keys = held.where(F.col("r") <= lacking + 1).groupBy(F.col("b").alias("key")).agg(F.collect_list("id").alias("ids"))
+    return every.crossJoin(keys.agg(F.collect_list(F.struct("key", "ids")).alias("keys"))).coalesce(1)  # one row each, of fixed size
 
 
-def best_template(words: Column, known: Column) -> Column:
-    """struct(matched, share, family) of the template that holds most bigrams of the words, of those known of which at least
-    MIN_TEMPLATE stands there; null for none. So a longer notice wins over one that is a part of it."""
+def best_template(words: Column, templates: Column, keys: Column) -> Column:
+    """struct(matched, share, family) of the template that holds most bigrams of the words, of those of all families of which
+    at least MIN_TEMPLATE stands there; null for none. So a longer notice wins over one that is a part of it."""
     brief = (F.size(words) <= SHORT_WORDS) | F.exists(words, lambda w: w.isin(*LICENSING))
 
+    def near(own: Column) -> Column:
+        there = F.array_intersect(own, keys["key"])
+        ids = let(there, lambda th: F.flatten(F.transform(F.filter(keys, lambda k: F.array_contains(th, k["key"])), lambda k: k["ids"])))
+        return F.transform(F.array_distinct(ids), lambda i: F.get(templates, i))
+
     def pick(own: Column) -> Column:
-        held = F.transform(known, lambda t: let(F.size(F.array_intersect(t["bigrams"], own)), lambda n: F.struct(n.alias("matched"), (n / F.size(t["bigrams"])).alias("share"), t["family"].alias("family"))))
+        held = F.transform(near(own), lambda t: let(F.size(F.array_intersect(t["bigrams"], own)), lambda n: F.struct(n.alias("matched"), (n / F.size(t["bigrams"])).alias("share"), t["family"].alias("family"))))
         return F.array_max(F.filter(held, lambda h: (h["share"] >= MIN_TEMPLATE) & (brief | (h["matched"] >= SHORT_BIGRAMS))))
 
     return let(_ngrams(words, 2), pick)
@@ -208,7 +212,7 @@ class Model:
         names = [UNKNOWN, *sorted(TEMPLATES)]
         self.names = names
         self.templates = materialize(_templates_with_bigrams(spark))
-        self.known = materialize(_with_rivals(self.templates))
+        self.known = materialize(_indexed(self.templates))
         label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
         rows = training_rows(spark, plain, cued, self.templates)
         rows = materialize(rows.select(label.alias("label"), features(F.col("words")).alias("grams"), "unseen").coalesce(1))
@@ -249,8 +253,9 @@ class Model:
         # the unknown class also takes what no family reaches
         sure = (best >= MIN_PROBABILITY) & (best > F.element_at("p", 1))
         rows = rows.withColumn("probability", F.round(best, 4)).withColumn("family", F.when(sure, name).otherwise(F.lit(UNKNOWN))).drop("p")
-        rows = rows.join(F.broadcast(self.known), F.col("family") == F.col("of"), "left")  # a row per family, none for unknown
-        rows = rows.withColumn("best", best_template(F.col("words"), F.col("known"))).drop("words", "known", "of")
+        rows = rows.join(F.broadcast(self.known), F.col("family") != UNKNOWN, "left")  # one row, none for unknown
+        found = best_template(F.col("words"), F.col("templates"), F.col("keys"))
+        rows = rows.withColumn("best", F.when(F.col("family") != UNKNOWN, found)).drop("words", "templates", "keys")
         rows = rows.withColumn("template_match", F.round(F.coalesce(F.when(F.col("best.family") == F.col("family"), F.col("best.share")), F.lit(0.0)), 4))
         return rows.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("template_match") >= MIN_TEMPLATE)).drop("best")
 
