@@ -1,9 +1,9 @@
 """Language-model scoring.
 
 Two scores for every text. The base score comes from word counts over all training documents.
-The model is a causal self-attention network in numpy over subword ids (a public byte-level BPE
-vocabulary, cut to its first VOCAB ranks, which is itself a valid vocabulary; nothing of it is
-trained). A place is embedded by its id and, through hashed tables, by its last two and last three
+The model is a causal self-attention network in numpy over subword ids. Their byte-pair vocabulary
+is learned from the FIT_WORDS most frequent training words and spells every other word too; a public
+one can be named instead. Texts are turned into ids once, as a table. A place is embedded by its id and, through hashed tables, by its last two and last three
 ids. Texts are read in overlapping windows of SPAN ids that advance by STRIDE: the first
 SPAN - STRIDE ids of a later window are context only, so each id is scored once, with at least
 that much context. The softmax has two levels, a group of ids and the id in its group.
@@ -11,8 +11,8 @@ that much context. The softmax has two levels, a group of ids and the id in its
 Training is data-parallel: in each of ROUNDS, every partition goes on from the shared parameters
 over every ROUNDS-th window of each of its training documents, so that the rounds together read
 every id of all training text once; then the parameters are averaged, rows of tables by how often
-each partition used them. What is gathered - word counts and trained ids - grows with the corpus;
-the parameters do not. A partition holds a bounded number of windows at a time. The parameters
+each partition used them. The first parameters give every id its frequency in the training words.
+What is gathered - word counts and ids - grows with the corpus; the parameters do not. A partition holds a bounded number of windows at a time. The parameters
 depend on how rows are dealt to partitions (each goes its own way within a round), so another layout
 gives slightly other scores; base scores do not depend on it.
 """
@@ -20,8 +20,8 @@ gives slightly other scores; base scores do not depend on it.
 from __future__ import annotations
 
 import base64
-import zlib
-from collections import Counter
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,33 +32,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_LOWER_TABLE, materialize, read
+from .common import SPACE_LOWER_TABLE, materialize, read, slices
 
-#: A public vocabulary; another file of the same kind can be named instead. Only the driver reads it.
+#: A public vocabulary that can stand for the learned one, as can another file of the same kind. Only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-VOCAB = 1024
+VOCAB = 2048
+#: Frequent words that a vocabulary is learned from.
+FIT_WORDS = 1 << 14
 END = VOCAB  # the id after each text
-GROUP = 32
+GROUP = 64
 GROUPS = VOCAB // GROUP + 1
 DIMS, HIDDEN, SPAN, STRIDE = 24, 32, 32, 24
 #: Rows of the tables of the last two and the last three ids.
 PAIRS, TRIPLES = 1 << 14, 1 << 15
 ROUNDS = 2
-#: Windows that a task shuffles and trains on at once, and windows of a step.
-WINDOWS_AT_HAND, BATCH = 96 * 64, 96
+#: Windows that a task shuffles and trains on at once.
+WINDOWS_AT_HAND = 96 * 64
+#: Windows of a step: the first number, as many more every GROW_STEPS steps, the second at most. Small partitions
+#: so take as many steps as they can.
+BATCH, LARGEST_BATCH, GROW_STEPS = 48, 192, 400
 #: Optimiser steps that a partition makes at least in a round; a small one repeats its windows for them.
 MIN_STEPS = 150
 RATE, TABLE_RATE = 0.01, 0.1
 #: Rows in a block of a table that is averaged, and the first level of that sum.
 BLOCK, FIRST_LEVEL = 1 << 12, 64
 #: Windows that a task scores at once.
-WINDOWS_AT_ONCE = 64
+WINDOWS_AT_ONCE = 96
 #: Words whose counts are sent to every task, at most; the others are counted by a join.
 HOT_WORDS = 1 << 17
 #: Distinct words that a task holds while it counts.
 COUNTER_WORDS = 300_000
 #: Words whose ids a task keeps at hand.
 KEPT_WORDS = 100_000
+#: Ids of texts that a task scores at once, at least.
+IDS_AT_ONCE = 1 << 16
 
 Params = dict[str, np.ndarray]
 
@@ -72,6 +79,46 @@ def encoder(ranks: dict[bytes, int] | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("cut", pat_str=r" ?[^ ]+", mergeable_ranks=ranks or read_ranks(), special_tokens={})
 
 
+def learn_ranks(counts: dict[bytes, int], size: int | None = None) -> dict[bytes, int]:
+    """Byte-pair ranks of words behind a space: all bytes, then again and again the pair of neighbours that is most
+    frequent, until there are `size` (VOCAB). Of equally frequent pairs the smaller bytes come first."""
+    words, times = [[bytes([b]) for b in b" " + w] for w in counts], [*counts.values()]
+    pairs: defaultdict[tuple, int] = defaultdict(int)
+    where: defaultdict[tuple, set] = defaultdict(set)
+    for i, w in enumerate(words):
+        for pair in zip(w, w[1:], strict=False):
+            pairs[pair] += times[i]
+            where[pair].add(i)
+    heap = [(-n, pair) for pair, n in pairs.items()]
+    heapq.heapify(heap)
+    ranks = {bytes([b]): b for b in range(256)}
+    while heap and len(ranks) < (size or VOCAB):
+        n, pair = heapq.heappop(heap)
+        if n + pairs[pair]:  # out of date; the present count is in the heap too
+            continue
+        joined = pair[0] + pair[1]
+        ranks.setdefault(joined, len(ranks))
+        changed = set()
+        for i in where.pop(pair):
+            old, new = words[i], []
+            for part in old:
+                if new and new[-1] == pair[0] and part == pair[1]:
+                    new[-1] = joined
+                else:
+                    new.append(part)
+            for sign, w in ((-1, old), (1, new)):
+                for p in zip(w, w[1:], strict=False):
+                    pairs[p] += sign * times[i]
+                    changed.add(p)
+            for p in zip(new, new[1:], strict=False):
+                where[p].add(i)
+            words[i] = new
+        for p in changed:
+            if pairs[p] > 0:
+                heapq.heappush(heap, (-pairs[p], p))
+    return ranks
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(SPACE_LOWER_TABLE).split()
 
@@ -119,6 +166,17 @@ def _without_gaps(p: Params) -> Params:
     return p
 
 
+def first_params(counts: np.ndarray) -> Params:
+    """Parameters whose biases give each id its share of `counts` (GROUPS * GROUP,), half a time added."""
+    p = new_params()
+    n = counts + 0.5
+    n[VOCAB + 1 :] = 1e-9
+    by_group = n.reshape(GROUPS, GROUP)
+    p["group"][-1] = np.log(by_group.sum(axis=1) / n.sum())
+    p["inner"][:, -1] = np.log(by_group / by_group.sum(axis=1, keepdims=True))
+    return _without_gaps(p)
+
+
 _CAUSAL = np.tril(np.ones((SPAN, SPAN), bool))
 _BACK = np.clip(np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1)
 #: Scores are held to this range before an exponential, so no maximum has to be taken away.
@@ -131,21 +189,43 @@ def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, z @ np.ones(z.shape[-1], z.dtype)
 
 
+def _embedded(p: Params, x: np.ndarray) -> np.ndarray:
+    e = np.take(p["embed"], x[0], axis=0)
+    e += np.take(p["pairs"], x[1], axis=0)
+    e += np.take(p["triples"], x[2], axis=0)
+    return e
+
+
+def _attention(p: Params, near: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The weights of queries, keys and values (queries scaled), these three, scores that are not yet shares, and what
+    makes them shares. The division comes after the product with the values: there are fewer of those."""
+    w = p["qkv"].copy()
+    w[:, :DIMS] *= w.dtype.type(DIMS**-0.5)
+    q, k, v = (a.reshape(e.shape) for a in np.split(e.reshape(-1, DIMS) @ w, 3, axis=1))
+    s = q @ k.transpose(0, 2, 1)
+    np.exp(np.clip(s, -CLIP, CLIP, out=s), out=s)
+    s *= near
+    return w, q, k, v, s, 1 / (s @ np.ones(s.shape[-1], s.dtype))[..., None]
+
+
+def _near(p: Params) -> np.ndarray:
+    return np.where(_CAUSAL, np.exp(p["near"][_BACK]), 0)
+
+
 def _forward(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """x (3, B, SPAN), rows of the three tables -> hidden states (B, SPAN, DIMS), and what the
     backward pass needs."""
-    e = p["embed"][x[0]]
-    e += p["pairs"][x[1]]
-    e += p["triples"][x[2]]
-    q, k, v = (a.reshape(e.shape) for a in np.split(e.reshape(-1, DIMS) @ p["qkv"], 3, axis=1))
-    s = q @ k.transpose(0, 2, 1)
-    s *= s.dtype.type(DIMS**-0.5)
-    np.exp(np.clip(s, -CLIP, CLIP, out=s), out=s)
-    s *= np.where(_CAUSAL, np.exp(p["near"][_BACK]), 0)
-    s /= (s @ np.ones(SPAN, s.dtype))[..., None]
-    h = e + s @ v
-    m = np.maximum(h.reshape(-1, DIMS) @ p["mix"] + p["mix_b"], 0)
-    return h + (m @ p["back"]).reshape(h.shape), (e, q, k, v, s, h, m)
+    e = _embedded(p, x)
+    w, q, k, v, s, share = _attention(p, _near(p), e)
+    a = s @ v
+    a *= share
+    h = e + a
+    m = h.reshape(-1, DIMS) @ p["mix"]
+    m += p["mix_b"]
+    np.maximum(m, 0, out=m)
+    top = m @ p["back"]
+    top += h.reshape(-1, DIMS)
+    return top.reshape(h.shape), (e, w, q, k, v, s, share, a, h, m)
 
 
 def _by_group(h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,20 +261,14 @@ def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score_windows(p: Params, near: np.ndarray, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Log probabilities of the places in use, in row order. Attention is normalised after its product
-    with the values, and only places that are scored pass the last layers."""
-    e = p["embed"][x[0]]
-    e += p["pairs"][x[1]]
-    e += p["triples"][x[2]]
-    qkv = (e.reshape(-1, DIMS) @ p["qkv"]).reshape(*e.shape[:2], -1)
-    q, k, v = np.split(qkv, 3, axis=2)
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    s *= np.float32(DIMS**-0.5)
-    np.exp(np.clip(s, -CLIP, CLIP, out=s), out=s)
-    s *= near
+    """Log probabilities of the places in use, in row order. Only places that are scored pass the last layers."""
+    e = _embedded(p, x)
+    _, _, _, v, s, share = _attention(p, near, e)
     a = s @ v
+    a *= share
+    e += a
     at = np.flatnonzero(used)
-    h = e.reshape(-1, DIMS)[at] + a.reshape(-1, DIMS)[at] / (s @ np.ones(SPAN, s.dtype)).ravel()[at, None]
+    h = np.take(e.reshape(-1, DIMS), at, axis=0)
     m = h @ p["mix"]
     m += p["mix_b"]
     np.maximum(m, 0, out=m)
@@ -205,19 +279,18 @@ def score_windows(p: Params, near: np.ndarray, x: np.ndarray, y: np.ndarray, use
 def _gradients(p: Params, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[Params, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Of the mean log loss over the places `used` of windows x with next ids y: gradients of the dense
     parameters; and for each table its rows in use, their gradients, and how often they are used."""
-    top, (e, q, k, v, s, h, m) = _forward(p, x)
+    top, (e, w, q, k, v, s, share, a, h, m) = _forward(p, x)
     at = np.flatnonzero(used)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    hs, ys = flat(top)[at], y.ravel()[at]
-    n = top.dtype.type(len(ys))
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    hs, ys = np.take(flat(top), at, axis=0), y.ravel()[at]
     order, h1, g, i, bounds = _by_group(hs, ys)
     rows = np.arange(len(ys))
+    one = top.dtype.type(1 / len(ys))
 
     def softmax_less_hit(z: np.ndarray, hit: np.ndarray) -> np.ndarray:
         z, total = _exp_sums(z)
-        z /= total[:, None]
-        z[rows, hit] -= 1
-        z /= n
+        z *= (one / total)[:, None]
+        z[rows, hit] -= one
         return z
 
     z = softmax_less_hit(h1 @ p["group"], g)
@@ -225,32 +298,44 @@ def _gradients(p: Params, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> tup
     dh = z @ p["group"][:-1].T
     z = softmax_less_hit(_inner(h1, p["inner"], bounds), i)
     grad["inner"] = np.zeros_like(p["inner"])
-    for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if b > a:
-            np.matmul(h1[a:b].T, z[a:b], out=grad["inner"][c])
-            dh[a:b] += z[a:b] @ p["inner"][c, :-1].T
+    for c, (b, d) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if d > b:
+            np.matmul(h1[b:d].T, z[b:d], out=grad["inner"][c])
+            dh[b:d] += z[b:d] @ p["inner"][c, :-1].T
     dtop = np.zeros_like(flat(top))
     dtop[at[order]] = dh
     grad["back"] = m.T @ dtop
-    dm = (dtop @ p["back"].T) * (m > 0)
+    dm = dtop @ p["back"].T
+    dm *= m > 0
     grad |= {"mix": flat(h).T @ dm, "mix_b": dm.sum(axis=0)}
-    d = (dtop + dm @ p["mix"].T).reshape(top.shape)
-    dv = s.transpose(0, 2, 1) @ d
-    ds = d @ v.transpose(0, 2, 1)
-    ds -= (ds * s) @ np.ones((SPAN, 1), s.dtype)
+    dtop += dm @ p["mix"].T
+    d = dtop.reshape(top.shape)
+    u = d * share
+    ds = u @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bid,bid->bi", a, u)[..., None]
     ds *= s
     grad["near"] = np.bincount(_BACK.ravel(), (ds.sum(axis=0) * _CAUSAL).ravel(), SPAN)
-    ds *= ds.dtype.type(DIMS**-0.5)
-    dqkv = np.concatenate([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(dv)], axis=1)
+    dqkv = np.concatenate([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(s.transpose(0, 2, 1) @ u)], axis=1)
     grad["qkv"] = flat(e).T @ dqkv
-    de = flat(d) + dqkv @ p["qkv"].T
-    tables = {}
-    column = np.arange(DIMS)
-    for name, row in zip(TABLES, x, strict=True):
-        rows, kind, times = np.unique(row.ravel(), return_inverse=True, return_counts=True)
-        summed = np.bincount((kind[:, None] * DIMS + column).ravel(), de.ravel(), len(rows) * DIMS)
-        tables[name] = rows, summed.reshape(-1, DIMS).astype(de.dtype), times
-    return grad, tables
+    grad["qkv"][:, :DIMS] *= w.dtype.type(DIMS**-0.5)
+    dtop += dqkv @ w.T
+    return grad, {name: _by_row(row.ravel(), dtop) for name, row in zip(TABLES, x, strict=True)}
+
+
+def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the sums of their values, and how often they occur. Rows are below 2**16."""
+    row = row.astype(np.uint16)
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    times = np.diff(begins, append=len(row))
+    sums = np.take(values, order[begins], axis=0)
+    more = np.flatnonzero(times > 1)
+    if len(more):
+        own = np.repeat(times > 1, times)
+        size = times[more]
+        sums[more] = np.add.reduceat(np.take(values, order[own], axis=0), np.cumsum(size) - size, axis=0)
+    return row[begins].astype(np.int64), sums, times
 
 
 class Trainer:
@@ -258,9 +343,15 @@ class Trainer:
     squares (only rows in use are touched)."""
 
     def __init__(self, p: Params, seed: int):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.first = {k: np.zeros_like(v) for k, v in p.items() if k not in TABLES}
-        self.second = {k: np.zeros_like(v) for k, v in self.first.items()}
+        self.p = {k: v.copy() for k, v in p.items() if k in TABLES}
+        # dense parameters are views of one array, which is updated as a whole
+        self.names = [k for k in p if k not in TABLES]
+        self.dense = np.concatenate([p[k].ravel() for k in self.names])
+        at = 0
+        for k in self.names:
+            self.p[k] = self.dense[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+        self.first, self.second = np.zeros_like(self.dense), np.zeros_like(self.dense)
         self.squares = {k: np.full(len(p[k]), 1e-8, np.float32) for k in TABLES}
         self.uses = {k: np.zeros(len(p[k]), np.float32) for k in TABLES}
         self.rng, self.steps, self.weight = np.random.default_rng(seed), 0, 0.0
@@ -270,21 +361,33 @@ class Trainer:
         self.steps += 1
         self.weight += float(used.sum())
         rate = RATE / (1 + self.steps / 1000) ** 0.5
-        for k, g in dense.items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.p[k] -= (rate / (1 - 0.9**self.steps)) * self.first[k] / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-7)
+        g = np.concatenate([dense[k].ravel() for k in self.names], dtype=np.float32)
+        self.first *= np.float32(0.9)
+        self.first += np.float32(0.1) * g
+        g *= g
+        g *= np.float32(0.01)
+        self.second *= np.float32(0.99)
+        self.second += g
+        np.multiply(self.second, np.float32(1 / (1 - 0.99**self.steps)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-7)
+        np.divide(self.first, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.steps))
+        self.dense -= g
         for k, (rows, g, times) in tables.items():
-            self.squares[k][rows] += (g * g).mean(axis=1)
-            self.p[k][rows] -= TABLE_RATE * g / np.sqrt(self.squares[k][rows])[:, None]
+            self.squares[k][rows] += np.einsum("rd,rd->r", g, g) / np.float32(DIMS)
+            g *= (np.float32(TABLE_RATE) / np.sqrt(self.squares[k][rows]))[:, None]
+            self.p[k][rows] -= g
             self.uses[k][rows] += times
 
     def windows(self, x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int | None = None) -> None:
         """Once over the windows in a seeded order, `steps` steps at most."""
         order = self.rng.permutation(len(y))
-        for s in range(0, len(order), BATCH)[:steps]:
-            at = order[s : s + BATCH]
+        s, last = 0, None if steps is None else self.steps + steps
+        while s < len(order) and self.steps != last:
+            at = order[s : s + min(LARGEST_BATCH, BATCH * (1 + self.steps // GROW_STEPS))]
             self.step(x[:, at], y[at], used[at])
+            s += len(at)
 
 
 def windows_of(texts: list[list[int]], stride: int = STRIDE, every: int = 1, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,18 +395,22 @@ def windows_of(texts: list[list[int]], stride: int = STRIDE, every: int = 1, shi
     next ids, which places to score, and the text of each window. Of a text's windows those whose
     number and the text's own first id, plus shift, are divisible by `every`."""
     sizes = np.array([len(t) for t in texts], np.int64) + 1  # ids to score, the end included
-    seq = np.fromiter(chain.from_iterable(chain((END,), t, (END,)) for t in texts), np.int32, int(sizes.sum()) + len(texts))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    back = np.concatenate([[END, END], seq])
-    pair = (back[1:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + seq.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(4)
-    triple = ((pair ^ (back[:-2].astype(np.uint32) * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)) >> np.uint32(12)
+    seq = np.full(int(sizes.sum()) + len(texts), END, np.int32)
+    within = np.ones(len(seq), bool)
+    within[begins] = within[begins + sizes] = False
+    seq[within] = np.concatenate([np.asarray(t, np.int32) for t in texts]) if len(texts) else 0
+    back = np.concatenate([[END, END], seq]).astype(np.uint32)
+    now = back[2:]
+    pair = (back[1:-1] * np.uint32(0x9E3779B1) + now * np.uint32(0x85EBCA77)) >> np.uint32(4)
+    triple = ((pair ^ (back[:-2] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)) >> np.uint32(12)
     # the ids before a text are ends, whatever text stands before it
     for place, n in ((begins, 2), (begins + 1, 1)):
-        one = back[place + 1] if n == 1 else np.full(len(place), END)
-        now = seq[place].astype(np.uint32)
-        first = (one.astype(np.uint32) * np.uint32(0x9E3779B1) + now * np.uint32(0x85EBCA77)) >> np.uint32(4)
+        one = now[place - 1] if n == 1 else np.full(len(place), END, np.uint32)
+        first = (one * np.uint32(0x9E3779B1) + now[place] * np.uint32(0x85EBCA77)) >> np.uint32(4)
         pair[place] = first
         triple[place] = ((first ^ np.uint32((END * 0xC2B2AE3D) & 0xFFFFFFFF)) * np.uint32(0x27D4EB2F)) >> np.uint32(12)
+    pair, triple = (pair % PAIRS).astype(np.int32), (triple % TRIPLES).astype(np.int32)
     counts = -(-np.maximum(1, sizes - (SPAN - stride)) // stride)
     owner = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -312,28 +419,24 @@ def windows_of(texts: list[list[int]], stride: int = STRIDE, every: int = 1, shi
         owner, nth = owner[take], nth[take]
     at = (nth * stride)[:, None] + np.arange(SPAN)
     inside = at < sizes[owner][:, None]
-    place = np.where(inside, begins[owner][:, None] + at, 0)
     used = inside.copy()
     used[nth > 0, : SPAN - stride] = False
-    x = np.stack([np.where(inside, seq[place], END), pair[place] % PAIRS, triple[place] % TRIPLES]).astype(np.int32)
-    return x, np.where(inside, seq[place + 1], END), used, owner
+    at += begins[owner][:, None]
+    at *= inside  # a place that is not used reads the first text's END
+    x = np.empty((3, *at.shape), np.int32)
+    for part, of in zip(x, (seq, pair, triple), strict=True):
+        np.take(of, at, out=part, mode="clip")
+    at += 1
+    y = np.take(seq, at)
+    y[~inside] = END
+    return x, y, used, owner
 
 
 # --- distributed passes ------------------------------------------------------------------
 
 
-def is_held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    text = batch.column("text").cast(pa.large_binary())
-    for i, doc in enumerate(batch.column("id").to_pylist()):
-        yield doc, text[i].as_py()
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> word, n: partial counts over training documents; the end is a null word."""
+    """text -> word, n: partial counts over training documents; the end is a null word."""
 
     def flush(counts: Counter, ends: int) -> pa.RecordBatch:
         words = pa.array([*counts], pa.binary())
@@ -343,13 +446,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     ends = 0
     for b in batches:
-        for doc, text in _rows(b):
-            if not is_held_out(doc):
-                counts.update(words_of(text))
-                ends += 1
-                if len(counts) > COUNTER_WORDS:
-                    yield flush(counts, ends)
-                    counts, ends = Counter(), 0
+        for text in b.column("text").cast(pa.large_binary()):
+            counts.update(words_of(text.as_py()))
+            ends += 1
+            if len(counts) > COUNTER_WORDS:
+                yield flush(counts, ends)
+                counts, ends = Counter(), 0
     yield flush(counts, ends)
 
 
@@ -368,12 +470,17 @@ def _as_rows(name: str, value: np.ndarray) -> np.ndarray:
     return value if name in TABLES else value.reshape(1, -1)
 
 
-def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> part, block, level, value, weight: this partition's parameters times their weights."""
-    known = WordIds(ranks.value)
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of each text."""
+    for ids in batch.column("ids"):
+        yield np.frombuffer(ids.as_py(), np.uint16)
+
+
+def _train_round(batches: Iterator[pa.RecordBatch], params, turn: int) -> Iterator[pa.RecordBatch]:
+    """ids -> part, block, level, value, weight: this partition's parameters times their weights."""
     number = TaskContext.get().partitionId() if TaskContext.get() else 0
     trainer = Trainer(params.value, number)
-    held: list[list[int]] = []
+    held: list[np.ndarray] = []
     size, last = 0, None
 
     def train() -> None:
@@ -384,13 +491,12 @@ def _train_round(batches: Iterator[pa.RecordBatch], params, ranks, turn: int) ->
             last = x, y, used
 
     for b in batches:
-        for doc, text in _rows(b):
-            if not is_held_out(doc):
-                held.append(known.of(words_of(text)))
-                size += len(held[-1])
-                if size >= WINDOWS_AT_HAND * SPAN * ROUNDS:
-                    train()
-                    held, size = [], 0
+        for ids in _texts(b):
+            held.append(ids)
+            size += len(ids)
+            if size >= WINDOWS_AT_HAND * SPAN * ROUNDS:
+                train()
+                held, size = [], 0
     if held:
         train()
     # what is repeated counts once in the average: weights are those of the ids read
@@ -429,14 +535,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def train(docs: DataFrame, ranks) -> Params:
-    """Parameters from (id, text) rows; what comes to the driver is one set of parameters. Partitions are
+def train(texts: DataFrame, start: Params) -> Params:
+    """Parameters from rows of ids, the first ones given; what comes to the driver is one set of parameters. Partitions are
     summed in two levels, so that no task reads more than a FIRST_LEVEL-th of them."""
-    sc = docs.sparkSession.sparkContext
-    p = new_params()
+    sc = texts.sparkSession.sparkContext
+    p = start
     for turn in range(ROUNDS):
         shared = sc.broadcast(p)
-        parts = docs.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, ranks, t), _PARTS)
+        parts = texts.mapInArrow(lambda it, s=shared, t=turn: _train_round(it, s, t), _PARTS)
         for level in (F.col("level"), F.lit(0)):
             parts = parts.withColumn("level", level).repartition("part", "block", "level").sortWithinPartitions("part", "block", "level").mapInArrow(_summed, _PARTS)
         p = {k: v.copy() for k, v in p.items()}
@@ -446,58 +552,100 @@ def train(docs: DataFrame, ranks) -> Params:
     return p
 
 
-_SCORED = "row long, n_tokens long, n_known long, base double, score double, word binary, n long"
+class HotWords:
+    """The frequent words: values of the base score and ids. Runs of texts get places of words, those
+    of other words behind; the ids of these are made once a run."""
+
+    def __init__(self, words: list[bytes], values: np.ndarray, ranks: dict[bytes, int]):
+        self.words, self.values, self.ranks = words, values, ranks
+
+    def begin(self) -> HotWords:
+        """To be called once a task."""
+        self.at = {w: i for i, w in enumerate(self.words)}
+        self.encode = encoder(self.ranks).encode_to_numpy
+        self.begins = np.zeros(END + 1, bool)  # ids that begin a word
+        self.begins[[i for token, i in self.ranks.items() if token[:1] == b" "]] = True
+        self.ids, self.sizes = self._ids(self.words)
+        return self
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word's behind another's, and how many each has."""
+        if not words:
+            return np.empty(0, np.uint16), np.empty(0, np.int64)
+        ids = self.encode(" " + b" ".join(words).decode("utf-8", "replace")).astype(np.uint16)
+        return ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+
+    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Places of the texts' words, the other words, all ids, and how many ids each text has."""
+        others: dict[bytes, int] = {}
+        known, n = self.at, len(self.words)
+        counts = np.array([len(t) for t in texts])
+        at = np.fromiter((known[w] if w in known else n + others.setdefault(w, len(others)) for t in texts for w in t), np.int64, int(counts.sum()))
+        more, more_sizes = self._ids([*others])
+        pool, sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, more_sizes])
+        begins = (np.cumsum(sizes) - sizes)[at]
+        size = sizes[at]
+        ends = np.cumsum(size)
+        ids = pool[np.repeat(begins - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return at, [*others], ids, np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
+
+
+_READ = "row long, n_tokens long, n_known long, base double, ids binary, word binary, n long"
+_READ_SCHEMA = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+
+
+def _read_texts(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """(id, held_out, text) -> a line per row with sums over hot words and its ids, and lines (row, word, n)
+    of its other words. Sums count words only; the end is added later."""
+    table = hot.value.begin()
+    values, n_hot = np.append(table.values, 0.0), len(table.words)
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
+    def lines(size: int, given: dict[str, list | np.ndarray], id_and_split: list[pa.Array]) -> pa.RecordBatch:
+        columns = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in _READ_SCHEMA]
+        return pa.RecordBatch.from_arrays([*columns, *id_and_split], [*_READ_SCHEMA.names, "id", "held_out"])
 
-def _score(batches: Iterator[pa.RecordBatch], params, hot, ranks) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> a line per row with sums over hot words and the model's score, and lines
-    (row, word, n) of its other words. Sums count words only; the end is added later."""
-    ids = WordIds(ranks.value)
-    network, known = params.value, hot.value
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for b in batches:
-        rest: tuple[list, list, list] = ([], [], [])
-        out: list[list] = [[], [], [], []]
-        held: list[list[int]] = []
-        size, scores = 0, []
-        for i, (_, text) in enumerate(_rows(b)):
-            words = words_of(text)
-            base, n_known = 0.0, 0
-            for w, n in Counter(words).items():
-                v = known.get(w)
-                if v is None:
-                    rest[0].append(number + i)
-                    rest[1].append(w)
-                    rest[2].append(n)
-                else:
-                    base += n * v
-                    n_known += n
-            for column, v in zip(out, (number + i, len(words) + 1, n_known, base), strict=True):
-                column.append(v)
-            held.append(ids.of(words))
-            size += len(held[-1])
-            if size >= 1 << 14:
+        for begin, run in slices(b, "text"):
+            texts = [words_of(t) for t in run]
+            at, others, ids, sizes = table.read(texts)
+            counts = np.array([len(t) for t in texts])
+            owner = np.repeat(np.arange(len(run)), counts)
+            hit = at < n_hot
+            base = np.bincount(owner, values[np.minimum(at, n_hot)], len(run))
+            cuts = (2 * np.cumsum(sizes)).tolist()
+            data = ids.tobytes()
+            rows = number + np.arange(len(run))
+            given = {"row": rows, "n_tokens": counts + 1, "n_known": np.bincount(owner, hit, len(run)).astype(np.int64), "base": base, "ids": [data[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]}
+            yield lines(len(run), given, [b.column(c).slice(begin, len(run)) for c in ("id", "held_out")])
+            pairs, times = np.unique(owner[~hit] * max(1, len(others)) + at[~hit] - n_hot, return_counts=True)
+            text, word = np.divmod(pairs, max(1, len(others)))
+            given = {"row": rows[text], "word": [others[w] for w in word.tolist()], "n": times}
+            yield lines(len(pairs), given, [pa.nulls(len(pairs), b.schema.field(c).type) for c in ("id", "held_out")])
+            number += len(run)
+
+
+def _score(batches: Iterator[pa.RecordBatch], params) -> Iterator[pa.RecordBatch]:
+    """Lines with ids -> the same with a score instead."""
+    network = params.value
+    for b in batches:
+        held: list[np.ndarray] = []
+        size, scores = 0, [np.empty(0)]
+        for ids in _texts(b):
+            held.append(ids)
+            size += len(ids)
+            if size >= IDS_AT_ONCE:
                 scores.append(_score_texts(network, held))
                 held, size = [], 0
         if held:
             scores.append(_score_texts(network, held))
-        n = b.num_rows
-        columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
-        score = pa.array(np.concatenate(scores) if scores else np.empty(0))
-        yield pa.RecordBatch.from_arrays([*columns, score, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), b.column("id")], [*_names(), "id"])
-        m = len(rest[0])
-        yield pa.RecordBatch.from_arrays([pa.array(rest[0], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(rest[1], pa.binary()), pa.array(rest[2], pa.int64()), pa.nulls(m, b.schema.field("id").type)], [*_names(), "id"])
-        number += n
-
-
-def _names() -> list[str]:
-    return [f.split()[0] for f in _SCORED.split(", ")]
+        yield b.drop_columns(["ids"]).append_column("score", pa.array(np.concatenate(scores)))
 
 
-def _score_texts(network: Params, held: list[list[int]]) -> np.ndarray:
+def _score_texts(network: Params, held: list) -> np.ndarray:
     """log10 probability of each text, a bounded number of windows at a time."""
     x, y, used, owner = windows_of(held)
-    near = np.where(_CAUSAL, np.exp(network["near"][_BACK]), 0).astype(np.float32)
+    near = _near(network).astype(np.float32)
     out = np.zeros(len(held))
     for s in range(0, len(y), WINDOWS_AT_ONCE):
         part = slice(s, s + WINDOWS_AT_ONCE)
@@ -520,34 +668,45 @@ def _frequent(counts: DataFrame, most: int) -> list:
     return counts.where(step >= edge).collect() if edge is not None else []
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts have one token, the end. A null id counts as the empty string for the
     split. Repeated rows count and are scored each for itself. Without training documents the
     base score is 0 a token and the model keeps its first parameters. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. `vocabulary` is a file to use instead of learned ranks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = materialize(rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 1
+    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    partial = rows.where("not held_out").select("text").mapInArrow(_count_words, "word binary, n long")
+    counts = materialize(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
     floor = total["n"] + 0.5 * (total["v"] + 1)
     hot = _frequent(counts.where("word is not null"), HOT_WORDS)
-    hot_words = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10((r["n"] + 0.5) / floor)) for r in hot})
+    hot.sort(key=lambda r: (-r["n"], r["word"]))
+    words, times = [bytes(r["word"]) for r in hot], np.array([r["n"] for r in hot], float)
     del hot
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    model = spark.sparkContext.broadcast(train(rows, ranks))
+    ranks = read_ranks(vocabulary) if vocabulary else learn_ranks({w: int(n) for w, n in zip(words[:FIT_WORDS], times[:FIT_WORDS], strict=True)})
+    table = HotWords(words, np.log10((times + 0.5) / floor), ranks)
+    hot_words = spark.sparkContext.broadcast(table)
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(lambda it: _score(it, model, hot_words, ranks), f"{_SCORED}, id {id_type}"))
-    other = scored.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts, "word", "left")
+    lines = f"id {id_type}, held_out boolean"
+    encoded = materialize(rows.mapInArrow(lambda it: _read_texts(it, hot_words), f"{_READ}, {lines}"))
+    table.begin()
+    uses = np.bincount(table.ids, np.repeat(times, table.sizes), GROUPS * GROUP)
+    uses[END] = total["ends"]
+    texts = encoded.where("n_tokens is not null")
+    model = spark.sparkContext.broadcast(train(texts.where("not held_out").select("ids"), first_params(uses)))
+    scored = texts.drop("word", "n").mapInArrow(lambda it: _score(it, model), f"row long, n_tokens long, n_known long, base double, {lines}, score double")
+    other = encoded.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts, "word", "left")
     value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(floor)))
     other = other.groupBy("row").agg(F.sum(F.col("times") * value).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    out = scored.where("n_tokens is not null").drop("word", "n").join(other, "row", "left")
+    out = scored.join(other, "row", "left")
     end = float(np.log10((total["ends"] + 0.5) / floor))
     return out.select(
         F.col("id").alias(id_col),
-        (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 1).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("also", F.lit(0)) + F.lit(1 if total["ends"] else 0)).cast("long").alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
